@@ -136,28 +136,26 @@ def chunks(offsets: np.ndarray):
         lo = hi
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every word of these texts; its text's number; where each text's words begin.
+def spans_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of every word of these texts, and the rolling() of their lower-cased bytes.
 
     ``bounds`` are the texts' offsets in ``data``, which holds no more than them.
     """
-    low = _LOWER[data]
-    inside = np.zeros(len(data) + 1, dtype=bool)
-    inside[:-1] = ~_SPACE[data]
-    begins = inside[:-1].copy()
-    begins[1:] &= ~inside[:-2]
-    at = bounds[:-1][bounds[:-1] < len(data)]
-    begins[at] = inside[at]
-    ends = inside[:-1].copy()
-    ends[:-1] &= ~inside[1:-1]
-    last = bounds[1:][bounds[1:] > 0] - 1
-    ends[last] = inside[last]
+    inside = ~_SPACE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    at, last = bounds[:-1][bounds[:-1] < len(data)], bounds[1:][bounds[1:] > 0] - 1
+    begins[at], ends[last] = inside[at], inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = window_hash(rolling(_BYTE[low]), start, end)
-    text = np.searchsorted(bounds, start, side="right") - 1
-    # empty texts share an offset with the next: the last text that begins there owns the word
-    first = np.searchsorted(text, np.arange(len(bounds)))
-    return hashes, text, first
+    # of texts that share an offset, all but the last are empty: the last one owns the word
+    return start, end, np.searchsorted(bounds, start, side="right") - 1, rolling(_BYTE[_LOWER[data]])
+
+
+def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of these texts; where each text's words begin and, one on, end."""
+    start, end, text, prefix = spans_of(data, bounds)
+    return window_hash(prefix, start, end), np.searchsorted(text, np.arange(len(bounds)))
 
 
 def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
@@ -178,6 +176,6 @@ def documents_words(batch, name: str = "text"):
     data, offsets = texts_of(batch.column(name))
     for lo, hi in chunks(offsets):
         bounds = offsets[lo : hi + 1] - offsets[lo]
-        words, _, first = words_of(data[offsets[lo] : offsets[hi]], bounds)
+        words, first = words_of(data[offsets[lo] : offsets[hi]], bounds)
         for i in range(hi - lo):
             yield lo + i, words[first[i] : first[i + 1]]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tidewright.llm import sharding, source_mix
+from tidewright.llm import chat_format, sharding, source_mix, toxicity, url_filter
 
 QUERIES = {
+    "op1_chat_format": chat_format.query,
+    "op4_url_filter": url_filter.query,
     "op6_sharding": sharding.query,
+    "op7_toxicity": toxicity.query,
     "op8_source_mix": source_mix.query,
 }
 
 SQL = {
+    "op1_chat_format": chat_format.SQL,
     "op8_source_mix": source_mix.SQL,
 }
