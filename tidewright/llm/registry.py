@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat_format, sharding, source_mix, toxicity, url_filter
+from tidewright.llm import chat_format, decontaminate, quality, sharding, source_mix, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
+    "op2_decontaminate": decontaminate.query,
     "op4_url_filter": url_filter.query,
     "op6_sharding": sharding.query,
     "op7_toxicity": toxicity.query,
     "op8_source_mix": source_mix.query,
+    "op10_quality": quality.query,
 }
 
 SQL = {
