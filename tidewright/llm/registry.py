@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat_format, decontaminate, quality, sharding, source_mix, toxicity, url_filter
+from tidewright.llm import chat_format, decontaminate, quality, sharding, source_mix, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op2_decontaminate": decontaminate.query,
     "op4_url_filter": url_filter.query,
+    "op5_vector_search": vector_search.query,
     "op6_sharding": sharding.query,
     "op7_toxicity": toxicity.query,
     "op8_source_mix": source_mix.query,
