@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat_format, decontaminate, quality, sharding, source_mix, toxicity, url_filter, vector_search
+from tidewright.llm import chat_format, decontaminate, quality, set_join, sharding, source_mix, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_set_join": set_join.query,
     "op4_url_filter": url_filter.query,
     "op5_vector_search": vector_search.query,
     "op6_sharding": sharding.query,
