@@ -43,8 +43,13 @@ class Scratch:
         self.spark, self.base = spark, f"{base}/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path, keep = f"{self.base}/{name}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(keep, "false")
+        self.spark.conf.set(keep, "true")  # what is written needs no shuffle files any more
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(keep, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -126,11 +131,11 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(offsets: np.ndarray):
-    """Ranges of whole texts of about CHUNK_BYTES."""
+def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
+    """Ranges of whole texts of about ``size`` bytes."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, side="right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1
         hi = min(n, max(lo + 1, hi))
         yield lo, hi
         lo = hi

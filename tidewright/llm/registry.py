@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat_format, decontaminate, quality, set_join, sharding, source_mix, toxicity, url_filter, vector_search
+from tidewright.llm import chat_format, decontaminate, quality, repeats, set_join, sharding, source_mix, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op7_toxicity": toxicity.query,
     "op8_source_mix": source_mix.query,
+    "op9_repeats": repeats.query,
     "op10_quality": quality.query,
 }
 

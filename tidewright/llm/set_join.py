@@ -251,3 +251,13 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
 
 def query(spark, sf_dir: str) -> DataFrame:
     return join_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+STAGE_WORDS, STAGE_PERCENT = 5, 80
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest doc_id, once. Documents with a null doc_id cannot be named and stay."""
+    found = join_sets(docs, STAGE_WORDS, STAGE_PERCENT)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

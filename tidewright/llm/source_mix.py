@@ -112,6 +112,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return fair_mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    taken = fair_mix(docs).where("copies > 0")
+    return taken.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src,
