@@ -1,10 +1,32 @@
-"""The corpus pipeline: stages that each read what the one before them wrote."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+Junk goes, one document of each near-duplicate group stays, documents that hold benchmark items go,
+sources are mixed to their target weights, and the mix is shuffled into shards.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewright.llm import decontaminate, quality, set_join, sharding, source_mix
+from tidewright.llm.common import Scratch
+
+STAGES = [
+    ("quality", quality.stage),
+    ("near_duplicates", set_join.stage),
+    ("decontaminate", decontaminate.stage),
+    ("mix", source_mix.stage),
+    ("shard", sharding.stage),
+]
+
+#: The classifier's fit cannot be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each result written as Parquet and read again."""
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs
