@@ -2,5 +2,225 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from tidewright.functions import columns, scoring
+from tidewright.operators import checks, ingest, queries as q, report, views
+from tidewright.plans import mapping as m
+
+DAY = "1996-06-15"  # today for opportunities and interactions
+PRACTICE_DAY = "2024-01-15"  # today for practice sessions
+SCRAPE_DAY = "2024-01-01"  # today for postings
+ARCHIVED = "('Rejected', 'Declined', 'Ghosted', 'Accepted')"
+ACTIVE = f"status NOT IN {ARCHIVED}"
+LISTING = ", ".join(q.LISTING)
+RANK = "CASE priority WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 END"
+PCT = "round(CAST(100 AS DOUBLE) * sum(CASE WHEN is_correct THEN 1 ELSE 0 END) / count(*), 1)"
+RIGHT = "CAST(sum(CASE WHEN is_correct THEN 1 ELSE 0 END) AS BIGINT)"
+
+#: Rules over terms that occur in the driver's documents. Made up; they have the shape of a real set.
+RULES = scoring.Rules(
+    skills={"license": 10, "version": 9, "rights reserved": 9, "the": 8, "ing": 7, "trash": 6, "clown": 6, "public license": 5, "software": 5, "permission": 4, "mit license": 4, "password": 4},
+    flags={"stupid": -15, "moron": -12, "scum": -10, "worthless": -20, "copyright": -4, "idiot": -5},
+    domains={"Apache/MIT": 8, "General Public License": 8, "Open, Source": 7, "work": 7, "of": 6},
+    years=7, locations=("Bangalore", "Bengaluru", "Remote India"),
+)
+
+_made: dict = {}
+
+
+def _views(name):
+    """CTEs for keyword mastery and weekly summary."""
+    return {
+        "mastery": f"""mastery AS (
+  SELECT keyword, count(*) AS practice_count, {RIGHT} AS correct_count, {PCT} AS accuracy_percentage, round(avg(CAST(time_spent_minutes AS DOUBLE)), 1) AS avg_time_minutes
+  FROM (SELECT *, trim(unnest(string_split(keywords_used, ','))) AS keyword FROM sessions WHERE keywords_used IS NOT NULL) WHERE keyword <> '' GROUP BY keyword)""",
+        "weekly": f"""weekly AS (
+  SELECT strftime(practice_date, '%Y-W%W') AS week, count(*) AS total_sessions, count(DISTINCT platform) AS platforms_used, {RIGHT} AS correct_answers, {PCT} AS accuracy_percentage,
+         CAST(sum(time_spent_minutes) AS BIGINT) AS total_minutes, count(CASE WHEN difficulty = 'Easy' THEN 1 END) AS easy_questions, count(CASE WHEN difficulty = 'Medium' THEN 1 END) AS medium_questions,
+         count(CASE WHEN difficulty = 'Hard' THEN 1 END) AS hard_questions
+  FROM sessions GROUP BY 1)""",
+        "mistakes": """mistakes AS (
+  SELECT error_made, count(*) AS occurrence_count, CASE WHEN string_agg(DISTINCT keywords_used, ',' ORDER BY keywords_used) <> '' THEN string_agg(DISTINCT keywords_used, ',' ORDER BY keywords_used) END AS related_keywords,
+         round(avg(CAST(time_spent_minutes AS DOUBLE)), 1) AS avg_recovery_time
+  FROM sessions WHERE error_made IS NOT NULL AND error_made <> '' GROUP BY error_made ORDER BY occurrence_count DESC, error_made LIMIT 10)""",
+        "levels": f"""levels AS (
+  SELECT difficulty, count(*) AS total_attempted, {RIGHT} AS correct, {PCT} AS accuracy_percentage, avg(CAST(time_spent_minutes AS DOUBLE)) AS avg_time_minutes, min(practice_date) AS first_attempt, max(practice_date) AS latest_attempt
+  FROM sessions GROUP BY difficulty)""",
+    }[name]
+
+
+def _word(term: str) -> str:
+    """Unicode word boundaries for an engine without them."""
+    return f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){term.lower()}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')"
+
+
+def _sum(terms: dict, test=_word) -> str:
+    return " + ".join(f"CASE WHEN {test(t)} THEN {w} ELSE 0 END" for t, w in terms.items())
+
+
+def _domain(name: str) -> str:
+    parts = [p.strip() for p in name.lower().replace(",", "/").split("/")]
+    return "(" + " OR ".join(["FALSE", *[_word(p) for p in parts if len(p) > 2]]) + ")"
+
+
+def _listed(terms: dict, test=_word) -> str:
+    """Names of what matches, heaviest first, ties in order, as one text."""
+    order = sorted(terms.items(), key=lambda x: -x[1])
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test(t)} THEN '{t}' END" for t, _ in order) + "], lambda x: x IS NOT NULL)"
+
+
+SCORED = rf"""texts AS (
+  SELECT id, job_title, description, tags, company, location, trim(regexp_replace(lower(concat_ws(' ', coalesce(job_title, ''), coalesce(description, ''), coalesce(tags, ''), coalesce(company, ''))), '\s+', ' ', 'g')) AS t FROM jobs
+), parts AS (
+  SELECT id, t, least(CAST(100 AS DOUBLE), CAST({_sum(RULES.skills)} AS DOUBLE) / CAST(100 AS DOUBLE) * CAST(100 AS DOUBLE)) AS s,
+         least(CAST(100 AS DOUBLE), CAST({_sum(RULES.domains, _domain)} AS DOUBLE) / CAST(50 AS DOUBLE) * CAST(100 AS DOUBLE)) AS d,
+         CAST(greatest(-50, {_sum(RULES.flags)}) AS DOUBLE) AS f,
+         CAST(CASE WHEN coalesce(location, '') = '' THEN 50 WHEN lower(location) LIKE '%remote%' THEN 100 WHEN lower(location) LIKE '%hybrid%' THEN 50 WHEN lower(location) LIKE '%bangalore%' THEN 30 ELSE 0 END AS DOUBLE) AS l
+  FROM texts
+), scored AS (
+  SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), s * CAST(0.4 AS DOUBLE) + CAST(100 AS DOUBLE) * CAST(0.2 AS DOUBLE) + d * CAST(0.2 AS DOUBLE) + l * CAST(0.1 AS DOUBLE) + f * CAST(0.1 AS DOUBLE))) AS total FROM parts
+)"""
+
+
+def _scored(jobs):
+    x = jobs.select("id", "job_title", "description", "tags", "company", "location")
+    return scoring.score(x, RULES, title="job_title", experience="none")
+
+
+def _text(jobs):
+    return jobs.select("id", columns.normalized(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("job_title", "description", "tags", "company")])).alias("t"), "location")
+
+
+def _names(column: str, name: str):
+    return F.array_join(F.transform(column, lambda x: x[name]), "|")
+
+
+KEYWORD_TEST = " OR ".join(f"contains(p, '{k}')" for k in ingest.KEYWORDS)
+STATS = """count(*) AS total_jobs, count(CASE WHEN match_score >= 85 THEN 1 END) AS excellent, count(CASE WHEN match_score >= 75 AND match_score < 85 THEN 1 END) AS high_fit,
+  count(CASE WHEN match_score >= 65 AND match_score < 75 THEN 1 END) AS medium_fit, count(CASE WHEN match_score >= 40 AND match_score < 65 THEN 1 END) AS low_fit, count(CASE WHEN match_score < 40 THEN 1 END) AS no_fit,
+  round(avg(match_score), 1) AS avg_score, max(scraped_at) AS last_scraped, count(CASE WHEN imported_to_opportunities THEN 1 END) AS imported_count"""
+PERCENT = "CAST(CAST(trunc(match_score) AS INTEGER) AS VARCHAR) || '%'"
+WEEK_BEFORE = f"practice_date >= DATE '{PRACTICE_DAY}' - 7"
+AGENDA = "i.id, i.type, i.date, i.time, i.meet_link, o.company, o.role, o.status, i.participants, i.summary FROM interactions i JOIN opportunities o ON i.opportunity_id = o.id"
+WORK_STATS = "count(*) AS total_stones, CAST(sum(time_spent_minutes) AS BIGINT) AS total_minutes, round(avg(CAST(time_spent_minutes AS DOUBLE)), 1) AS avg_minutes_per_stone, min(date) AS first_stone_date, max(date) AS latest_stone_date, round(sum(time_spent_minutes) / CAST(60 AS DOUBLE), 1) AS total_hours FROM work"
+GAPS = "SELECT coalesce(question_type, 'General') AS question_type, difficulty, count(*) AS question_count, avg(CAST(my_rating AS DOUBLE)) AS avg_performance, min(my_rating) AS min_rating, round(CAST(100 AS DOUBLE) * sum(CASE WHEN my_rating <= 2 THEN 1 ELSE 0 END) / count(*), 1) AS weak_percentage FROM questions GROUP BY 1, 2 HAVING avg(CAST(my_rating AS DOUBLE)) < 4"
+
+
+def _add(name: str, frame, tables: str, sql: str, *ctes: str) -> None:
+    """``tables``: letters of the mapped tables that ``frame`` takes, in order."""
+    parts = {"o": (m.opportunities, m.OPPORTUNITIES), "i": (m.interactions, m.INTERACTIONS), "s": (m.sessions, m.SESSIONS), "w": (m.work_log, m.WORK), "q": (m.questions, m.QUESTIONS), "n": (m.job_sources, m.SOURCES), "j": (m.jobs, m.JOBS)}
+
+    def run(spark, sf_dir):
+        return frame(*[parts[t][0](spark, sf_dir) for t in tables])
+
+    _made[name] = (run, "WITH " + ",\n".join([parts[t][1] for t in tables] + list(ctes)) + "\n" + sql)
+
+
+_add("q1_metrics", lambda o, i: q.metrics(o, i, DAY), "oi", f"""SELECT (SELECT count(*) FROM opportunities WHERE {ACTIVE}) AS active_count,
+  (SELECT count(*) FROM interactions WHERE type = 'Interview' AND date BETWEEN DATE '{DAY}' AND DATE '{DAY}' + 7) AS interview_count,
+  (SELECT count(*) FROM opportunities WHERE is_remote AND {ACTIVE}) AS remote_count, (SELECT count(*) FROM opportunities WHERE priority = 'High' AND {ACTIVE}) AS priority_count""")
+_add("q2_agenda", lambda i, o: q.week_agenda(i, o, DAY), "io", f"SELECT {AGENDA} WHERE i.type = 'Interview' AND i.date BETWEEN DATE '{DAY}' AND DATE '{DAY}' + 7")
+_add("q3_pipeline", q.pipeline, "o", f"SELECT {LISTING} FROM opportunities WHERE {ACTIVE} ORDER BY {RANK} NULLS FIRST, updated_at DESC, id LIMIT 50")
+_add("q4_archived", q.archived, "o", f"SELECT {LISTING} FROM opportunities WHERE status IN {ARCHIVED} ORDER BY updated_at DESC, id LIMIT 50")
+_add("q5_learning_gaps", views.learning_gaps, "q", GAPS)
+_add("q6_study_priority", lambda w: views.study_priority(w.select("id", F.col("stone_title").alias("name"), (F.col("id") % 5).cast("int").alias("priority"), ((F.col("id") % 11) / F.lit(2.0)).alias("mastery_level"))), "w",
+     "SELECT id, stone_title AS name, CAST(id % 5 AS INTEGER) AS priority, (id % 11) / CAST(2 AS DOUBLE) AS mastery_level, CAST(id % 5 AS INTEGER) * (CAST(5 AS DOUBLE) - (id % 11) / CAST(2 AS DOUBLE)) AS priority_score FROM work")
+_add("q7_recent_questions", q.recent_questions, "qo", "SELECT n.*, o.company FROM (SELECT * FROM questions ORDER BY created_at DESC, id LIMIT 20) n LEFT JOIN opportunities o ON n.opportunity_id = o.id")
+_add("q8_practice_stats", q.practice_stats, "s", f"SELECT count(*) AS total_sessions, {RIGHT} AS correct_count, {PCT} AS accuracy_percentage, CAST(sum(time_spent_minutes) AS BIGINT) AS total_minutes, count(DISTINCT platform) AS platforms_used, count(CASE WHEN difficulty = 'Easy' THEN 1 END) AS easy_count, count(CASE WHEN difficulty = 'Medium' THEN 1 END) AS medium_count, count(CASE WHEN difficulty = 'Hard' THEN 1 END) AS hard_count FROM sessions")
+_add("q9_keyword_mastery", views.keyword_mastery, "s", "SELECT * FROM mastery", _views("mastery"))
+_add("q10_recent_practice", q.recent_practice, "s", "SELECT * FROM sessions ORDER BY created_at DESC, id DESC LIMIT 10")
+_add("q11_weekly_summary", q.recent_weeks, "s", "SELECT * FROM weekly ORDER BY week DESC LIMIT 8", _views("weekly"))
+_add("q12_common_mistakes", views.common_mistakes, "s", "SELECT * FROM mistakes", _views("mistakes"))
+_add("q13_work_stats", q.work_stats, "w", f"SELECT {WORK_STATS}")
+_add("q13_work_stats_empty", lambda w: q.work_stats(w.where("id < 0")), "w", f"SELECT total_stones, coalesce(total_minutes, 0) AS total_minutes, coalesce(avg_minutes_per_stone, CAST(0 AS DOUBLE)) AS avg_minutes_per_stone, first_stone_date, latest_stone_date, coalesce(total_hours, CAST(0 AS DOUBLE)) AS total_hours FROM (SELECT {WORK_STATS} WHERE id < 0)")
+_add("q14_work_progress", views.work_progress, "w", "SELECT *, CASE WHEN next_stone IS NOT NULL AND next_stone <> '' THEN 'Complete' ELSE 'In Progress' END AS status FROM work")
+_add("q15_recent_work", q.recent_work, "w", "SELECT * FROM work ORDER BY date DESC, created_at DESC, id DESC LIMIT 5")
+_add("q16_sources", q.sources, "n", "SELECT * FROM job_sources")
+for _name, _filters, _where in (("q17_scraped_jobs", {}, "match_score >= 70"), ("q17_scraped_jobs_low", {"min_score": 60, "limit": 10}, "match_score >= 60"), ("q17_scraped_jobs_class", {"classification": "LOW_FIT", "min_score": 0, "limit": 5}, "match_score >= 0 AND classification = 'LOW_FIT'"),
+                               ("q17_scraped_jobs_hidden", {"classification": "LOW_FIT"}, "match_score >= 70 AND classification = 'LOW_FIT'"), ("q17_scraped_jobs_source", {"source": "src0", "min_score": 50, "limit": 3}, "match_score >= 50 AND source = 'src0'")):
+    _add(_name, lambda j, _f=_filters: q.scraped_jobs(j, **_f).withColumn("matched_skills", _names("matched_skills", "skill")), "j",
+         f"""SELECT id, external_id, source, job_title, company, job_url, location, tags, classification, imported_to_opportunities, scraped_at, round(match_score, 1) AS match_score,
+  CASE WHEN length(description) > 200 THEN substr(description, 1, 200) || '...' ELSE description END AS description, CASE WHEN matched_skills LIKE '%SQL%' THEN 'SQL' ELSE '' END AS matched_skills
+  FROM jobs WHERE {_where} ORDER BY jobs.match_score DESC, scraped_at DESC, id LIMIT {_filters.get('limit', 50)}""")
+_add("q18_scraped_stats", q.scraped_stats, "j", f"SELECT {STATS} FROM jobs")
+_add("q19_source_breakdown", q.source_breakdown, "j", "SELECT source, count(*) AS count, round(avg(match_score), 1) AS avg_score FROM jobs GROUP BY source")
+_add("q20_import_lookup", lambda j: q.point(j, "id", 11).select("id", "company", "imported_to_opportunities"), "j", "SELECT id, company, imported_to_opportunities FROM jobs WHERE id = 11")
+_add("q21_recent_sessions", q.recent_sessions, "s", "SELECT practice_date, platform, difficulty, is_correct, time_spent_minutes, keywords_used FROM sessions ORDER BY created_at DESC, id DESC LIMIT 5")
+_add("q22_summary_top", lambda j: q.summary(j)[1], "j", f"SELECT id, job_title, company, {PERCENT} AS score, classification FROM jobs ORDER BY match_score DESC NULLS LAST, id LIMIT 5")
+_add("q23_top_scores", q.top_scores, "j", f"SELECT id, job_title, company, {PERCENT} AS score, classification FROM jobs ORDER BY match_score DESC NULLS LAST, id LIMIT 10")
+_add("q24_class_summary", q.class_summary, "j", "SELECT classification, count(*) AS count, CAST(CAST(trunc(avg(match_score)) AS INTEGER) AS VARCHAR) || '%' AS avg_score FROM jobs GROUP BY classification")
+_add("q25_category_counts", q.category_counts, "on", f"SELECT 'Total' AS category, count(*) AS count FROM opportunities UNION ALL SELECT 'Active', count(*) FROM opportunities WHERE {ACTIVE} UNION ALL SELECT 'Archived', count(*) FROM opportunities WHERE status IN {ARCHIVED} UNION ALL SELECT 'Sources', count(*) FROM job_sources")
+_add("q26_table_counts", lambda o, i, s: q.table_counts({"opportunities": o, "interactions": i, "sessions": s}), "ois", "SELECT 'opportunities' AS \"table\", count(*) AS rows FROM opportunities UNION ALL SELECT 'interactions', count(*) FROM interactions UNION ALL SELECT 'sessions', count(*) FROM sessions")
+_add("q27_status_counts", q.status_counts, "o", "SELECT status, count(*) AS count FROM opportunities GROUP BY status")
+_add("q28_latest_questions", q.latest_questions, "q", "SELECT id, substr(question_text, 1, 50) || '...' AS question, question_type FROM questions ORDER BY created_at DESC, id LIMIT 3")
+_add("q29_with_skill", lambda j: q.with_skill(j, "SQL"), "j", "SELECT id, job_title, company, match_score FROM jobs WHERE matched_skills LIKE '%\"SQL\"%' ORDER BY match_score DESC NULLS LAST, id LIMIT 10")
+_add("q30_at_location", lambda j: q.at_location(j, "remote"), "j", "SELECT id, job_title, company, location, match_score FROM jobs WHERE location ILIKE '%remote%' AND match_score >= 60")
+_add("q31_titled_or_tagged", lambda j: q.titled_or_tagged(j, "SRC1"), "j", "SELECT id, job_title, tags, match_score FROM jobs WHERE (job_title ILIKE '%SRC1%' OR tags ILIKE '%SRC1%') AND match_score >= 50")
+_add("q32_scraped_on", lambda j: q.scraped_on(j, SCRAPE_DAY).select("id", "scraped_at"), "j", f"SELECT id, scraped_at FROM jobs WHERE CAST(scraped_at AS DATE) = DATE '{SCRAPE_DAY}'")
+_add("q33_scored_listing", q.scored_listing, "j", f"SELECT id, job_title || ' - ' || company AS posting, {PERCENT} AS score FROM jobs WHERE match_score >= 60 ORDER BY match_score DESC, id LIMIT 50")
+_add("q34_class_ranges", q.class_ranges, "j", "SELECT classification, min(match_score) AS min_score, max(match_score) AS max_score, count(*) AS count FROM jobs GROUP BY classification")
+_add("q35_of_companies", lambda o: q.of_companies(o, ["Customer#000000001", "Customer#000000007", "customer_1", "Customer#1"]), "o", "SELECT id, company, role, status, priority FROM opportunities WHERE company IN ('Customer#000000001', 'Customer#000000007', 'customer_1', 'Customer#1')")
+_add("q36_max_id", q.max_id, "o", "SELECT max(id) AS max_id FROM opportunities")
+_add("q37_score_threshold", lambda j: q.top_scores(j, 50, 75), "j", f"SELECT id, job_title, company, {PERCENT} AS score, classification FROM jobs WHERE match_score >= 75 ORDER BY match_score DESC, id LIMIT 50")
+_add("q38_class_counts", q.class_counts, "j", "SELECT classification, count(*) AS count FROM jobs GROUP BY classification")
+_add("q39_high_fit_on", lambda j: q.high_fit_on(j, SCRAPE_DAY), "j", f"SELECT count(*) AS high_fit FROM jobs WHERE classification IN ('EXCELLENT', 'HIGH_FIT') AND CAST(scraped_at AS DATE) = DATE '{SCRAPE_DAY}'")
+_add("q40_listing", q.listing, "o", "SELECT company, role, status FROM opportunities")
+
+_add("v1_active_pipeline", views.active_pipeline, "oi", f"SELECT {', '.join('o.' + c for c in views.PIPELINE)}, count(i.id) AS interaction_count, max(i.date) AS latest_interaction, o.updated_at FROM opportunities o LEFT JOIN interactions i ON o.id = i.opportunity_id WHERE {ACTIVE} GROUP BY {', '.join('o.' + c for c in views.PIPELINE)}, o.updated_at")
+_add("v2_todays_agenda", lambda i, o: views.todays_agenda(i, o, DAY), "io", f"SELECT {AGENDA} WHERE i.date = DATE '{DAY}'")
+_add("v3_keyword_mastery", views.keyword_mastery, "s", "SELECT * FROM mastery", _views("mastery"))
+_add("v4_weekly_summary", views.weekly_summary, "s", "SELECT * FROM weekly", _views("weekly"))
+_add("v5_common_mistakes", views.common_mistakes, "s", "SELECT * FROM mistakes", _views("mistakes"))
+_add("v6_progress_by_difficulty", views.progress_by_difficulty, "s", "SELECT * FROM levels", _views("levels"))
+_add("v7_work_progress", views.work_progress, "w", "SELECT *, CASE WHEN next_stone IS NOT NULL AND next_stone <> '' THEN 'Complete' ELSE 'In Progress' END AS status FROM work")
+_add("v8_work_stats", views.work_stats, "w", f"SELECT {WORK_STATS}")
+_add("v9_learning_gaps", views.learning_gaps, "q", GAPS)
+_add("v10_study_priority", lambda w: views.study_priority(w.select("id", (F.col("id") % 5).cast("int").alias("priority"), ((F.col("id") % 11) / F.lit(2.0)).alias("mastery_level"))), "w",
+     "SELECT id, CAST(id % 5 AS INTEGER) AS priority, (id % 11) / CAST(2 AS DOUBLE) AS mastery_level, CAST(id % 5 AS INTEGER) * (CAST(5 AS DOUBLE) - (id % 11) / CAST(2 AS DOUBLE)) AS priority_score FROM work")
+_add("v11_archived_pipeline", views.archived_pipeline, "o", f"SELECT * FROM opportunities WHERE status IN {ARCHIVED}")
+
+_add("r1_last_weeks", report.last_weeks, "s", "SELECT week, total_sessions AS sessions, CAST(accuracy_percentage AS VARCHAR) || '%' AS accuracy, CAST(total_minutes AS VARCHAR) || 'min' AS time, easy_questions || 'E / ' || medium_questions || 'M / ' || hard_questions || 'H' AS difficulty FROM weekly ORDER BY week DESC LIMIT 4", _views("weekly"))
+_add("r2_mastery", report.mastery, "s", "SELECT keyword, practice_count AS practices, CAST(accuracy_percentage AS VARCHAR) || '%' AS accuracy, CAST(round(avg_time_minutes, 1) AS VARCHAR) || 'min' AS avg_time FROM mastery ORDER BY practice_count DESC, accuracy_percentage NULLS FIRST, keyword LIMIT 10", _views("mastery"))
+_add("r3_mistakes", report.mistakes, "s", "SELECT error_made AS mistake, occurrence_count AS count, CAST(round(avg_recovery_time, 1) AS VARCHAR) || 'min' AS avg_recovery FROM mistakes ORDER BY occurrence_count DESC, error_made LIMIT 5", _views("mistakes"))
+_add("r4_levels", report.levels, "s", "SELECT difficulty AS level, total_attempted AS attempted, correct, CAST(accuracy_percentage AS VARCHAR) || '%' AS accuracy, CAST(round(avg_time_minutes, 1) AS VARCHAR) || 'min' AS avg_time, latest_attempt AS latest_practice FROM levels", _views("levels"))
+_add("r5_recent", lambda s: report.recent(s, PRACTICE_DAY), "s", f"SELECT practice_date, platform, difficulty AS level, CASE WHEN is_correct THEN '✅' ELSE '❌' END AS result, substr(question_text, 1, 60) || '...' AS question, CAST(time_spent_minutes AS VARCHAR) || 'min' AS time FROM sessions WHERE {WEEK_BEFORE}")
+_add("r6_recommended", report.recommended, "s", "SELECT 'Practice: ' || keyword AS recommendation, 'Current Accuracy: ' || CAST(accuracy_percentage AS VARCHAR) || '%' AS reason FROM mastery WHERE accuracy_percentage < 70 AND practice_count >= 2 ORDER BY practice_count DESC, keyword LIMIT 5", _views("mastery"))
+_add("r7_correlation", report.correlation, "qs", """SELECT question_type AS interview_topic, count(DISTINCT id) AS interview_questions, avg(CAST(my_rating AS DOUBLE)) AS interview_rating,
+  max((SELECT count(*) FROM sessions WHERE keywords_used ILIKE '%' || CASE question_type WHEN 'Technical SQL' THEN 'JOIN' WHEN 'Data Warehouse' THEN 'WINDOW' ELSE 'SQL' END || '%')) AS practice_sessions
+  FROM questions WHERE question_type IN ('Technical SQL', 'Data Warehouse') GROUP BY question_type""")
+_add("r8_insight", lambda s: report.insight(s, PRACTICE_DAY), "s", f"""SELECT CASE WHEN total = 0 THEN 'No practice this week - Start with 3 Easy questions' WHEN total < 5 THEN 'Good start! Aim for 5+ sessions per week' WHEN accuracy < 0.6 THEN 'Focus on quality over quantity - Review mistakes'
+  WHEN accuracy >= 0.8 THEN 'Great accuracy! Try harder questions' ELSE 'Consistent practice - Keep going!' END AS insight, total || ' sessions, ' || CAST(round(accuracy * 100, 1) AS VARCHAR) || '% accuracy' AS this_week
+  FROM (SELECT avg(CASE WHEN is_correct THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS accuracy, count(*) AS total FROM sessions WHERE {WEEK_BEFORE})""")
+
+_add("c2_normalize", lambda j: _text(j).select("id", F.md5(F.col("t").cast("binary")).alias("digest")), "j", "SELECT id, md5(t) AS digest FROM texts", SCORED.split("), parts")[0] + ")")
+_add("c4_skills", lambda j: _text(j).select("id", scoring.skills_score(F.col("t"), RULES)[0].alias("score"), _names(scoring.skills_score(F.col("t"), RULES)[1], "skill").alias("found")), "j", f"SELECT id, s AS score, {_listed(RULES.skills)}, '|') AS found FROM scored", SCORED)
+_add("c5_flags", lambda j: _text(j).select("id", scoring.flags_penalty(F.col("t"), RULES)[0].alias("penalty")), "j", "SELECT id, f AS penalty FROM scored", SCORED)
+_add("c6_domains", lambda j: _text(j).select("id", scoring.domain_score(F.col("t"), RULES)[0].alias("score"), _names(scoring.domain_score(F.col("t"), RULES)[1], "domain").alias("found")), "j", f"SELECT id, d AS score, {_listed(RULES.domains, _domain)}, '|') AS found FROM scored", SCORED)
+_add("c7_location", lambda j: _text(j).select("id", scoring.location_score(F.col("location"), RULES).alias("score")), "j", "SELECT id, l AS score FROM scored", SCORED)
+_add("c8_experience", lambda j: j.select("id", scoring.experience_score(F.concat((F.col("id") % 12).cast("string"), F.when(F.col("id") % 3 == 0, "+ years").when(F.col("id") % 3 == 1, " years").otherwise("-9 years")), 7).alias("score")), "j",
+     """SELECT id, CAST(CASE id % 3 WHEN 0 THEN CASE WHEN 7 >= id % 12 THEN 100 WHEN 7 >= id % 12 - 1 THEN 80 ELSE 50 END WHEN 1 THEN CASE WHEN id % 12 = 7 THEN 100 WHEN abs(7 - id % 12) <= 1 THEN 90 WHEN abs(7 - id % 12) <= 2 THEN 70 ELSE 50 END
+  ELSE CASE WHEN id % 12 <= 7 THEN 100 WHEN id % 12 - 7 <= 1 THEN 70 ELSE 40 END END AS DOUBLE) AS score FROM jobs""")
+_add("c9_score", lambda j: _scored(j).select("id", "final_score", "classification", F.col("breakdown.skills_score").alias("skills_score"), F.col("breakdown.red_flag_penalty").alias("penalty"), "should_auto_import"), "j",
+     "SELECT id, round(total, 2) AS final_score, CASE WHEN total >= 85 THEN 'EXCELLENT' WHEN total >= 75 THEN 'HIGH_FIT' WHEN total >= 65 THEN 'MEDIUM_FIT' WHEN total >= 40 THEN 'LOW_FIT' ELSE 'NO_FIT' END AS classification, round(s, 2) AS skills_score, round(f, 2) AS penalty, total >= 75 AS should_auto_import FROM scored", SCORED)
+_add("c10_classes", lambda j: _scored(j).groupBy("classification").agg(F.count(F.lit(1)).alias("count"), F.max("final_score").alias("best")), "j",
+     "SELECT CASE WHEN total >= 85 THEN 'EXCELLENT' WHEN total >= 75 THEN 'HIGH_FIT' WHEN total >= 65 THEN 'MEDIUM_FIT' WHEN total >= 40 THEN 'LOW_FIT' ELSE 'NO_FIT' END AS classification, count(*) AS count, round(max(total), 2) AS best FROM scored GROUP BY 1", SCORED)
+_add("c12_relevance", lambda j: ingest.relevant(j.select("id", F.col("job_title").alias("position"), "description", "tags")).select("id"), "j", f"SELECT id FROM (SELECT id, lower(concat_ws(' ', coalesce(job_title, ''), coalesce(description, ''), coalesce(tags, ''))) AS p FROM jobs) WHERE {KEYWORD_TEST}")
+_add("c14_mapping", lambda j: ingest.map_postings(j.select(F.when(F.col("id") % 3 > 0, F.col("external_id")).alias("id"), F.lit(None).cast("string").alias("slug"), F.col("job_url").alias("url"), F.col("job_title").alias("position"), "company", "description", "location", F.array("tags", "company").alias("tags"), (F.col("id") * 1000).alias("salary_min"), (F.col("id") * 2000).alias("salary_max"), F.col("id").alias("n"), F.lit("2024-01-01").alias("date")), "2024-01-01", "n").select("external_id", "location", "tags", "salary_range"), "j",
+     "SELECT CASE WHEN id % 3 > 0 THEN external_id ELSE 'remoteok_' || id END AS external_id, coalesce(location, 'Remote') AS location, tags || ', ' || company AS tags, CASE WHEN id > 0 THEN '$' || format('{:,}', id * 1000) || ' - $' || format('{:,}', id * 2000) END AS salary_range FROM jobs")
+_add("k6_insert_or_ignore", lambda j: ingest.insert_or_ignore(j.select(F.concat(F.lit("k"), (F.col("id") % 400).cast("string")).alias("external_id"), "job_title", "company", "job_url", F.col("id").alias("_ordinal")), j.where("id % 7 = 0").select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("external_id"))).select("external_id", F.col("_ordinal").alias("first_id")), "j",
+     "SELECT external_id, min(id) AS first_id FROM (SELECT 'k' || id % 400 AS external_id, id FROM jobs) WHERE external_id NOT IN (SELECT 'k' || id FROM jobs WHERE id % 7 = 0) GROUP BY external_id")
+_add("k9_touch_parents", lambda o, i: o.select("id").join(i.groupBy(F.col("opportunity_id").alias("id")).agg(F.max_by("date", F.struct("id", "date")).alias("last_interaction_date")), "id"), "oi", "SELECT id, max(date) AS last_interaction_date FROM (SELECT o.id, i.date, i.id = max(i.id) OVER (PARTITION BY o.id) AS newest FROM opportunities o JOIN interactions i ON o.id = i.opportunity_id) WHERE newest GROUP BY id")
+_add("k15_export", lambda j: j.where("match_score >= 70").select("id", "job_title", "company", "match_score", "classification"), "j", "SELECT id, job_title, company, match_score, classification FROM jobs WHERE match_score >= 70")
+
+_add("d1_totals", checks.totals, "o", f"SELECT count(*) AS total, count(CASE WHEN {ACTIVE} THEN 1 END) AS active, count(CASE WHEN status IN {ARCHIVED} THEN 1 END) AS archived, count(CASE WHEN {ACTIVE} THEN 1 END) + count(CASE WHEN status IN {ARCHIVED} THEN 1 END) = count(*) AS consistent FROM opportunities")
+_add("d2_orphans", lambda i, o: checks.orphans(i, o.where("id % 5 <> 0")).select("id"), "io", "SELECT id FROM interactions WHERE opportunity_id NOT IN (SELECT id FROM opportunities WHERE id % 5 <> 0)")
+_add("d3_outside_domain", lambda j: checks.outside_domain(j.withColumn("classification", F.when(F.col("id") % 10 == 0, "odd").otherwise(F.col("classification"))), "scraped_jobs", "classification").select("id"), "j", "SELECT id FROM jobs WHERE id % 10 = 0")
+_add("d4_parity", checks.parity, "oi", f"SELECT 'view' AS by, count(*) AS n FROM opportunities WHERE {ACTIVE} UNION ALL SELECT 'filter', count(*) FROM opportunities WHERE {ACTIVE}")
+_add("d5_gaps_too_good", checks.gaps_too_good, "q", f"SELECT * FROM ({GAPS}) WHERE avg_performance >= 4")
+_add("d6_time_travel", lambda o: checks.time_travel(o, "1998-01-01").select("id"), "o", "SELECT id FROM opportunities WHERE updated_at < created_at OR created_at > TIMESTAMP '1998-01-01'")
+_add("d7_score_bounds", lambda j: checks.score_bounds(j.withColumn("match_score", F.col("match_score") - 1)).select("id"), "j", "SELECT id FROM jobs WHERE match_score - 1 < 0 OR match_score - 1 > 100")
+_add("d8_mastery_recomputed", checks.mastery_recomputed, "s", "SELECT * FROM mastery WHERE FALSE", _views("mastery"))
+
+QUERIES = {name: run for name, (run, _) in _made.items()}
+SQL = {name: sql for name, (_, sql) in _made.items()}
