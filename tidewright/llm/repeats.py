@@ -32,7 +32,7 @@ from tidewright.llm.common import _BYTE, Scratch, U, chunks, powers, mix, rollin
 
 LENGTH = 50
 SEED_BYTES = 16
-CROWD = 20_000
+CROWD = 500_000  # anchors of a rank that one task may hold, some 200 MB with their ranks
 _CHUNK = 1 << 18
 _MASK = U(0xFFFFFFFF)
 
@@ -130,13 +130,17 @@ def _prefix(held: np.ndarray) -> np.ndarray:
 def repeated_windows(h: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, held: np.ndarray, length: int) -> np.ndarray:
     """A bit mask for each anchor: bit t if its window that starts t bytes before it starts in a smaller d too. Rows in the order of (h, d)."""
     reach = length - SEED_BYTES
-    prefix, mask = _prefix(held), np.zeros(len(h), np.int64)
-    group = mix(h.view(np.uint64))
+    mask, group = np.zeros(len(h), np.int64), mix(h.view(np.uint64))
+    ranks = np.empty((reach + 1, len(h)), np.uint64)
+    for at in range(0, len(h), 1 << 15):  # bounds what the prefix sums take
+        prefix = _prefix(held[at : at + (1 << 15)])
+        for t in range(reach + 1):
+            ranks[t, at : at + (1 << 15)] = prefix[:, reach - t + length] - prefix[:, reach - t]
     for t in range(reach + 1):
         rows = np.flatnonzero((lo <= t) & (t <= hi))
         if len(rows) < 2:
             continue
-        rank = mix((prefix[rows, reach - t + length] - prefix[rows, reach - t]) ^ group[rows])
+        rank = mix(ranks[t, rows] ^ group[rows])
         order = np.argsort(rank, kind="stable")
         rank, ids = rank[order], d[rows[order]]
         new = np.concatenate([[True], rank[1:] != rank[:-1]])
