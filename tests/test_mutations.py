@@ -119,3 +119,13 @@ def test_validate(spark):
     df = normalize_sessions(spark.createDataFrame([(1, " DBeaver ", "easy", "custom"), (2, "other", "odd", None), (3, None, None, None)], "id int, platform string, difficulty string, database_used string"))
     good, bad = validate("sql_practice_sessions", df)
     assert sorted(r["id"] for r in good.collect()) == [1, 3] and bad.first()["rejected_for"] == "difficulty"
+
+
+def test_scheduled_and_summary(spark, tmp_path):
+    from tidewright.functions.scoring import score
+
+    rows = ingest.map_scheduled(read_postings(spark, postings(tmp_path, "a.json", ROWS)), NOW).collect()
+    assert [(r["id"], r["salary"], r["status"], r["url"]) for r in rows] == [("1", "$25000", "new", ingest.JOB_URL + "s")]
+    df = score(spark.createDataFrame([("the license", "software"), ("zzz", "")], "title string, description string"), RULES)
+    s = ingest.batch_summary(df).first()
+    assert s["total"] == 2 and s["best"] == ingest.best_match(df).first()["final_score"] and ingest.good_matches(df).count() == 0 and sum(s["classes"].values()) == 2

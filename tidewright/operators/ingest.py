@@ -81,3 +81,33 @@ def ingest(postings: DataFrame, target: DataFrame, rules: Rules, now, keywords=K
     new = insert_or_ignore(scored, target).withColumn("imported_to_opportunities", F.lit(False))
     counts = new.agg(F.count(F.lit(1)).alias("stored"), F.count_if(F.col("classification").isin("EXCELLENT", "HIGH_FIT")).alias("high_fit"))
     return new, counts
+
+
+def map_scheduled(df: DataFrame, now) -> DataFrame:
+    """The records of the scheduled fetch: unscored, with the salary as text; for the JSON sink."""
+    x = relevant(df, SCHEDULED_KEYWORDS, ("position", "company"))
+    return x.select(
+        F.coalesce("id", "slug").alias("id"), F.col("position").alias("title"), "company", F.concat(F.lit(JOB_URL), F.coalesce("slug", "id")).alias("url"),
+        F.coalesce("location", F.lit("Remote")).alias("location"), F.coalesce("date", F.to_date(F.lit(now).cast("timestamp")).cast("string")).alias("posted_date"),
+        F.substring(F.coalesce("description", F.lit("")), 1, DESCRIPTION).alias("description"), F.coalesce(F.array_join("tags", ", "), F.lit("")).alias("tags"),
+        F.when(F.col("salary_max") > 0, F.concat(F.lit("$"), F.col("salary_max").cast("string"))).otherwise("Not specified").alias("salary"), F.lit(SOURCE).alias("source"),
+        F.lit(now).cast("timestamp").alias("scraped_at"), F.lit("new").alias("status"), F.lit(None).cast("double").alias("match_score"), F.lit(False).alias("applied"),
+    )
+
+
+def good_matches(scored: DataFrame, least: float = 75) -> DataFrame:
+    return scored.where(F.col("final_score") >= least)
+
+
+def best_match(scored: DataFrame) -> DataFrame:
+    """The row with the highest score; of equals the first title."""
+    return scored.orderBy(F.desc("final_score"), "title").limit(1)
+
+
+def batch_summary(scored: DataFrame) -> DataFrame:
+    """Rows, mean, best and counts by class of a scored batch, as one row."""
+    classes = scored.groupBy("classification").agg(F.count(F.lit(1)).alias("n"), F.sum("final_score").alias("s"), F.max("final_score").alias("m"))
+    return classes.agg(
+        F.sum("n").alias("total"), F.round(F.try_divide(F.sum("s"), F.sum("n")), 2).alias("mean"), F.max("m").alias("best"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("classification", "n")))).alias("classes"),
+    )
