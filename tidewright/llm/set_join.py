@@ -5,12 +5,15 @@ sets that are similar enough lie in the same band or in neighbouring ones, and a
 elements lie in one of them only. For a pair of neighbouring bands the universe of hashes is cut into
 segments, and a plan gives each segment one credit (its subset is indexed) or two (its one-deletion
 neighbourhood too). Where the credits exceed the slack, similar sets agree on some segment: fully, or
-but for one element where it has two credits. A cost model picks the plan of each band; a few
-spare segments let every set leave out its costliest ones, the empty ones, on either side.
-
-Equal sets are one class from the start. Classes that share a signature meet the first of the group
-(star edges); what these leave apart meets in pairs across components, so a group of n copies costs
-n verifications, not n ** 2 / 2, and no pair of different components that shares a signature goes unchecked.
+but for one element where it has two credits. A cost model picks the plan of each band; spare
+segments let every set leave out its costliest ones: those whose signatures most sets share, because
+the subset is empty or lies within a passage that many documents quote.
+
+Equal sets are one class from the start. Classes that share a signature meet the most central one of the group
+(star edges); what these leave apart meets across components, so no pair of different components
+that shares a signature goes unchecked. Before two sets are brought together their parity sketches
+are: every element flips one of 1024 bits, so the bits in which two sketches differ are no more than
+the elements in which the sets do, and within a family of loose copies most pairs end there, inside the join.
 Verification counts the common hashes of both sets exactly.
 
 Defined results: null texts and texts without words have the empty set, linked with nothing; shorter
@@ -20,7 +23,8 @@ the id null, which counts as the largest; an empty table gives an empty table; o
 
 from __future__ import annotations
 
-from math import ceil, exp
+from functools import reduce
+from math import exp
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +35,10 @@ from tidewright.llm.common import Scratch, U, documents_words, mix, shingles_of,
 
 PERCENT = 85  # 100 * intersection >= PERCENT * union
 WORDS = 4
-UNLIKE = 10**6  # unlike sets of a band that one set may meet, in the cost model
+UNLIKE = 300  # unlike sets of a band that quote the same, in the cost model
+SKETCH = 16  # numbers of 64 bits
+_BITS = [f"p{i}" for i in range(SKETCH)]
+QUOTED = 30  # shingles that many sets may quote alike, in the cost model
 
 
 def similar(common, a, b, percent: int):
@@ -65,57 +72,54 @@ def slack_of(size: int, percent: int) -> int:
 def plan(band: int, percent: int) -> tuple[int, int, int]:
     """(segments, of them with two credits, credits that a set may leave out) for sets of bands ``band`` and ``band + 1``.
 
-    Cost of a plan: a unit for each signature, and the chance that two unlike sets agree on a segment
-    (both empty, or within one element where it has two credits), times ``UNLIKE`` sets that they may meet.
+    Cost of a plan: a unit for each signature, and for the segments that a set can't leave out the
+    chance that it agrees with an unlike set that quotes the same ``QUOTED`` shingles, times ``UNLIKE`` such sets.
     """
     if (band, percent) in _MADE:
         return _MADE[band, percent]
     edges = band_edges(percent)
-    most = 2 * (int(edges[band + 2]) - 1)
-    slack = max(slack_of(s, percent) for s in range(max(2, most - 200 - percent), most + 1))
+    most = int(edges[band + 1]) + int(edges[band + 2]) - 2  # of one band, or of both; two of the upper one meet by its own plan
+    slack = max(slack_of(s, percent) for s in range(max(2, most - 4 * percent), most + 1))
     size = int(edges[band])
+    own = 1 - min(0.7, QUOTED / size)  # share of a set that is not quoted
     best = None
     for twos in sorted({0, (slack + 1) // 4, (slack + 1) // 2}):
-        bare = size * 1.0 / max(1, slack + 1 - twos)
-        empties = (slack + 1) * exp(-bare)
-        for skips in (0, 1, ceil(empties + 4 * empties**0.5)):
+        for skips in sorted({0, 1, 2, 3, 4, 6, *[int(slack * f) for f in (0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)]}):
             segments = slack + 1 + 2 * skips - twos
-            mean = size / segments
-            alike = exp(-2 * mean)
-            agree = max(0.0, segments - 2 * skips) * (alike if segments * exp(-mean) > skips else 0.0) + twos * alike * 2 * mean
-            cost = segments - skips + twos * mean + UNLIKE * agree
+            mean = own * size / segments
+            shared = (segments - twos) * exp(-mean) + twos * exp(-mean) * (1 + mean)  # segments that hold nothing of its own
+            over = max(0.0, shared - skips) + 0.4 * shared**0.5 * exp(-((max(0.0, skips - shared)) ** 2) / (2 * shared + 1e-9))
+            cost = segments + twos * size / segments + UNLIKE * over * exp(-mean)
             if twos <= segments and (best is None or cost < best[0]):
                 best = (cost, segments, twos, skips)
     _MADE[band, percent] = best[1:]
     return best[1:]
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of one set (distinct hashes): for its band with the next one, and with the one before.
+def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set (distinct hashes), for its band with the next one and with the one before; and of each its place.
 
     Two similar sets differ by the plan's slack at most, and the credits of the segments that neither
-    leaves out exceed it; so on one of those they differ by less than its credits.
+    leaves out exceed it; so on one of those they differ by less than its credits. A place is the lower
+    band, the segment and its credits in one number.
     """
     band = band_of(len(shingles), percent)
     h, place = mix(shingles ^ U(0x2545F4914F6CDD1D)), mix(shingles + U(977))
-    out = []
+    out, places = [], []
     for low in range(max(0, band - 1), band + 1):
-        segments, twos, skips = plan(low, percent)
+        segments, twos, _ = plan(low, percent)
         where = (place % U(segments)).astype(np.int64)
-        count = np.bincount(where, minlength=segments)
         total = np.zeros(segments, np.uint64)
         np.add.at(total, where, h)
         label = mix(np.arange(segments, dtype=np.uint64) + U(low << 32) + U(1))
-        keep = np.ones(segments, bool)
-        if skips:  # the emptiest subsets are the commonest
-            credits = np.where(np.arange(segments) < twos, 2, 1)
-            cheap = np.lexsort((credits, count))
-            keep[cheap[np.cumsum(credits[cheap]) <= skips]] = False
-        out.append(mix(total + label)[keep])
+        own = (low << 40) + (np.arange(segments) << 2) + np.where(np.arange(segments) < twos, 2, 1)
+        out.append(mix(total + label))
+        places.append(own)
         if twos:  # a full subset and a neighbourhood have one form: either meets the other
-            near = keep[where] & (where < twos)
+            near = where < twos
             out.append(mix(total[where] - h + label[where])[near])
-    return np.unique(np.concatenate(out))
+            places.append(own[where[near]])
+    return np.concatenate(out), np.concatenate(places)
 
 
 def _sets(batch, k: int):
@@ -146,25 +150,37 @@ def _signed(k: int, percent: int):
         import pyarrow as pa
 
         for batch in batches:
-            n, key, sigs = [], [], []
+            n, key, sigs, places = [], [], [], []
             for _, own in _sets(batch, k):
                 if len(own):
-                    sigs.append(signatures(own, percent))
-                    n.append(len(own))
-                    key.append(_key(own))
+                    sig, place = signatures(own, percent)
+                    for column, value in zip((n, key, sigs, places), (len(own), _key(own), sig, place)):
+                        column.append(value)
                 if len(sigs) >= 512:
-                    yield _signed_batch(pa, n, key, sigs)
-                    n, key, sigs = [], [], []
+                    yield _signed_batch(pa, n, key, sigs, places)
+                    n, key, sigs, places = [], [], [], []
             if sigs:
-                yield _signed_batch(pa, n, key, sigs)
+                yield _signed_batch(pa, n, key, sigs, places)
 
     return run
 
 
-def _signed_batch(pa, n, key, sigs):
+def _signed_batch(pa, n, key, sigs, places):
     times = [len(s) for s in sigs]
-    columns = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times))]
-    return pa.RecordBatch.from_arrays(columns, names=["sig", "key", "n"])
+    columns = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times)), pa.array(np.concatenate(places).astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["sig", "key", "n", "place"])
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bits that are one where an odd number of elements fall, as whole numbers of 64 bits."""
+    odd = np.bincount((mix(shingles ^ U(0xA5A5A5A5)) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _apart(n, m, one: str, two: str, percent: int):
+    """Whether sketches leave it open that sets of n and m elements are similar: they differ by (100 - percent) / (100 + percent) of n + m at most."""
+    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(one + c).bitwiseXOR(F.col(two + c))) for c in _BITS])
+    return bits * (100 + percent) <= (n + m) * (100 - percent)
 
 
 def _arrays(k: int):
@@ -175,7 +191,9 @@ def _arrays(k: int):
             sets = [own for _, own in _sets(batch, k)]
             cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cut), pa.array(values))], names=["key", "set"])
+            sketch = np.array([parity(s) for s in sets], np.int64).reshape(-1, SKETCH)
+            columns = [batch.column("key"), pa.ListArray.from_arrays(pa.array(cut), pa.array(values)), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "set", *_BITS])
 
     return run
 
@@ -203,6 +221,21 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _affordable(signed: DataFrame, percent: int) -> DataFrame:
+    """The signatures but for those of the segments that each set leaves out: the ones that most sets share, within its allowance.
+
+    With each set's fame: how many sets it meets over all its segments. The text that the others of a family derive from has the most.
+    """
+    low = F.shiftright("place", 40)
+    bands = len(band_edges(percent)) - 2
+    skips = F.element_at(F.array(*[F.lit(plan(b, percent)[2]) for b in range(min(bands, 100))]), low.cast("int") + 1)
+    segments = signed.groupBy("key", "place").agg(F.sum("met").alias("met")).withColumn("low", low).withColumn("credits", F.col("place").bitwiseAND(3))
+    own = Window.partitionBy("key", "low").orderBy(F.desc("met"), "place").rowsBetween(Window.unboundedPreceding, 0)
+    out = segments.withColumn("spent", F.sum("credits").over(own)).where(F.col("spent") <= F.coalesce(skips, F.lit(0)))
+    fame = segments.groupBy("key").agg(F.sum("met").alias("fame"))
+    return signed.join(out.select("key", "place"), ["key", "place"], "left_anti").join(fame, "key").select("sig", "key", "n", "fame")
+
+
 def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose sets are similar, counted exactly."""
     one, two = (sets.select(F.col("key").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
@@ -218,17 +251,23 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
     classes = scratch.save(docs.mapInArrow(_classes(k), "doc_id long, n long, key long"), "classes")
 
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    signed = docs.select("text").mapInArrow(_signed(k, percent), "sig long, key long, n int")
     group = Window.partitionBy("sig")
-    signed = signed.withColumns({"lo": F.min("key").over(group), "hi": F.max("key").over(group)}).where("lo < hi")
-    first = F.min(F.struct("key", "n")).over(group)
-    signed = scratch.save(signed.withColumn("m", first["n"]).drop("hi").distinct(), "signed")
+    signed = docs.select("text").mapInArrow(_signed(k, percent), "sig long, key long, n int, place long")
+    signed = signed.withColumns({"lo": F.min("key").over(group), "hi": F.max("key").over(group), "met": F.count(F.lit(1)).over(group)}).where("lo < hi")
+    signed = scratch.save(signed.drop("lo", "hi").dropDuplicates(["sig", "key", "place"]), "shared")
+    signed = scratch.save(_affordable(signed, percent), "signed")
+    first = F.max(F.struct("fame", "key", "n")).over(group)
+    signed = scratch.save(signed.withColumns({"lo": first["key"], "m": first["n"]}).drop("fame"), "groups")
 
     involved = signed.select("key", "n").distinct()
     reps = classes.where("n > 0").join(involved.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = scratch.save(docs.join(reps, "doc_id").dropDuplicates(["key"]).select("key", "text").mapInArrow(_arrays(k), "key long, set array<long>"), "sets")
+    sketched = "key long, set array<long>, " + ", ".join(f"{c} long" for c in _BITS)
+    sets = scratch.save(docs.join(reps, "doc_id").dropDuplicates(["key"]).select("key", "text").mapInArrow(_arrays(k), sketched), "sets")
+    sketch = lambda key, by: sets.select(F.col("key").alias(key), *[F.col(c).alias(by + c) for c in _BITS])
 
-    stars = scratch.save(signed.where((F.col("lo") < F.col("key")) & near).select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+    met = signed.where((F.col("lo") != F.col("key")) & near).select(F.col("lo").alias("a"), F.col("key").alias("b"), "n", "m").distinct()
+    met = met.join(sketch("a", "a"), "a").join(sketch("b", "b"), "b").where(_apart(F.col("n"), F.col("m"), "a", "b", percent))
+    stars = scratch.save(met.select("a", "b"), "stars")
     links = scratch.save(_verified(stars, sets, percent), "links")
     roots = scratch.save(components(scratch, links, "near"), "roots")
 
@@ -236,10 +275,12 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
     x = signed.select("sig", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     x = x.withColumns({"lo": F.min("root").over(group), "hi": F.max("root").over(group)}).where("lo < hi").drop("lo", "hi")
     x = scratch.save(x, "apart")
-    y = x.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = x.withColumnRenamed("key", "a").join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near).select("a", "b").distinct()
-    pairs = scratch.save(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(scratch.save(_verified(pairs, sets, percent), "links-2"))
+    x = x.join(sketch("key", "a"), "key")
+    y = x.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), *[F.col("a" + c).alias("b" + c) for c in _BITS])
+    across = (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near & _apart(F.col("n"), F.col("m"), "a", "b", percent)
+    x = x.withColumnRenamed("key", "a").withColumnRenamed("sig", "_sig")
+    pairs = scratch.save(x.join(y, (F.col("_sig") == F.col("sig")) & across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), "pairs")
+    links = links.unionByName(scratch.save(_verified(pairs.select("a", "b"), sets, percent), "links-2"))
     roots = scratch.save(components(scratch, links, "all"), "roots-2")
 
     known = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
