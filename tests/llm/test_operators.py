@@ -308,6 +308,32 @@ def test_vector_search(spark):
     assert len(few) == 2 and vector_search.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_scan_finds_copies_of_the_query():
+    """Rotated coordinates of equal vectors differ by rounding; that must not count as a distance beyond a limit of 0."""
+    rng = np.random.default_rng(11)
+    dim = 64
+    for scale in (1.0, 1e-6, 1e6):
+        v = rng.normal(size=(60, dim)) * scale
+        v[::2] = v[0]
+        turn = vector_search.rotation(dim)
+        rotated = np.ascontiguousarray((v @ turn).T)
+        columns = [rotated[j : j + vector_search.COLUMNS] for j in range(0, dim, vector_search.COLUMNS)]
+        got = vector_search.scan_block(v[0] @ turn, columns, v, np.arange(60), 0, 10, np.inf, v[0])
+        assert got == [(0.0, i) for i in range(2, 22, 2)]
+
+
+def test_vector_search_of_copies(spark):
+    """A third of all rows are one vector: each of them has ten neighbours at distance 0."""
+    rng = np.random.default_rng(12)
+    common = rng.normal(size=64)
+    x = [(i, [float(v) for v in (common if i % 3 == 0 else rng.normal(size=64))]) for i in range(600)]
+    rows = vector_search.search(spark.createDataFrame(x, "vec_id long, embedding array<float>"), F.col("vec_id") % 60 == 0, block_rows=128).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {q: [(i, 0.0) for i in range(0, 600, 3) if i != q][:10] for q in range(0, 600, 60)}
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     rows, marks = [], []

@@ -4,8 +4,9 @@ Vectors are rotated by one random orthogonal matrix and put into the inverted li
 fitted on a bounded sample. A list is kept as blocks of rows whose rotated coordinates lie in column
 blocks. A query scans the lists nearest to it, column block by column block: after d of D rotated
 coordinates the partial squared distance, times D / d, estimates the whole, and a candidate whose
-estimate exceeds (1 + EPSILON / sqrt(d)) ** 2 times the tenth best squared distance so far fails the test and is
-abandoned. Distances returned are exact, in double precision, on the original vectors.
+estimate exceeds (1 + EPSILON / sqrt(d)) ** 2 times the tenth best squared distance so far, and by more than
+rounding, fails the test and is abandoned: copies of the query stay even where that best is 0. Distances
+returned are exact, in double precision, on the original vectors.
 
 A query probes lists in the order of their centroids until ``probe_rows`` rows or a share of all rows
 are reached, whichever is more, so small tables are searched whole. The share is the least that finds
@@ -90,12 +91,14 @@ def scan_block(query: np.ndarray, columns: list[np.ndarray], original: np.ndarra
     if limit == np.inf and len(alive) > k:  # a first limit: the tenth nearest of the first rows
         first = alive[: 4 * k]
         limit = np.partition(((original[first] - exact) ** 2).sum(1), k - 1)[k - 1]
+    # rotated coordinates of equal vectors differ by rounding; a vector within the limit is no longer than query and limit together
+    slack = 16 * dim * np.finfo(float).eps * ((exact**2).sum() + limit)
     for block in columns:
         width = block.shape[0]
         partial = partial + ((block[:, alive] - query[d : d + width, None]) ** 2).sum(0)
         d += width
         if d < dim and limit < np.inf:
-            keep = partial * dim / d <= limit * (1 + epsilon / np.sqrt(d)) ** 2
+            keep = partial * dim / d <= limit * (1 + epsilon / np.sqrt(d)) ** 2 + slack
             alive, partial = alive[keep], partial[keep]
     whole = ((original[alive] - exact) ** 2).sum(1)
     if len(alive) > k:  # all that tie with the k-th stay for the sort by id
