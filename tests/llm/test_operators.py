@@ -270,6 +270,16 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(unlabelled).first()["verdict"] == "allow" and url_filter.filter_urls(unlabelled.limit(0)).count() == 0
 
 
+def test_url_rules_count_all_labelled_rows(spark):
+    """More than a million labelled rows: confidence is the share among all of them, whichever url repeats."""
+    ids = spark.range(1_200_000).withColumnRenamed("id", "page_id")
+    url = F.when(F.col("page_id") % 3 == 0, "https://a.example.org/es/1").when(F.col("page_id") % 10 == 1, F.concat(F.lit("https://example.org/en/12?q="), "page_id")).otherwise(F.concat(F.lit("https://example.org/en/2?q="), "page_id"))
+    asked = spark.createDataFrame([(-1, "https://x.net/en/")], "page_id long, url string")
+    got = url_filter.filter_urls(ids.withColumn("url", url).unionByName(asked)).where("page_id = -1").first()
+    blocked = sum(i % 3 != 0 and i % 10 == 1 for i in range(1_200_000))
+    assert (got["verdict"], got["mined"]) == ("allow", "seg=en") and got["confidence"] == 1 - blocked / 800_000
+
+
 def test_mined_rules_against_counts(spark):
     rng = random.Random(2)
     rows = [(sorted(t for t in "abcd" if rng.random() < 0.5), rng.choice(["allow", "block"]) if rng.random() < 0.3 else "allow") for _ in range(200)]
