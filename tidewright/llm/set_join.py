@@ -14,7 +14,8 @@ Equal sets are one class from the start. Classes that share a signature meet the
 that shares a signature goes unchecked. Before two sets are brought together their parity sketches
 are: every element flips one of 1024 bits, so the bits in which two sketches differ are no more than
 the elements in which the sets do, and within a family of loose copies most pairs end there, inside the join.
-Verification counts the common hashes of both sets exactly.
+Verification counts the common hashes of both sets exactly. The result is components, not links: pairs
+inside a component other than star edges are not compared.
 
 Defined results: null texts and texts without words have the empty set, linked with nothing; shorter
 texts than k words are one shingle; repeated rows are of one class; a null doc_id takes part with
