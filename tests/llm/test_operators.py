@@ -134,12 +134,37 @@ def cut_by_hand(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("crowd", [3, 10**6])
+@pytest.mark.parametrize("crowd", [1, 2, 3, 8, 30, 10**6])
 def test_repeats(docs, crowd):
     got = repeats.cut_repeats(clashing(docs, "h", "d", "x"), crowd=crowd)
     assert Counter(collected(got)) == cut_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()], 50)
 
 
+@pytest.mark.parametrize("size", [2, 3, 7, 40, 200])
+def test_repeats_of_groups(spark, size):
+    """A line shared by ``size`` texts, in ever different and in equal surroundings, within a text and across, around every threshold."""
+    rng = random.Random(size)
+    line, tail = words(rng, 12), words(rng, 9)
+    rows = [(i, "\n".join(f"{words(rng, 3)} {line} {tail if i % 3 else words(rng, 4)}" for _ in range(1 + i % 4))) for i in range(size)]
+    rows += [(0, rows[-1][1]), (size, line * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = cut_by_hand(rows, 50)
+    for crowd in (4, 64):
+        assert Counter(collected(repeats.cut_repeats(frame, crowd=crowd))) == want
+
+
+def test_merge_settles_only_equal_bytes():
+    """Anchors whose surroundings differ are never merged, even under one name; those of the same d stay open."""
+    n = 6
+    held = np.zeros((n, 84), np.uint8)
+    held[3] = 1
+    h, lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int32), np.full(n, 34, np.int32)
+    d, x, a = np.array([5, 5, 7, 8, 5, 9]), np.array([1, 1, 2, 3, 4, 5]), np.array([0, 9, 0, 0, 0, 0], np.int32)
+    order, owner, settled = repeats.merge(h, d, x, a, lo, hi, held)
+    got = {int(o): (int(order[w]), bool(s)) for o, w, s in zip(order, owner, settled)}
+    assert got == {0: (0, False), 1: (0, False), 2: (2, True), 3: (3, False), 4: (4, False), 5: (5, True)}
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.cut_repeats(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -5,14 +5,16 @@ doc_id. Ranking every position is out of reach (each byte of text would cost som
 round), so positions are sampled such that nothing is lost: of the 16-byte strings inside each
 window of 50 bytes the one with the smallest hash is the window's anchor; equal windows have equal anchors.
 
-Round one: Spark sorts all anchors by the rank (a 64-bit name) of their first 16 bytes; those of one
-text alone are unique and done. Round two: the anchors left are sorted again by rank and document,
-each with the bytes of its windows; their windows are ranked at 50 bytes, past the threshold, as
-strings at growing distance before the anchor, and a window is repeated where its rank came before in a
-smaller doc_id. A rank with more than ``crowd`` anchors is not held by one task: its windows become
-rows, of which Spark takes the smallest doc_id with partial sums.
+Round one ranks all anchors by a 64-bit name of their first 16 bytes; those of one text alone are
+unique and done. Round two: the anchors left go out with the bytes of their windows, which are ranked at
+50 bytes, past the threshold, as strings at growing distance before the anchor; a window is repeated where
+its rank came before in a smaller doc_id. Names only propose: a byte goes after the bytes of both windows were compared.
 
-Equal texts are one class from the start: all but the smallest doc_id lose every byte.
+Hot ranks. Round one sums up in every task before the shuffle and joins its result back, so that Spark can
+split a hot rank over tasks. Before round two every task merges its anchors that lie in equal
+surroundings: of a line that a text repeats, one is sent for all, and copies in larger doc_ids are settled on the
+spot. What is left of a rank with more than ``crowd`` anchors is not held by one task: its windows become rows under a
+128-bit name (2e-13 false matches are expected among 1e13 windows), of which Spark takes the smallest doc_id with partial sums.
 
 Defined results: null and empty texts have 0 bytes and lose none; texts of fewer than 50 bytes lose
 none; a null doc_id counts as the largest; repeated doc_ids are not smaller than each other; repeated rows
@@ -26,13 +28,13 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewright.llm.common import _BYTE, Scratch, U, chunks, powers, mix, rolling, table, texts_of, window_hash
 
 LENGTH = 50
 SEED_BYTES = 16
-CROWD = 500_000  # anchors of a rank that one task may hold, some 200 MB with their ranks
+CROWD = 512  # anchors of a rank that one task holds; windows of the others are rows of their own
+MERGED = 1 << 15  # anchors of a task that are merged at once
 _CHUNK = 1 << 18
 _MASK = U(0xFFFFFFFF)
 
@@ -76,46 +78,83 @@ def _emit(length: int):
             for lo, hi in chunks(offsets, _CHUNK):
                 if new[lo:hi].any():
                     _, name, _, _, text = anchors_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
-                    keep = new[lo + text]
-                    yield pa.RecordBatch.from_arrays([pa.array(name[keep].view(np.int64)), pa.array(x[lo + text[keep]])], names=["h", "x"])
+                    name, text = name[new[lo + text]], text[new[lo + text]]
+                    order = np.lexsort((name, text))
+                    name, text = name[order], text[order]
+                    first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (text[1:] != text[:-1])])) if len(name) else order
+                    yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(x[lo + text[first]]), pa.array(np.diff(np.append(first, len(name))))], names=["h", "x", "c"])
 
     return run
 
 
 def _contexts(length: int):
-    reach = length - SEED_BYTES
+    reach, width = length - SEED_BYTES, 2 * length - SEED_BYTES
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            data, offsets = texts_of(batch.column("text"))
-            few, many = batch.column("few").to_pylist(), batch.column("many").to_pylist()
-            for lo, hi in chunks(offsets, _CHUNK):
-                part, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                place, name, first, last, text = anchors_of(part, bounds, length)
-                cut = np.searchsorted(text, np.arange(hi - lo + 1))
-                kind = np.zeros(len(place), np.int8)
-                for i in range(hi - lo):
-                    own = name[cut[i] : cut[i + 1]].view(np.int64)
-                    kind[cut[i] : cut[i + 1]] = np.isin(own, np.array(few[lo + i], np.int64)) + 2 * np.isin(own, np.array(many[lo + i], np.int64))
-                kept = np.flatnonzero(kind)
-                if not len(kept):
-                    continue
-                at = place[kept][:, None] + np.arange(-reach, length)[None, :]
-                inside = (at >= bounds[text[kept]][:, None]) & (at < bounds[text[kept] + 1][:, None])
-                held = np.where(inside, part[np.clip(at, 0, len(part) - 1)], 0).astype(np.uint8)
-                row = pa.array(lo + text[kept], pa.int32())
-                start = (place[kept] - bounds[text[kept]]).astype(np.int32)
-                bytes_ = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer((np.arange(len(kept) + 1) * held.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(held))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[kept].view(np.int64)), pa.array(kind[kept] == 2), batch.column("d").take(row), batch.column("x").take(row), pa.array(start), pa.array((place[kept] - last[kept]).astype(np.int32)), pa.array((place[kept] - first[kept]).astype(np.int32)), bytes_],
-                    names=["h", "crowded", "d", "x", "a", "lo", "hi", "held"],
-                )
+        parts: list[tuple] = []
+        for batch in _then_none(batches):
+            if batch is not None:
+                data, offsets = texts_of(batch.column("text"))
+                few, many = batch.column("few").to_pylist(), batch.column("many").to_pylist()
+                d, x = batch.column("d").to_numpy(), batch.column("x").to_numpy()
+                for lo, hi in chunks(offsets, _CHUNK):
+                    part, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                    place, name, first, last, text = anchors_of(part, bounds, length)
+                    cut = np.searchsorted(text, np.arange(hi - lo + 1))
+                    kind = np.zeros(len(place), np.int8)
+                    for i in range(hi - lo):
+                        own = name[cut[i] : cut[i + 1]].view(np.int64)
+                        kind[cut[i] : cut[i + 1]] = np.isin(own, np.array(few[lo + i], np.int64)) + 2 * np.isin(own, np.array(many[lo + i], np.int64))
+                    kept = np.flatnonzero(kind)
+                    least, most = place[kept] - last[kept], place[kept] - first[kept]
+                    column = np.arange(width)[None, :]
+                    inside = (column >= (reach - most)[:, None]) & (column < (reach - least + length)[:, None])
+                    held = np.where(inside, part[np.clip(place[kept][:, None] + column - reach, 0, max(0, len(part) - 1))], 0).astype(np.uint8) if len(kept) else np.zeros((0, width), np.uint8)
+                    start = (place[kept] - bounds[text[kept]]).astype(np.int32)
+                    parts.append((name[kept].view(np.int64), kind[kept] == 2, d[lo + text[kept]], x[lo + text[kept]], start, least.astype(np.int32), most.astype(np.int32), held))
+                    if sum(len(p[0]) for p in parts) >= MERGED:
+                        yield _merged(pa, parts)
+                        parts = []
+        if parts:
+            yield _merged(pa, parts)
 
     return run
 
 
+def merge(h, d, x, a, lo, hi, held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in equal surroundings: (their order, for each in it the place of the one that goes for it, whether a smaller d settles it)."""
+    key = mix(h.view(np.uint64) ^ (lo * 64 + hi).astype(np.uint64))
+    words = np.pad(held, ((0, 0), (0, -held.shape[1] % 8))).view(np.uint64)
+    for j in range(words.shape[1]):
+        key = mix(key + words[:, j])
+    order = np.lexsort((a, x, d, key))
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    one, two = order, order[head]
+    equal = (h[one] == h[two]) & (lo[one] == lo[two]) & (hi[one] == hi[two]) & (held[one] == held[two]).all(1)
+    settled = equal & (d[one] > d[two])
+    owner = np.where(equal & (d[one] == d[two]) & (x[one] == x[two]), head, np.arange(len(order)))
+    return order, owner, settled
+
+
+def _merged(pa, parts: list[tuple]):
+    h, crowded, d, x, a, lo, hi, held = (np.concatenate(c) for c in zip(*parts))
+    order, owner, settled = merge(h, d, x, a, lo, hi, held)
+    own = np.flatnonzero(owner == np.arange(len(order)))
+    by_owner = np.argsort(owner, kind="stable")
+    cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(order))[own])]).astype(np.int32)
+    rows, done = order[own], settled[own]
+    bits = ((np.int64(1) << (hi - lo + 1).astype(np.int64)) - 1) << lo.astype(np.int64)
+    size = np.where(done, 0, held.shape[1])
+    data = pa.py_buffer(np.ascontiguousarray(held[rows[~done]]))
+    bytes_ = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), data])
+    places = pa.ListArray.from_arrays(pa.array(cut), pa.array(a[order[by_owner]]))
+    columns = [pa.array(h[rows]), pa.array(crowded[rows]), pa.array(d[rows]), pa.array(x[rows]), places, pa.array(lo[rows]), pa.array(hi[rows]), bytes_, pa.array(np.where(done, bits[rows], 0))]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "crowded", "d", "x", "a", "lo", "hi", "held", "mask"])
+
+
 def _matrix(column, width: int) -> np.ndarray:
     data, offsets = texts_of(column)
     return data[offsets[0] : offsets[-1]].reshape(-1, width)
@@ -141,11 +180,13 @@ def repeated_windows(h: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarra
         if len(rows) < 2:
             continue
         rank = mix(ranks[t, rows] ^ group[rows])
-        order = np.argsort(rank, kind="stable")
-        rank, ids = rank[order], d[rows[order]]
+        order = np.argsort(rank)
+        rank, rows = rank[order], rows[order]
         new = np.concatenate([[True], rank[1:] != rank[:-1]])
-        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]  # stable: the first of a rank has the smallest d
-        mask[rows[order[ids > least]]] |= 1 << t
+        head = np.minimum.reduceat(rows, np.flatnonzero(new))[np.cumsum(new) - 1]  # of a rank, the first row has the smallest d
+        later = np.flatnonzero(d[rows] > d[head])
+        rows, head, at = rows[later], head[later], reach - t
+        mask[rows[(held[rows, at : at + length] == held[head, at : at + length]).all(1)]] |= 1 << t
     return mask
 
 
@@ -189,13 +230,12 @@ def _windows(length: int):
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 lo, hi = part.column("lo").to_numpy(), part.column("hi").to_numpy()
-                prefix = _prefix(_matrix(part.column("held"), width))
+                held = _matrix(part.column("held"), width)
                 rows = np.repeat(np.arange(len(lo)), hi - lo + 1)
                 t = np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[rows]
-                start = reach - t
-                rank = window_hash_at(prefix, rows, start, start + length)
+                ranks = [window_hash_at(_prefix(bytes_), rows, reach - t, reach - t + length) for bytes_ in (held, held ^ 0xA7)]
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), *[part.column(c).take(take) for c in ("d", "x", "a")], pa.array(t.astype(np.int32))], names=["rank", "d", "x", "a", "t"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(r.view(np.int64)) for r in ranks], *[part.column(c).take(take) for c in ("d", "x", "a")], pa.array(t.astype(np.int32))], names=["r1", "r2", "d", "x", "a", "t"])
 
     return run
 
@@ -212,14 +252,18 @@ def _cut(length: int):
 
         for batch in batches:
             removed, spans, sha = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                cover = np.zeros(len(text) + 1, np.int32)
-                a = np.array([f["a"] for f in found], np.int64)
-                mask = np.array([f["mask"] for f in found], np.int64)
+            found = batch.column("found")
+            places, masks = found.values.field("a"), found.values.field("mask").to_numpy()
+            cut, starts, values = found.offsets.to_numpy(), places.offsets.to_numpy(), places.values.to_numpy()
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                own = slice(cut[i], cut[i + 1])
+                mask = np.repeat(masks[own], np.diff(starts[cut[i] : cut[i + 1] + 1]))
+                a = values[starts[cut[i]] : starts[cut[i + 1]]].astype(np.int64)
+                cover = np.zeros(len(text) + 1, np.int64)
                 for t in range(length - SEED_BYTES + 1):
                     start = a[(mask >> t) & 1 == 1] - t
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + length, -1)
+                    if len(start):
+                        cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + length, minlength=len(cover))
                 gone = np.cumsum(cover[:-1]) > 0
                 removed.append(int(gone.sum()))
                 spans.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]))
@@ -235,31 +279,32 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> Da
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     last = (1 << 63) - 1
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("d"))
-    x = x.withColumn("x", F.xxhash64("text", F.octet_length("text")))
-    slim = scratch.save(x.select("doc_id", "d", "x", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "slim")
-    firsts = slim.groupBy("x").agg(F.min("d").alias("d"))
-
-    group = Window.partitionBy("h")
-    ranked = x.where(F.octet_length("text") >= length).select("text", "x").mapInArrow(_emit(length), "h long, x long")
-    ranked = ranked.withColumns({"lo": F.min("x").over(group), "hi": F.max("x").over(group), "n": F.count(F.lit(1)).over(group)}).where("lo < hi")
-    shared = scratch.save(ranked.select("h", "x", (F.col("n") > crowd).alias("crowded")), "shared")
+    x = x.withColumns({"x": F.xxhash64("text", F.octet_length("text")), "y": F.xxhash64(F.lit(3), "text")})  # a text's name has 128 bits
+    slim = scratch.save(x.select("doc_id", "d", "x", "y", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "slim")
+    firsts = slim.groupBy("x", "y").agg(F.min("d").alias("d"))
+
+    anchors = x.where(F.octet_length("text") >= length).select("text", "x").mapInArrow(_emit(length), "h long, x long, c long")
+    ranks = anchors.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n")).where("lo < hi")
+    ranks = scratch.save(ranks.select("h", (F.col("n") > crowd).alias("crowded")), "ranks")
+    shared = scratch.save(anchors.join(ranks, "h").select("h", "x", "crowded"), "shared")
     lists = shared.groupBy("x").agg(F.collect_set(F.when(~F.col("crowded"), F.col("h"))).alias("few"), F.collect_set(F.when(F.col("crowded"), F.col("h"))).alias("many"))
 
-    own = lists.join(firsts, "x")
+    own = lists.join(firsts.select("x", "d").distinct(), "x")
     held = x.select("d", "x", "text").join(own, ["d", "x"]).select("d", "x", "text", "few", "many")
-    held = scratch.save(held.mapInArrow(_contexts(length), "h long, crowded boolean, d long, x long, a int, lo int, hi int, held binary"), "contexts")
-    scratch.drop("shared")
+    held = scratch.save(held.mapInArrow(_contexts(length), "h long, crowded boolean, d long, x long, a array<int>, lo int, hi int, held binary, mask long"), "contexts")
+    scratch.drop("shared", "ranks")
 
-    found = held.where(~F.col("crowded")).drop("crowded").repartition("h").sortWithinPartitions("h", "d").mapInArrow(_judge(length), "d long, x long, a int, mask long")
+    open_, settled = held.where("mask = 0").drop("mask"), held.where("mask <> 0").select("d", "x", "a", "mask")
+    found = open_.where(~F.col("crowded")).drop("crowded").repartition("h").sortWithinPartitions("h", "d").mapInArrow(_judge(length), "d long, x long, a array<int>, mask long")
     found = scratch.save(found, "found")
-    windows = held.where("crowded").mapInArrow(_windows(length), "rank long, d long, x long, a int, t int")
-    least = windows.groupBy("rank").agg(F.min("d").alias("least"))
-    crowds = windows.join(least, "rank").where("d > least").groupBy("d", "x", "a").agg(F.expr("bit_or(shiftleft(1L, t))").alias("mask"))
-    found = found.unionByName(scratch.save(crowds, "found-2")).groupBy("d", "x").agg(F.collect_list(F.struct("a", "mask")).alias("found"))
+    windows = open_.where("crowded").mapInArrow(_windows(length), "r1 long, r2 long, d long, x long, a array<int>, t int")
+    least = scratch.save(windows.groupBy("r1", "r2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most"), "least")
+    crowds = windows.join(least, ["r1", "r2"]).where("d > least").groupBy("d", "x", "a").agg(F.expr("bit_or(shiftleft(1L, t))").alias("mask"))
+    found = found.unionByName(scratch.save(crowds, "found-2")).unionByName(settled).groupBy("d", "x").agg(F.collect_list(F.struct("a", "mask")).alias("found"))
     parts = scratch.save(x.select("d", "x", "text").join(found, ["d", "x"]).mapInArrow(_cut(length), "d long, x long, n_removed long, n_spans long, kept_sha256 string"), "parts").dropDuplicates(["d", "x"])
-    scratch.drop("contexts")
+    scratch.drop("contexts", "found", "found-2", "least")
 
-    out = slim.join(firsts.withColumnRenamed("d", "first"), "x").join(parts, ["d", "x"], "left")
+    out = slim.join(firsts.withColumnRenamed("d", "first"), ["x", "y"]).join(parts, ["d", "x"], "left")
     copy = (F.col("d") > F.col("first")) & (F.col("n_bytes") >= length)
     return out.select(
         "doc_id", "n_bytes",
