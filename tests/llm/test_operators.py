@@ -346,15 +346,38 @@ def test_vector_search(spark):
 def test_scan_finds_copies_of_the_query():
     """Rotated coordinates of equal vectors differ by rounding; that must not count as a distance beyond a limit of 0."""
     rng = np.random.default_rng(11)
-    dim = 64
     for scale in (1.0, 1e-6, 1e6):
-        v = rng.normal(size=(60, dim)) * scale
+        v = rng.normal(size=(60, 64)) * scale
         v[::2] = v[0]
-        turn = vector_search.rotation(dim)
-        rotated = np.ascontiguousarray((v @ turn).T)
-        columns = [rotated[j : j + vector_search.COLUMNS] for j in range(0, dim, vector_search.COLUMNS)]
-        got = vector_search.scan_block(v[0] @ turn, columns, v, np.arange(60), 0, 10, np.inf, v[0])
-        assert got == [(0.0, i) for i in range(2, 22, 2)]
+        turn, ids = vector_search.rotation(64), np.arange(60)
+        block = vector_search.Block(np.zeros(60, int), ids, ids, v, v @ turn)
+        for limit in (np.inf, 0.0):
+            q, found, whole = vector_search.search_block(block, [np.array([0])], ids[:1], v[:1], v[:1] @ turn, np.array([limit]), 10)
+            assert found.tolist() == list(range(2, 22, 2)) and not whole.any() and not q.any()
+
+
+def test_scan_abandons_early():
+    """With the limit that runs on, well under half of the coordinates of far candidates are computed, and hardly a neighbour is lost."""
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    lists, ids, turn = np.sort(rng.integers(0, 100, 4000)), np.arange(4000), vector_search.rotation(64)
+    block = vector_search.Block(lists, ids, ids, v, v @ turn)
+    asked = [np.arange(100)] * 40
+    d = ((v[:40, None] - v[None]) ** 2).sum(2)
+    d[np.arange(40), np.arange(40)] = np.inf
+    q, found, _ = vector_search.search_block(block, asked, ids[:40], v[:40], v[:40] @ turn, 1.06 * np.sort(d, axis=1)[:, 9], 10)
+    hits = sum(len(set(np.argsort(d[i])[:10]) & set(found[q == i])) for i in range(40))
+    assert block.scanned < 0.5 * block.pairs * 64 and hits >= 0.95 * 400
+
+
+def test_vector_search_of_repeated_ids(spark):
+    """Rows of one id are queries and candidates of their own, whatever the blocks of rows and queries."""
+    x = [(0, [0.0, 1.0]), (0, [0.0, 3.0]), (1, [0.0, 1.5]), (2, [0.0, 2.8]), (3, [9.0, 9.0])]
+    frame = spark.createDataFrame(x, "vec_id long, embedding array<float>")
+    for rows in (1, 4096):
+        got = vector_search.search(frame, F.col("vec_id") == 0, k=2, block_rows=rows).collect()
+        assert Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 5)) for r in got) == Counter([(0, 1, 1, 0.5), (0, 2, 2, 1.8), (0, 1, 2, 0.2), (0, 2, 1, 1.5)])
 
 
 def test_vector_search_of_copies(spark):
