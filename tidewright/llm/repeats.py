@@ -13,8 +13,9 @@ its rank came before in a smaller doc_id. Names only propose: a byte goes after
 Hot ranks. Round one sums up in every task before the shuffle and joins its result back, so that Spark can
 split a hot rank over tasks. Before round two every task merges its anchors that lie in equal
 surroundings: of a line that a text repeats, one is sent for all, and copies in larger doc_ids are settled on the
-spot. What is left of a rank with more than ``crowd`` anchors is not held by one task: its windows become rows under a
-128-bit name (2e-13 false matches are expected among 1e13 windows), of which Spark takes the smallest doc_id with partial sums.
+spot. What is left of a rank with more than ``crowd`` anchors is not held by one task: Spark settles equal surroundings
+among all tasks in the same way, and the windows of what stays become rows, of which it takes the smallest doc_id; both by partial sums over
+128-bit names (2e-13 false matches are expected among 1e13 of them).
 
 Defined results: null and empty texts have 0 bytes and lose none; texts of fewer than 50 bytes lose
 none; a null doc_id counts as the largest; repeated doc_ids are not smaller than each other; repeated rows
@@ -33,7 +34,7 @@ from tidewright.llm.common import _BYTE, Scratch, U, chunks, powers, mix, rollin
 
 LENGTH = 50
 SEED_BYTES = 16
-CROWD = 512  # anchors of a rank that one task holds; windows of the others are rows of their own
+CROWD = 128  # anchors of a rank that one task holds; windows of the others are rows of their own
 MERGED = 1 << 15  # anchors of a task that are merged at once
 _CHUNK = 1 << 18
 _MASK = U(0xFFFFFFFF)
@@ -97,7 +98,7 @@ def _contexts(length: int):
         for batch in _then_none(batches):
             if batch is not None:
                 data, offsets = texts_of(batch.column("text"))
-                few, many = batch.column("few").to_pylist(), batch.column("many").to_pylist()
+                (few, to), (many, till) = (_lists(batch.column(c)) for c in ("few", "many"))
                 d, x = batch.column("d").to_numpy(), batch.column("x").to_numpy()
                 for lo, hi in chunks(offsets, _CHUNK):
                     part, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -106,7 +107,7 @@ def _contexts(length: int):
                     kind = np.zeros(len(place), np.int8)
                     for i in range(hi - lo):
                         own = name[cut[i] : cut[i + 1]].view(np.int64)
-                        kind[cut[i] : cut[i + 1]] = np.isin(own, np.array(few[lo + i], np.int64)) + 2 * np.isin(own, np.array(many[lo + i], np.int64))
+                        kind[cut[i] : cut[i + 1]] = np.isin(own, few[to[lo + i] : to[lo + i + 1]]) + 2 * np.isin(own, many[till[lo + i] : till[lo + i + 1]])
                     kept = np.flatnonzero(kind)
                     least, most = place[kept] - last[kept], place[kept] - first[kept]
                     column = np.arange(width)[None, :]
@@ -123,12 +124,23 @@ def _contexts(length: int):
     return run
 
 
-def merge(h, d, x, a, lo, hi, held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors in equal surroundings: (their order, for each in it the place of the one that goes for it, whether a smaller d settles it)."""
-    key = mix(h.view(np.uint64) ^ (lo * 64 + hi).astype(np.uint64))
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of an Arrow list column."""
+    return column.values.to_numpy(), column.offsets.to_numpy()
+
+
+def surroundings(h, lo, hi, held, seed: int = 0) -> np.ndarray:
+    """A name of 64 bits for what merge() compares."""
+    key = mix(h.view(np.uint64) ^ (lo * 64 + hi).astype(np.uint64) + U(seed))
     words = np.pad(held, ((0, 0), (0, -held.shape[1] % 8))).view(np.uint64)
     for j in range(words.shape[1]):
         key = mix(key + words[:, j])
+    return key
+
+
+def merge(h, d, x, a, lo, hi, held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in equal surroundings: (their order, for each in it the place of the one that goes for it, whether a smaller d settles it)."""
+    key = surroundings(h, lo, hi, held)
     order = np.lexsort((a, x, d, key))
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -151,8 +163,12 @@ def _merged(pa, parts: list[tuple]):
     data = pa.py_buffer(np.ascontiguousarray(held[rows[~done]]))
     bytes_ = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), data])
     places = pa.ListArray.from_arrays(pa.array(cut), pa.array(a[order[by_owner]]))
-    columns = [pa.array(h[rows]), pa.array(crowded[rows]), pa.array(d[rows]), pa.array(x[rows]), places, pa.array(lo[rows]), pa.array(hi[rows]), bytes_, pa.array(np.where(done, bits[rows], 0))]
-    return pa.RecordBatch.from_arrays(columns, names=["h", "crowded", "d", "x", "a", "lo", "hi", "held", "mask"])
+    many = crowded[rows] & ~done
+    names = np.zeros((2, len(rows)), np.uint64)
+    for seed in (0, 1):
+        names[seed, many] = surroundings(*(c[rows[many]] for c in (h, lo, hi, held)), seed + 1)
+    columns = [pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(h[rows]), pa.array(crowded[rows]), pa.array(d[rows]), pa.array(x[rows]), places, pa.array(lo[rows]), pa.array(hi[rows]), bytes_, pa.array(np.where(done, bits[rows], 0))]
+    return pa.RecordBatch.from_arrays(columns, names=["s1", "s2", "h", "crowded", "d", "x", "a", "lo", "hi", "held", "mask"])
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -235,7 +251,7 @@ def _windows(length: int):
                 t = np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[rows]
                 ranks = [window_hash_at(_prefix(bytes_), rows, reach - t, reach - t + length) for bytes_ in (held, held ^ 0xA7)]
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([*[pa.array(r.view(np.int64)) for r in ranks], *[part.column(c).take(take) for c in ("d", "x", "a")], pa.array(t.astype(np.int32))], names=["r1", "r2", "d", "x", "a", "t"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(r.view(np.int64)) for r in ranks], *[part.column(c).take(take) for c in ("d", "id")], pa.array(t.astype(np.int32))], names=["r1", "r2", "d", "id", "t"])
 
     return run
 
@@ -259,11 +275,8 @@ def _cut(length: int):
                 own = slice(cut[i], cut[i + 1])
                 mask = np.repeat(masks[own], np.diff(starts[cut[i] : cut[i + 1] + 1]))
                 a = values[starts[cut[i]] : starts[cut[i + 1]]].astype(np.int64)
-                cover = np.zeros(len(text) + 1, np.int64)
-                for t in range(length - SEED_BYTES + 1):
-                    start = a[(mask >> t) & 1 == 1] - t
-                    if len(start):
-                        cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + length, minlength=len(cover))
+                start = np.concatenate([a[(mask >> t) & 1 == 1] - t for t in range(length - SEED_BYTES + 1)])
+                cover = np.bincount(start, minlength=len(text) + 1) - np.bincount(start + length, minlength=len(text) + 1)
                 gone = np.cumsum(cover[:-1]) > 0
                 removed.append(int(gone.sum()))
                 spans.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]))
@@ -291,18 +304,26 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> Da
 
     own = lists.join(firsts.select("x", "d").distinct(), "x")
     held = x.select("d", "x", "text").join(own, ["d", "x"]).select("d", "x", "text", "few", "many")
-    held = scratch.save(held.mapInArrow(_contexts(length), "h long, crowded boolean, d long, x long, a array<int>, lo int, hi int, held binary, mask long"), "contexts")
+    made = "s1 long, s2 long, h long, crowded boolean, d long, x long, a array<int>, lo int, hi int, held binary, mask long"
+    held = scratch.save(held.mapInArrow(_contexts(length), made), "contexts")
     scratch.drop("shared", "ranks")
 
-    open_, settled = held.where("mask = 0").drop("mask"), held.where("mask <> 0").select("d", "x", "a", "mask")
-    found = open_.where(~F.col("crowded")).drop("crowded").repartition("h").sortWithinPartitions("h", "d").mapInArrow(_judge(length), "d long, x long, a array<int>, mask long")
-    found = scratch.save(found, "found")
-    windows = open_.where("crowded").mapInArrow(_windows(length), "r1 long, r2 long, d long, x long, a array<int>, t int")
-    least = scratch.save(windows.groupBy("r1", "r2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most"), "least")
-    crowds = windows.join(least, ["r1", "r2"]).where("d > least").groupBy("d", "x", "a").agg(F.expr("bit_or(shiftleft(1L, t))").alias("mask"))
-    found = found.unionByName(scratch.save(crowds, "found-2")).unionByName(settled).groupBy("d", "x").agg(F.collect_list(F.struct("a", "mask")).alias("found"))
+    place = ["d", "x", "a"]
+    found = held.where("mask = 0 and not crowded").select("h", *place, "lo", "hi", "held").repartition("h").sortWithinPartitions("h", "d").mapInArrow(_judge(length), "d long, x long, a array<int>, mask long")
+    found = scratch.save(found, "found").unionByName(held.where("mask <> 0").select(*place, "mask"))
+
+    crowds = held.where("mask = 0 and crowded")
+    least = scratch.save(crowds.groupBy("s1", "s2").agg(F.min("d").alias("least")), "least")
+    crowds = crowds.join(least, ["s1", "s2"]).withColumn("mask", F.when(F.col("d") > F.col("least"), F.expr("shiftleft(shiftleft(1L, hi - lo + 1) - 1, lo)")).otherwise(F.lit(0)))
+    crowds = scratch.save(crowds.select(F.monotonically_increasing_id().alias("id"), *place, "lo", "hi", "held", "mask"), "crowds")
+    windows = crowds.where("mask = 0").mapInArrow(_windows(length), "r1 long, r2 long, d long, id long, t int")
+    least = scratch.save(windows.groupBy("r1", "r2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most"), "least-2")
+    later = windows.join(least, ["r1", "r2"]).where("d > least").groupBy("id").agg(F.expr("bit_or(shiftleft(1L, t))").alias("mask"))
+    later = crowds.select("id", *place).join(scratch.save(later, "later"), "id").drop("id")
+
+    found = found.unionByName(crowds.where("mask <> 0").select(*place, "mask")).unionByName(later).groupBy("d", "x").agg(F.collect_list(F.struct("a", "mask")).alias("found"))
     parts = scratch.save(x.select("d", "x", "text").join(found, ["d", "x"]).mapInArrow(_cut(length), "d long, x long, n_removed long, n_spans long, kept_sha256 string"), "parts").dropDuplicates(["d", "x"])
-    scratch.drop("contexts", "found", "found-2", "least")
+    scratch.drop("contexts", "found", "least", "crowds", "least-2", "later")
 
     out = slim.join(firsts.withColumnRenamed("d", "first"), ["x", "y"]).join(parts, ["d", "x"], "left")
     copy = (F.col("d") > F.col("first")) & (F.col("n_bytes") >= length)
