@@ -42,14 +42,18 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="scratch-")
         self.spark, self.base = spark, f"{base}/{uuid.uuid4().hex}"
 
+    #: What is written needs no shuffle files any more; what goes to Python is bounded by bytes, however long its texts are.
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path, keep = f"{self.base}/{name}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(keep, "false")
-        self.spark.conf.set(keep, "true")  # what is written needs no shuffle files any more
+        path, before = f"{self.base}/{name}", {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
         try:
+            for k, v in self.SETTINGS.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(keep, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -296,17 +296,18 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> Da
     slim = scratch.save(x.select("doc_id", "d", "x", "y", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "slim")
     firsts = slim.groupBy("x", "y").agg(F.min("d").alias("d"))
 
-    anchors = x.where(F.octet_length("text") >= length).select("text", "x").mapInArrow(_emit(length), "h long, x long, c long")
+    anchors = scratch.save(x.where(F.octet_length("text") >= length).select("text", "x").mapInArrow(_emit(length), "h long, x long, c long"), "anchors")
     ranks = anchors.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n")).where("lo < hi")
     ranks = scratch.save(ranks.select("h", (F.col("n") > crowd).alias("crowded")), "ranks")
     shared = scratch.save(anchors.join(ranks, "h").select("h", "x", "crowded"), "shared")
+    scratch.drop("anchors", "ranks")
     lists = shared.groupBy("x").agg(F.collect_set(F.when(~F.col("crowded"), F.col("h"))).alias("few"), F.collect_set(F.when(F.col("crowded"), F.col("h"))).alias("many"))
 
     own = lists.join(firsts.select("x", "d").distinct(), "x")
     held = x.select("d", "x", "text").join(own, ["d", "x"]).select("d", "x", "text", "few", "many")
     made = "s1 long, s2 long, h long, crowded boolean, d long, x long, a array<int>, lo int, hi int, held binary, mask long"
     held = scratch.save(held.mapInArrow(_contexts(length), made), "contexts")
-    scratch.drop("shared", "ranks")
+    scratch.drop("shared")
 
     place = ["d", "x", "a"]
     found = held.where("mask = 0 and not crowded").select("h", *place, "lo", "hi", "held").repartition("h").sortWithinPartitions("h", "d").mapInArrow(_judge(length), "d long, x long, a array<int>, mask long")
