@@ -111,6 +111,39 @@ def test_signatures_meet(percent):
         assert sum(int(x).bit_count() for x in (set_join.parity(a) ^ set_join.parity(b)).view(np.uint64)) <= differ
 
 
+def test_set_join_keeps_links_over_odd_ids(spark):
+    """A null doc_id links its neighbours; two texts under one doc_id are two sets, in whatever order the rows come."""
+    rng = random.Random(21)
+    a = words(rng, 60).split()
+    change = lambda t, at: " ".join([*t[:at], f"n{at}", *t[at + 1 :]])
+    b = change(a, 0)
+    c = change(b.split(), 59)
+    assert components([(1, " ".join(a)), (3, c)], 4, 95) == Counter([(1, 57, 1), (3, 57, 3)])
+    bridge = [(1, " ".join(a)), (None, b), (3, c)]
+    twice = [(1, " ".join(a)), (1, words(rng, 50)), (2, b)]
+    for rows in (bridge, bridge[::-1], twice, twice[::-1], [(None, t) for _, t in bridge] + [(5, words(rng, 30))]):
+        got = set_join.join_sets(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 4, 95).select("doc_id", "n_shingles", "component_id")
+        want = Counter((d, n, None if i == 1 << 62 else i) for (d, n, i), k in components(rows, 4, 95).items() for _ in range(k))
+        assert Counter(collected(got)) == want
+
+
+def test_near_duplicate_stage(spark):
+    """Rows go by text, not by doc_id: a unique text under a repeated id stays, as do texts without words."""
+    rng = random.Random(22)
+    a, other, third = words(rng, 60), words(rng, 40), words(rng, 30)
+    rows = [(1, a, "en", "s", 1), (7, a, "en", "s", 1), (7, other, "en", "s", 2), (None, a + " more", "en", "s", 3), (None, third, "en", "s", 4), (4, "", "en", "s", 5), (4, "", "de", "s", 5), (5, None, None, None, None), (1, a, "en", "s", 1), (1, a, "de", "s", 1)]
+    got = clashing(spark.createDataFrame(rows, DOCS), "x", "_row", "root")
+    kept = collected(set_join.stage(spark, got, "").select("doc_id", "text", "n_chars"))
+    assert Counter(kept) == Counter([(1, a, 1), (7, other, 2), (None, third, 4), (4, "", 5), (4, "", 5), (5, None, None)])
+    assert set_join.stage(spark, got, "").columns == got.columns and set_join.stage(spark, got.limit(0), "").count() == 0
+
+
+def test_every_band_has_a_plan():
+    for percent in (80, 85):
+        edges = set_join.band_edges(percent)
+        assert edges[-1] >= 1 << 40 and all(set_join.plan(b, percent)[0] > 0 for b in range(len(edges) - 2))
+
+
 def test_set_join_of_nothing(spark):
     assert set_join.join_sets(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -17,9 +17,15 @@ the elements in which the sets do, and within a family of loose copies most pair
 Verification counts the common hashes of both sets exactly. The result is components, not links: pairs
 inside a component other than star edges are not compared.
 
+Hot signatures and large components are never dealt to one task: what a group has in common is summed up in every task
+first and written, and joined back, so that Spark can split a group over tasks.
+
+Names: a set is known by 64 bits, a text by 128. Two of 2.5e10 different sets (100 TB) share a name with an expected 17 pairs,
+of which only such of equal size band meet in anything but a needless comparison.
+
 Defined results: null texts and texts without words have the empty set, linked with nothing; shorter
-texts than k words are one shingle; repeated rows are of one class; a null doc_id takes part with
-the id null, which counts as the largest; an empty table gives an empty table; other columns are ignored.
+texts than k words are one shingle; repeated rows are of one class; a null doc_id takes part (and links others) with
+the id null, which counts as the largest; texts of a repeated doc_id are texts of their own; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,7 +147,7 @@ def _classes(k: int):
             n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, own in _sets(batch, k):
                 n[i], key[i] = len(own), _key(own) if len(own) else 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(key)], names=["doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "x", "y")], pa.array(n), pa.array(key)], names=["doc_id", "x", "y", "n", "key"])
 
     return run
 
@@ -150,10 +156,12 @@ def _signed(k: int, percent: int):
     def run(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()  # sets of this task: a copy adds nothing
         for batch in batches:
             n, key, sigs, places = [], [], [], []
             for _, own in _sets(batch, k):
-                if len(own):
+                if len(own) and _key(own) not in seen:
+                    seen.add(_key(own))
                     sig, place = signatures(own, percent)
                     for column, value in zip((n, key, sigs, places), (len(own), _key(own), sig, place)):
                         column.append(value)
@@ -228,8 +236,7 @@ def _affordable(signed: DataFrame, percent: int) -> DataFrame:
     With each set's fame: how many sets it meets over all its segments. The text that the others of a family derive from has the most.
     """
     low = F.shiftright("place", 40)
-    bands = len(band_edges(percent)) - 2
-    skips = F.element_at(F.array(*[F.lit(plan(b, percent)[2]) for b in range(min(bands, 100))]), low.cast("int") + 1)
+    skips = F.try_element_at(F.array(*[F.lit(plan(b, percent)[2]) for b in range(len(band_edges(percent)) - 2)]), low.cast("int") + 1)
     segments = signed.groupBy("key", "place").agg(F.sum("met").alias("met")).withColumn("low", low).withColumn("credits", F.col("place").bitwiseAND(3))
     own = Window.partitionBy("key", "low").orderBy(F.desc("met"), "place").rowsBetween(Window.unboundedPreceding, 0)
     out = segments.withColumn("spent", F.sum("credits").over(own)).where(F.col("spent") <= F.coalesce(skips, F.lit(0)))
@@ -245,25 +252,33 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(similar(common, F.size("sa").cast("long"), F.size("sb").cast("long"), percent)).select("a", "b")
 
 
-def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, key, component_id) of every document; equal keys and sizes: equal sets."""
+def text_names(text) -> dict:
+    """128 bits that stand for a text."""
+    return {"x": F.xxhash64(F.lit(1), text.isNull(), text), "y": F.xxhash64(F.lit(2), text.isNull(), text)}
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, x, y, n, key, root, component_id) of every row: its text's name, set's size and name, component by the name and by the smallest doc_id."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = scratch.save(docs.mapInArrow(_classes(k), "doc_id long, n long, key long"), "classes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(text_names(F.col("text")))
+    classes = scratch.save(docs.mapInArrow(_classes(k), "doc_id long, x long, y long, n long, key long"), "classes")
 
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    group = Window.partitionBy("sig")
     signed = docs.select("text").mapInArrow(_signed(k, percent), "sig long, key long, n int, place long")
-    signed = signed.withColumns({"lo": F.min("key").over(group), "hi": F.max("key").over(group), "met": F.count(F.lit(1)).over(group)}).where("lo < hi")
-    signed = scratch.save(signed.drop("lo", "hi").dropDuplicates(["sig", "key", "place"]), "shared")
+    sigs = signed.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo < hi").select("sig", "met")
+    signed = scratch.save(signed.join(scratch.save(sigs, "sigs"), "sig"), "shared")
+    signed = scratch.save(signed.dropDuplicates(["sig", "key", "place"]), "distinct")  # copies in different tasks
+    scratch.drop("sigs", "shared")
     signed = scratch.save(_affordable(signed, percent), "signed")
-    first = F.max(F.struct("fame", "key", "n")).over(group)
-    signed = scratch.save(signed.withColumns({"lo": first["key"], "m": first["n"]}).drop("fame"), "groups")
+    scratch.drop("distinct")
+    first = signed.groupBy("sig").agg(F.max(F.struct("fame", "key", "n")).alias("f")).select("sig", F.col("f.key").alias("lo"), F.col("f.n").alias("m"))
+    signed = scratch.save(signed.drop("fame").join(scratch.save(first, "centers"), "sig"), "groups")
 
-    involved = signed.select("key", "n").distinct()
-    reps = classes.where("n > 0").join(involved.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    involved = signed.select("key").distinct()
+    reps = classes.where("n > 0").groupBy("key").agg(F.min(F.struct("x", "y")).alias("t")).join(involved, "key", "left_semi").select("key", "t.*")
     sketched = "key long, set array<long>, " + ", ".join(f"{c} long" for c in _BITS)
-    sets = scratch.save(docs.join(reps, "doc_id").dropDuplicates(["key"]).select("key", "text").mapInArrow(_arrays(k), sketched), "sets")
+    texts = docs.select("x", "y", "text").join(scratch.save(reps, "reps"), ["x", "y"]).select("key", "text").dropDuplicates(["key"])
+    sets = scratch.save(texts.mapInArrow(_arrays(k), sketched), "sets")
     sketch = lambda key, by: sets.select(F.col("key").alias(key), *[F.col(c).alias(by + c) for c in _BITS])
 
     met = signed.where((F.col("lo") != F.col("key")) & near).select(F.col("lo").alias("a"), F.col("key").alias("b"), "n", "m").distinct()
@@ -273,22 +288,29 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFr
     roots = scratch.save(components(scratch, links, "near"), "roots")
 
     # groups that still hold several components: pairs across them, but for those already judged
-    x = signed.select("sig", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    x = x.withColumns({"lo": F.min("root").over(group), "hi": F.max("root").over(group)}).where("lo < hi").drop("lo", "hi")
-    x = scratch.save(x, "apart")
+    x = scratch.save(signed.select("sig", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    mixed = x.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    x = scratch.save(x.join(scratch.save(mixed, "mixed"), "sig"), "apart")
     x = x.join(sketch("key", "a"), "key")
     y = x.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), *[F.col("a" + c).alias("b" + c) for c in _BITS])
     across = (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near & _apart(F.col("n"), F.col("m"), "a", "b", percent)
     x = x.withColumnRenamed("key", "a").withColumnRenamed("sig", "_sig")
     pairs = scratch.save(x.join(y, (F.col("_sig") == F.col("sig")) & across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), "pairs")
     links = links.unionByName(scratch.save(_verified(pairs.select("a", "b"), sets, percent), "links-2"))
-    roots = scratch.save(components(scratch, links, "all"), "roots-2")
+    roots = components(scratch, links, "all")
 
-    known = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = known.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
-    ids = known.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(ids, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = classes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    own = scratch.save(own.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "roots-2")
+    named = scratch.save(own.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    own = scratch.save(own.join(named, "root").select("key", "root", "component_id"), "own")
+    scratch.drop("signed", "centers", "groups", "reps", "sets", "stars", "links", "roots", "rooted", "mixed", "apart", "pairs", "links-2", "roots-2", "components")
+    known = classes.where("n > 0").join(own, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return known.unionByName(classes.where("n = 0").withColumns({"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")}))
+
+
+def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, key, component_id) of every document; equal keys and sizes: equal sets."""
+    return _joined(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "key", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -299,7 +321,16 @@ STAGE_WORDS, STAGE_PERCENT = 5, 80
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id, once. Documents with a null doc_id cannot be named and stay."""
-    found = join_sets(docs, STAGE_WORDS, STAGE_PERCENT)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One row of each group: that of the smallest doc_id (nulls last; of the texts of one id, and of the rows of one text, that of the smallest hash).
+
+    Rows without words are in no group and stay.
+    """
+    found = _joined(docs, STAGE_WORDS, STAGE_PERCENT).select(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "x", "y", "n", "root")
+    name = ["_none", "_id", "x", "y"]
+    best = found.where("n > 0").groupBy("root").agg(F.min(F.struct(*name)).alias("_b")).select("_b.*", F.lit(True).alias("_once"))
+    stays = best.unionByName(found.where("n = 0").select(*name).distinct().withColumn("_once", F.lit(False)))
+    stays = Scratch(spark).save(stays, "stays")
+    others = [F.col(f.name) for f in docs.schema if f.name != "text" and f.dataType.typeName() not in ("map", "variant")]
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*others).alias("_h"), F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), *[c.alias(n) for n, c in text_names(F.col("text")).items()])
+    rows = rows.join(stays, name).withColumn("_i", F.row_number().over(Window.partitionBy(*name).orderBy("_h")))
+    return rows.where("_i = 1 or not _once").select("_row.*")
