@@ -5,14 +5,14 @@ next. Rolling hashes of turn prefixes find them: a conversation whose full hash
 proper prefix of another goes (anti-join); of equal conversations the smallest conv_id stays. What
 stays is rendered.
 
-Turns are in the order of (turn, nulls first; role; content). The prefix hash is the exclusive or of
+Turns are in the order of (turn; role; md5 of the text), nulls first. The prefix hash is the exclusive or of
 two 64-bit hashes of (position, role, text), so a prefix of any length costs one step, and one
-conversation can be dealt over many tasks: its turns are numbered and folded by blocks.
+conversation can be dealt over many tasks: its turns are numbered and folded by blocks. A conversation
+is rendered in parts of ``part_turns`` turns, a row each and numbered from 0, whatever its length: no row grows without bound.
 
-Defined results: a null conv_id is an id of its own; a null role renders as ``unknown``, a null text
-as empty (a null equals no text but null); repeated rows are turns of their own; a conversation of more
-than ``part_turns`` turns comes in several parts; an empty table gives an empty table; columns of
-other names are ignored.
+Defined results: a null conv_id is an id of its own, apart from any text; a null role renders as ``unknown``, a null
+text as empty (a null equals no text but null); repeated rows are turns of their own; an empty table gives an empty
+table; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ from pyspark.sql.window import Window
 
 from tidewright.llm.common import Scratch, table
 
-BLOCK = 4096  # turns that one task numbers
+BLOCK = 4096  # turns that one task numbers, and of a part
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
     role, text = F.col("role"), F.col("text")
     content = [role.isNull(), F.coalesce(role, F.lit("")), text.isNull(), F.coalesce(text, F.lit(""))]
     return conversations.select(
-        "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("_c"),
-        "turn", "role", "text", F.xxhash64(F.lit(1), *content).alias("_x"), F.xxhash64(F.lit(2), *content).alias("_y"),
+        "conv_id", F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))).alias("_c"),
+        "turn", "role", "text", F.md5(text.cast("binary")).alias("_o"), F.xxhash64(F.lit(1), *content).alias("_x"), F.xxhash64(F.lit(2), *content).alias("_y"),
         F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))).cast("long").alias("_block"),
     )
 
@@ -43,7 +43,7 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     blocks = x.groupBy("_c", "_block").agg(F.count(F.lit(1)).alias("_n"))
     own = Window.partitionBy("_c").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0))).withColumn("n", F.sum("_n").over(Window.partitionBy("_c"))).drop("_n")
-    inside = Window.partitionBy("_c", "_block").orderBy(F.col("turn").asc_nulls_first(), "role", "_x", "_y")
+    inside = Window.partitionBy("_c", "_block").orderBy(F.col("turn").asc_nulls_first(), "role", "_o")
     x = x.withColumn("_row", F.row_number().over(inside)).join(blocks, ["_c", "_block"])
     x = x.withColumn("pos", F.col("_before") + F.col("_row"))
     upto = Window.partitionBy("_c", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -69,14 +69,16 @@ def maximal(found: DataFrame) -> DataFrame:
 def format_chats(conversations: DataFrame, part_turns: int = BLOCK) -> DataFrame:
     """One row for each maximal conversation (and part): conv_id, part, n_turns, n_copies, text."""
     found = prefixes(conversations)
-    stays = maximal(found)
+    stays = Scratch(conversations.sparkSession).save(maximal(found), "maximal")
     places = found.select("_c", "_x", "_y", "turn", "role", "pos").join(stays, "_c")
     # equal turns of one conversation are alike in all that is rendered: number them on both sides
     same = ["_c", "turn", "role", "_x", "_y"]
     places = places.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy("pos")))
-    turns = _turns(conversations).drop("conv_id", "_block").withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
-    on = [turns["_c"] == places["_c"], turns["turn"].eqNullSafe(places["turn"]), turns["role"].eqNullSafe(places["role"])] + [turns[k] == places[k] for k in ("_x", "_y", "_i")]
-    rows = turns.join(places, on).select(places["conv_id"], places["_c"], places["n"], places["copies"], places["pos"], turns["role"], turns["text"])
+    places = places.select("conv_id", "n", "copies", "pos", *[F.col(k).alias("p" + k) for k in [*same, "_i"]])
+    turns = _turns(conversations).drop("conv_id", "_block", "_o").join(stays.select("_c"), "_c", "left_semi")
+    turns = turns.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
+    on = [F.col(k).eqNullSafe(F.col("p" + k)) if k in ("turn", "role") else F.col(k) == F.col("p" + k) for k in [*same, "_i"]]
+    rows = turns.join(places, on).select("conv_id", "_c", "n", "copies", "pos", "role", "text")
     said = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
     rows = rows.withColumn("part", F.floor((F.col("pos") - 1) / part_turns).cast("int"))
     out = rows.groupBy("_c", "conv_id", "part", "n", "copies").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", said.alias("said")))), lambda t: t["said"]), "").alias("text"))
@@ -87,21 +89,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
-SQL = r"""
+SQL = rf"""
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
-         '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS said
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS pos,
+         '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS said,
+         md5(concat_ws('|', role IS NULL, md5(coalesce(role, '')), text IS NULL, md5(coalesce(text, '')))) AS x
   FROM conversations
 ), f AS (
-  SELECT conv_id, CAST(count(*) AS BIGINT) AS n, string_agg(said, '' ORDER BY pos) AS s, md5(string_agg(md5(said), '' ORDER BY pos)) AS h FROM t GROUP BY conv_id
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(x, '' ORDER BY pos)) AS h FROM t GROUP BY conv_id
 ), p AS (
-  SELECT t.conv_id, a.pos, md5(string_agg(md5(t.said), '' ORDER BY t.pos)) AS h
-  FROM t JOIN t AS a ON t.conv_id = a.conv_id AND t.pos <= a.pos GROUP BY t.conv_id, a.pos
+  SELECT t.conv_id, a.pos, md5(string_agg(t.x, '' ORDER BY t.pos)) AS h
+  FROM t JOIN t AS a ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND t.pos <= a.pos GROUP BY t.conv_id, a.pos
 ), proper AS (
-  SELECT DISTINCT p.pos, p.h FROM p JOIN f USING (conv_id) WHERE p.pos < f.n
+  SELECT DISTINCT p.pos, p.h FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id WHERE p.pos < f.n
 ), best AS (
   SELECT min(conv_id) AS conv_id, CAST(count(*) AS BIGINT) AS n_copies, n, h FROM f GROUP BY n, h
 )
-SELECT f.conv_id, CAST(0 AS INTEGER) AS part, f.n AS n_turns, best.n_copies, f.s AS text
-FROM best JOIN f USING (conv_id) WHERE NOT EXISTS (SELECT 1 FROM proper WHERE proper.pos = best.n AND proper.h = best.h)
+SELECT t.conv_id, CAST((t.pos - 1) // {BLOCK} AS INTEGER) AS part, best.n AS n_turns, best.n_copies, string_agg(t.said, '' ORDER BY t.pos) AS text
+FROM best JOIN t ON best.conv_id IS NOT DISTINCT FROM t.conv_id
+WHERE NOT EXISTS (SELECT 1 FROM proper WHERE proper.pos = best.n AND proper.h = best.h) GROUP BY 1, 2, 3, 4
 """
