@@ -217,6 +217,46 @@ def test_sharding(spark, docs):
     assert sharding.external_shuffle(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_sharding_of_long_texts(spark):
+    """Buckets are cut by bytes too: texts of 20 MB do not meet 512 to a bucket."""
+    assert sharding.buckets_for(100_000, 100_000 * (20 << 20)) >= 100_000 and sharding.buckets_for(10, 100) == 1 and sharding.buckets_for(0, 0) == 1
+    rows = spark.range(12).select(F.col("id").alias("doc_id"), F.expr("repeat(cast(id as string), 20 * 1024 * 1024)").alias("text"))
+    got = sharding.sharded(rows, n_shards=5).select("doc_id", F.length("text").alias("n"), "shard", "slot").collect()
+    assert sorted((r["doc_id"], r["n"] // len(str(r["doc_id"]))) for r in got) == [(i, 20 << 20) for i in range(12)]
+    assert sorted(Counter(r["shard"] for r in got).values()) == [2, 2, 2, 3, 3]
+
+
+def test_sharding_is_this_permutation(spark):
+    """The permutation by hand: buckets by hash, order in a bucket by hash, Fisher-Yates by drawn hashes, cut into shards."""
+    rows = [(i, f"t{i % 40}") for i in range(60)] + [(3, "t3")] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    n_buckets, total = sharding.buckets_for(len(rows), 0, 8), len(rows)
+    named = frame.select("*", F.xxhash64(F.lit(sharding.SEED), "doc_id", "text").alias("a"), F.xxhash64(F.lit(sharding.SEED + 1), "doc_id", "text").alias("b"))
+    seen, records = Counter(), []
+    for r in named.collect():
+        seen[r["a"], r["b"]] += 1
+        records.append((r["a"], r["b"], seen[r["a"], r["b"]], r["doc_id"], r["text"]))
+    hashed = spark.createDataFrame(records, "a long, b long, c long, doc_id long, text string").select("*", F.xxhash64(F.lit(sharding.SEED + 2), "a", "b", "c").alias("h")).collect()
+    buckets = defaultdict(list)
+    for r in hashed:
+        buckets[r["h"] % n_buckets].append((r["h"], r["a"], r["b"], r["c"], r["doc_id"], r["text"]))
+    draws = spark.range(n_buckets).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(60))).alias("i")).select("k", "i", F.pmod(F.xxhash64(F.lit(sharding.SEED + 3), "k", "i"), F.col("i") + 1).alias("j"))
+    draw = {(r["k"], r["i"]): r["j"] for r in draws.collect()}
+    order = []
+    for k in range(n_buckets):
+        own, done = sorted(buckets[k]), []
+        for i, row in enumerate(own):
+            done.append(row)
+            j = draw[k, i]
+            done[i], done[j] = done[j], done[i]
+        order += done
+    want, shards = [], [at * 7 // total for at in range(total)]
+    for at, row in enumerate(order):
+        want.append((row[4], row[5], shards[at], at - shards.index(shards[at])))
+    got = sharding.external_shuffle(frame, 7, bucket_rows=8, bucket_bytes=1 << 30)
+    assert Counter(collected(got)) == Counter(want)
+
+
 def test_sharding_writes(docs, tmp_path, spark):
     sharding.write_shards(sharding.external_shuffle(docs, 4), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
@@ -311,6 +351,28 @@ def test_chat_format(spark):
     assert chat_format.format_chats(chats.limit(0)).count() == 0
 
 
+def test_chat_format_tells_null_from_the_word(spark):
+    rows = [(None, 0, "user", "a"), ("null", 0, "user", "b"), ("=null", 0, "user", "c"), ("", 0, "user", "d")]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert {r["conv_id"] for r in got} == {None, "null", "=null", ""} and all(r["n_turns"] == 1 for r in got)
+
+
+def test_chat_format_against_sql(spark):
+    """Nulls, repeated turn numbers, copies, and a conversation beyond one part: the operator and its SQL agree."""
+    import duckdb
+
+    rng = random.Random(31)
+    rows = [(1, i, "user", f"t{i}") for i in range(chat_format.BLOCK + 700)] + [(2, i, "user", f"t{i}") for i in range(chat_format.BLOCK + 3)]
+    for c in range(3, 40):
+        rows += [(c, rng.choice([i, i, 0, None]), rng.choice(["user", "assistant", None]), rng.choice(["x", "y", "", None])) for i in range(rng.randrange(1, 4))]
+    rows += [(None, 0, None, None), (None, 1, "user", "q"), (50, 0, None, None), (51, 0, "unknown", "")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", chats.toArrow())
+    names = ["conv_id", "part", "n_turns", "n_copies", "text"]
+    assert Counter(collected(chat_format.format_chats(chats).select(*names))) == Counter(con.sql(chat_format.SQL).select(", ".join(names)).fetchall())
+
+
 URLS = [
     ("http://A.Example.ORG/es/1?x=1", "example.org/es/", "block"), ("https://example.org/en/12", "example.org/en/1", "block"), ("https://a.org/x", "org/", "allow"), ("https://b.example.com/fr/9#t", "com/fr/", "allow"),
     ("https://example.com/de/", "com/de/", "block"), ("https://example.org", None, None), ("nothing", None, None), (None, None, None), ("https://x.net/es/4", None, None), ("https://myexample.org/es/1", "org/", "allow"), ("a://b://c/d", None, None),
@@ -328,6 +390,51 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(unlabelled).first()["verdict"] == "allow" and url_filter.filter_urls(unlabelled.limit(0)).count() == 0
 
 
+def test_url_tokens_are_all_parts(spark):
+    url = "HTTPS://A.b.example.org/en/x.y/en/f.HTML?q=1&q=2&r=&flag#top"
+    x = spark.createDataFrame([(url,), (None,), ("nothing",)], "url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    got = [r[0] for r in x.select(url_filter.tokens(F.col("url"), host, path)).collect()]
+    want = "scheme=HTTPS label=a label=b label=example label=org seg=en seg=x.y seg=f.HTML ext=HTML key=q key=r key=flag arg=q=1 arg=q=2 arg=r= fragment=top"
+    assert got == [sorted(want.split()), [], []]
+
+
+def test_url_choice_against_brute_force(spark):
+    """Each url that no curated rule fits gets the strongest of all rules over all combinations of its tokens; clashing columns stay."""
+    from itertools import combinations
+
+    rng = random.Random(41)
+    host = lambda: rng.choice(["a.example.org", "b.example.org", "example.org", "x.example.com", "y.net", "a.net"])
+    urls = [f"https://{host()}/{rng.choice(['es', 'fr', 'de', 'en'])}/{rng.choice(['1', '2', ''])}{rng.choice(['', '?p=1', '?p=2', '#t'])}" for _ in range(400)]
+    pages = spark.createDataFrame([(i, u, f"own {i}", i) for i, u in enumerate(urls)], "page_id long, url string, tokens string, says long")
+    h, p = url_filter.host_and_path(F.col("url"))
+    held = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_filter.tokens(F.col("url"), h, p).alias("t")).collect()}
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, min_support=0.01).collect()}
+    says = dict(url_filter.RULES)
+    known = [(held[i], says[r["rule"]]) for i, r in got.items() if r["rule"]]
+    for i, r in got.items():
+        assert (r["tokens"], r["says"]) == (f"own {i}", i)
+        if r["rule"]:
+            continue
+        best = None
+        for n in range(1, len(held[i]) + 1):
+            for items in combinations(sorted(held[i]), n):
+                met = [v for t, v in known if set(items) <= t]
+                for v in set(met):
+                    if met.count(v) >= max(0.01 * len(known), url_filter.MIN_ROWS) and met.count(v) / len(met) >= url_filter.MIN_CONFIDENCE:
+                        rank = (met.count(v) / len(met), met.count(v) / len(known), -n, v, " ".join(items))
+                        best = max(best, rank) if best else rank
+        assert (r["mined"], r["verdict"]) == ((best[4].replace(" ", " & "), best[3]) if best else (None, "allow"))
+
+
+def test_url_support_bounds_combinations(spark):
+    """A query of thirty keys that every url repeats: the support rises until few enough tokens are frequent."""
+    same = "&".join(f"k{j}" for j in range(30))
+    rows = [(i, f"https://example.org/{'es' if i % 4 else 'xx'}/{i}" + (f"?{same}" if i % 3 == 0 else "")) for i in range(300)]
+    got = url_filter.filter_urls(spark.createDataFrame([*rows, (-1, "https://y.net/es/")], "page_id long, url string")).where("page_id = -1").first()
+    assert (got["mined"], got["verdict"]) == ("seg=es", "block")
+
+
 def test_url_rules_count_all_labelled_rows(spark):
     """More than a million labelled rows: confidence is the share among all of them, whichever url repeats."""
     ids = spark.range(1_200_000).withColumnRenamed("id", "page_id")
