@@ -294,7 +294,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> Da
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("d"))
     x = x.withColumns({"x": F.xxhash64("text", F.octet_length("text")), "y": F.xxhash64(F.lit(3), "text")})  # a text's name has 128 bits
     slim = scratch.save(x.select("doc_id", "d", "x", "y", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "slim")
-    firsts = slim.groupBy("x", "y").agg(F.min("d").alias("d"))
+    firsts = scratch.save(slim.groupBy("x", "y").agg(F.min("d").alias("d")), "firsts")
 
     anchors = scratch.save(x.where(F.octet_length("text") >= length).select("text", "x").mapInArrow(_emit(length), "h long, x long, c long"), "anchors")
     ranks = anchors.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n")).where("lo < hi")
