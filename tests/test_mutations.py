@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tidewright.operators import checks, ingest, mutations as mu, queries, views
 from tidewright.plans.registry import RULES
 from tidewright.sources.postings import read_postings
-from tidewright.sources.snapshots import SnapshotStore, write_csv, write_json
-from tidewright.sources.tables import empty, normalize_sessions, validate
+from tidewright.sources.snapshots import SnapshotStore, to_json, write_csv, write_json
+from tidewright.sources.tables import catalog, empty, ensure, normalize_sessions, validate
 from tidewright.streaming.ingest import start_ingest
 
 NOW = datetime(2024, 5, 6, 7, 8, 9)
@@ -84,8 +84,9 @@ def test_ingest_and_import(spark, tmp_path, opportunities):
     rows = {r["external_id"]: r for r in new.collect()}
     assert set(rows) == {"1", "3"} and counts.first()["stored"] == 2 and len(rows["3"]["description"]) == 2000
     assert (rows["1"]["location"], rows["1"]["salary_range"], rows["3"]["salary_range"], rows["1"]["tags"], rows["3"]["location"]) == ("Oslo, Rome", "$1,000 - $25,000", "$5+", "sql, x", "Remote")
-    jobs = ingest.with_ids(new, empty(spark, "scraped_jobs"), "external_id").drop("_ordinal")
-    jobs = empty(spark, "scraped_jobs").unionByName(jobs, allowMissingColumns=True)
+    assert sorted(r["id"] for r in rows.values()) == [1, 2]
+    jobs = mu.migrate(new, "scraped_jobs")
+    jobs = empty(spark, "scraped_jobs").unionByName(jobs)
     again, counts = ingest.ingest(read_postings(spark, path), jobs, RULES, NOW)
     assert counts.first()["stored"] == 0 and read_postings(spark, str(tmp_path / "none")).count() == 0
     store = SnapshotStore(spark, str(tmp_path / "store"))
@@ -112,7 +113,39 @@ def test_stream(spark, tmp_path):
     for name in ("a.json", "b.json"):
         path = postings(tmp_path, name, ROWS)
         start_ingest(spark, path, store, RULES, str(tmp_path / "checkpoint"), None).awaitTermination(120)
-        assert store.read()["scraped_jobs"].count() == 2
+        rows = store.read()["scraped_jobs"].collect()
+        assert sorted((r["id"], r["external_id"]) for r in rows) == [(1, "1"), (2, "3")]
+    path = postings(tmp_path, "c.json", [{"id": 9, "position": "QA", "company": "G", "description": "new"}])
+    start_ingest(spark, path, store, RULES, str(tmp_path / "checkpoint"), None).awaitTermination(120)
+    jobs = store.read()["scraped_jobs"]
+    assert sorted((r["id"], r["external_id"]) for r in jobs.collect()) == [(1, "1"), (2, "3"), (3, "9")]
+    assert len(store._current()[1]["scraped_jobs"]) > 1  # each batch wrote its own rows
+    store.compact()
+    assert len(store._current()[1]["scraped_jobs"]) == 1 and store.read()["scraped_jobs"].count() == 3
+    r = mu.import_job(empty(spark, "opportunities"), store.read()["scraped_jobs"], 3, NOW)
+    assert r.tables["opportunities"].first()["company"] == "G"
+
+
+def test_json_rows(spark):
+    rows = [r["value"] for r in to_json(spark.createDataFrame([(1, None)], "a int, b string")).collect()]
+    assert rows == ['{"a":1,"b":null}']
+
+
+def test_work_updates_touch_the_time(spark):
+    log = mu.add_work(empty(spark, "sacred_work_log"), {"stone_number": 1, "stone_title": "t", "time_spent_minutes": 5, "what_built": "w"}, NOW).tables["sacred_work_log"]
+    log = mu.add_work(log, {"stone_number": 2, "stone_title": "u", "time_spent_minutes": 5, "what_built": "w"}, NOW).tables["sacred_work_log"]
+    later = datetime(2024, 6, 1)
+    a, b = mu.update_work(log, 1, {"insights": "x"}, later).tables["sacred_work_log"].orderBy("id").collect()
+    assert (a["insights"], a["updated_at"], b["updated_at"]) == ("x", later, NOW)
+    for changes, key, error in (({}, 1, mu.Invalid), ({"insights": "x"}, 9, mu.NotFound), ({"stone_number": 2}, 1, mu.Conflict)):
+        with pytest.raises(error):
+            mu.update_work(log, key, changes, later)
+
+
+def test_ensure_and_catalog(spark):
+    tables = ensure(spark, {"job_sources": mu.add_source(empty(spark, "job_sources"), {"source_name": "x"}, NOW).tables["job_sources"]}, ["job_sources", "documents"])
+    assert {n: df.count() for n, df in tables.items()} == {"job_sources": 1, "documents": 0}
+    assert {tuple(r) for r in catalog(spark, {"job_sources": tables["job_sources"]}, ["job_sources", "documents"]).collect()} == {("job_sources", True, 1), ("documents", False, 0)}
 
 
 def test_validate(spark):

@@ -67,6 +67,17 @@ class Rules:
         except json.JSONDecodeError as e:
             raise RulesError(f"not JSON: {e}") from e
 
+    @staticmethod
+    def from_file(spark, path: str) -> Rules:
+        """From a JSON file on any file system of Spark."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            found = spark.read.text(path, wholetext=True).first()
+        except AnalysisException as e:
+            raise RulesError(f"no rules at {path}") from e
+        return Rules.from_json(found["value"] if found else "")
+
     def frame(self, spark) -> DataFrame:
         """(kind, ordinal, term, weight)."""
         rows = [(kind, i, t, w) for kind in ("skills", "flags", "domains") for i, (t, w) in enumerate(getattr(self, kind).items())]

@@ -30,8 +30,9 @@ def parity(opportunities: DataFrame, interactions: DataFrame) -> DataFrame:
     return a.unionByName(opportunities.where(queries.active()).agg(F.count(F.lit(1)).alias("n")).withColumn("by", F.lit("filter")))
 
 
-def gaps_too_good(questions: DataFrame) -> DataFrame:
-    return views.learning_gaps(questions).where("avg_performance >= 4")
+def gaps_too_good(gaps: DataFrame) -> DataFrame:
+    """Rows of learning_gaps that should not be there."""
+    return gaps.where("avg_performance >= 4")
 
 
 def time_travel(df: DataFrame, as_of) -> DataFrame:
@@ -43,10 +44,9 @@ def score_bounds(jobs: DataFrame) -> DataFrame:
     return jobs.where((F.col("match_score") < 0) | (F.col("match_score") > 100))
 
 
-def mastery_recomputed(sessions: DataFrame) -> DataFrame:
+def mastery_recomputed(mastery: DataFrame) -> DataFrame:
     """Keywords whose accuracy differs from the one recomputed from its parts."""
-    x = views.keyword_mastery(sessions)
-    return x.where(pct(F.col("correct_count").cast("double"), F.col("practice_count")) != F.col("accuracy_percentage"))
+    return mastery.where(pct(F.col("correct_count").cast("double"), F.col("practice_count")) != F.col("accuracy_percentage"))
 
 
 def accuracy(df: DataFrame, flag: str) -> DataFrame:

@@ -63,8 +63,8 @@ def insert_or_ignore(batch: DataFrame, target: DataFrame, key: str = "external_i
     x = batch.where(F.col(key).isNotNull())
     for c in required:
         x = x.where(F.col(c).isNotNull())
-    x = x.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
-    return x.join(target.select(key), key, "left_anti")
+    first = x.groupBy(key).agg(F.min_by(F.struct("*"), F.col(order)).alias("_row"))  # partial minima: no hot key is sorted
+    return first.select("_row.*").join(target.select(key), key, "left_anti").select(*x.columns)
 
 
 def with_ids(rows: DataFrame, target: DataFrame, order: str) -> DataFrame:
@@ -76,9 +76,10 @@ def with_ids(rows: DataFrame, target: DataFrame, order: str) -> DataFrame:
 
 
 def ingest(postings: DataFrame, target: DataFrame, rules: Rules, now, keywords=KEYWORDS) -> tuple[DataFrame, DataFrame]:
-    """(new rows for scraped_jobs, one row with stored and high_fit counts of them)."""
+    """(new rows for scraped_jobs with their ids, one row with stored and high_fit counts of them)."""
     scored = score_postings(map_postings(relevant(postings, keywords), now), rules)
     new = insert_or_ignore(scored, target).withColumn("imported_to_opportunities", F.lit(False))
+    new = with_ids(new, target, "_ordinal").drop("_ordinal")
     counts = new.agg(F.count(F.lit(1)).alias("stored"), F.count_if(F.col("classification").isin("EXCELLENT", "HIGH_FIT")).alias("high_fit"))
     return new, counts
 

@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.sources.tables import DEFAULTS, SCHEMAS, UNIQUE
+from tidewright.functions.columns import contact
+from tidewright.sources.tables import DEFAULTS, SCHEMAS, UNIQUE, migrate  # noqa: F401  a mutation, too
 
 UPDATABLE = ("status", "is_remote", "notes", "priority")
 
@@ -37,8 +38,8 @@ class Result:
     payload: dict = field(default_factory=dict)
 
 
-def _append(table: str, df: DataFrame, record: dict, now) -> tuple[DataFrame, int]:
-    """The table and one record with defaults and the next id."""
+def _append(table: str, df: DataFrame, record: dict, now, columns: dict | None = None) -> tuple[DataFrame, int]:
+    """The table and one record with defaults and the next id. ``columns``: such as are computed."""
     key = UNIQUE.get(table)
     value = record.get(key) if key else None
     if value is not None and not df.where(F.col(key) == F.lit(value)).limit(1).isEmpty():
@@ -50,7 +51,7 @@ def _append(table: str, df: DataFrame, record: dict, now) -> tuple[DataFrame, in
     for c in ("created_at", "updated_at"):
         if c in schema.names:
             row.setdefault(c, now)
-    one = spark.createDataFrame([tuple(row.get(c) for c in schema.names)], schema)
+    one = spark.createDataFrame([tuple(row.get(c) for c in schema.names)], schema).withColumns(columns or {})
     return df.unionByName(one.select(*df.columns), allowMissingColumns=True), new_id
 
 
@@ -59,9 +60,9 @@ def add_opportunity(opportunities: DataFrame, record: dict, now) -> Result:
     record = dict(record)
     if not record.get("company") or not record.get("role"):
         raise Invalid("company and role are required")
-    who = record.pop("recruiter_contact", "") or ""
-    record |= {"recruiter_email": who if "@" in who else "", "recruiter_phone": "" if "@" in who else who, "is_remote": bool(record.get("is_remote", False)), "discovered_date": record.get("discovered_date", now.date())}
-    df, new_id = _append("opportunities", opportunities, record, now)
+    email, phone = contact(F.lit(record.pop("recruiter_contact", None)).cast("string"))
+    record |= {"is_remote": bool(record.get("is_remote", False)), "discovered_date": record.get("discovered_date", now.date())}
+    df, new_id = _append("opportunities", opportunities, record, now, {"recruiter_email": email, "recruiter_phone": phone})
     return Result({"opportunities": df}, {"success": True, "id": new_id})
 
 
@@ -108,6 +109,21 @@ def update_opportunity(opportunities: DataFrame, key: int, changes: dict, now) -
     return Result({"opportunities": opportunities.withColumns(new)}, {"success": True, "id": key, "updated_fields": list(changes)})
 
 
+def update_work(log: DataFrame, key: int, changes: dict, now) -> Result:
+    """Sets columns of one entry; its time of update is set with them."""
+    wanted = {c: v for c, v in changes.items() if c in log.columns and c not in ("id", "created_at", "updated_at")}
+    if not wanted:
+        raise Invalid("nothing to update")
+    if log.where(F.col("id") == key).limit(1).isEmpty():
+        raise NotFound(f"no work entry {key}")
+    number = wanted.get("stone_number")
+    if number is not None and not log.where((F.col("stone_number") == number) & (F.col("id") != key)).limit(1).isEmpty():
+        raise Conflict(f"stone_number {number!r} exists")
+    types = dict(log.dtypes)
+    new = {c: F.when(F.col("id") == key, F.lit(v).cast(types[c])).otherwise(F.col(c)) for c, v in (wanted | {"updated_at": now}).items()}
+    return Result({"sacred_work_log": log.withColumns(new)}, {"success": True, "id": key, "updated_fields": list(changes)})
+
+
 def import_job(opportunities: DataFrame, jobs: DataFrame, key: int, now) -> Result:
     """A posting becomes a lead with its provenance, and is marked: both tables change or neither."""
     job = jobs.where(F.col("id") == key).first()
@@ -148,7 +164,3 @@ def delete_opportunities(opportunities: DataFrame, interactions: DataFrame, cond
     return Result({"opportunities": delete_where(opportunities, condition), "interactions": interactions.join(gone, "opportunity_id", "left_anti").select(*interactions.columns)})
 
 
-def migrate(df: DataFrame, table: str) -> DataFrame:
-    """The rows under the table's present schema: columns that are missing come as null."""
-    schema = df.sparkSession.createDataFrame([], SCHEMAS[table]).schema
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])

@@ -223,3 +223,12 @@ def listing(opportunities: DataFrame) -> DataFrame:
 def summary(jobs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """The histogram and the n best."""
     return scraped_stats(jobs), top_scores(jobs, n)
+
+
+def dashboard(gaps: DataFrame, topics: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row: gaps that are mostly weak, topics and their hours, postings of the two best bands. One-row sums meet in a union."""
+    a = gaps.agg(count_where(F.col("weak_percentage") > 50).alias("weak_count"))
+    b = topics.agg(F.count(F.lit(1)).alias("topic_count"), F.round(F.coalesce(F.sum("total_study_hours"), F.lit(0.0))).cast("long").alias("study_hours"))
+    c = jobs.agg(count_where(F.col("match_score") >= 75).alias("strong_count"))
+    both = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+    return both.agg(*[F.max(x).alias(x) for x in ("weak_count", "topic_count", "study_hours", "strong_count")])

@@ -1,4 +1,4 @@
-"""Versions of a set of tables: written aside, then made current by one rename."""
+"""Versions of a set of tables: written aside, then made current by one rename. A table is one part, or several that appends left."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ class SnapshotStore:
         self._path = lambda p: self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> tuple[int, dict[str, str]]:
+    def _current(self) -> tuple[int, dict[str, list[str]]]:
         found = self._fs.globStatus(self._path("_versions/*.json")) or []
         names = sorted(s.getPath().getName() for s in found)
         if not names:
@@ -26,15 +26,15 @@ class SnapshotStore:
         return int(names[-1].split(".")[0]), json.loads(text)
 
     def read(self) -> dict[str, DataFrame]:
-        return {name: self.spark.read.parquet(f"{self.root}/{path}") for name, path in self._current()[1].items()}
+        return {name: self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts]) for name, parts in self._current()[1].items()}
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """All of these tables change together; a failure before the rename changes nothing."""
+    def publish(self, tables: dict[str, DataFrame], append: bool = False) -> int:
+        """All of these tables change together; a failure before the rename changes nothing. ``append``: their rows come on top."""
         version, paths = self._current()
         mark = uuid.uuid4().hex
         for name, df in tables.items():
-            paths[name] = f"{name}/{mark}"
-            df.write.parquet(f"{self.root}/{paths[name]}")
+            df.write.parquet(f"{self.root}/{name}/{mark}")
+            paths[name] = [*(paths.get(name, []) if append else []), f"{name}/{mark}"]
         self._fs.mkdirs(self._path("_versions"))
         draft, final = self._path(f"_versions/{mark}.draft"), self._path(f"_versions/{version + 1:012d}.json")
         out = self._fs.create(draft, True)
@@ -44,6 +44,15 @@ class SnapshotStore:
             raise RuntimeError("another writer published first")
         return version + 1
 
+    def append(self, tables: dict[str, DataFrame]) -> int:
+        """Writes these rows alone; those of the current version stay where they are."""
+        return self.publish(tables, append=True)
+
+    def compact(self, most: int = 1) -> int:
+        """Rewrites the tables that are in more than ``most`` parts as one."""
+        many = {name for name, parts in self._current()[1].items() if len(parts) > most}
+        return self.publish({name: df for name, df in self.read().items() if name in many})
+
     def backup(self, to: str) -> None:
         """The current version's tables, copied."""
         for name, df in self.read().items():

@@ -71,6 +71,26 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
+def migrate(df: DataFrame, table: str) -> DataFrame:
+    """The rows under the table's present schema: columns that are missing come as null."""
+    schema = empty(df.sparkSession, table).schema
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def ensure(spark: SparkSession, tables: dict[str, DataFrame], names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables, with an empty one for each name (of the data model) that is missing."""
+    return tables | {n: empty(spark, n) for n in names or SCHEMAS if n not in tables}
+
+
+def catalog(spark: SparkSession, tables: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
+    """(name, present, rows) of the tables of these names: 0 rows for a missing one."""
+    found = None
+    for n in names or SCHEMAS:
+        one = (tables[n] if n in tables else empty(spark, n)).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), F.lit(n in tables).alias("present"), "rows")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def load_tables(spark: SparkSession, root: str, names: list[str] | None = None) -> Tables:
     """Parquet tables below root, with their schemas given: no inference, no scan."""
     return Tables(**{n: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}") for n in names or SCHEMAS})

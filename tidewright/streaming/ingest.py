@@ -10,19 +10,19 @@ from tidewright.functions.scoring import Rules
 from tidewright.operators.ingest import KEYWORDS, ingest
 from tidewright.sources.postings import stream_postings
 from tidewright.sources.snapshots import SnapshotStore
+from tidewright.sources.tables import migrate
 
 
 def start_ingest(spark: SparkSession, source: str, store: SnapshotStore, rules: Rules, checkpoint: str, every: str | None = "6 hours", keywords=KEYWORDS):
-    """Reads landed files as they come and publishes new rows of scraped_jobs. ``every`` None: what is there, then stop.
+    """Reads landed files as they come and appends new rows, with ids, to scraped_jobs. ``every`` None: what is there, then stop.
 
-    A batch that runs again after a failure inserts nothing twice: keys that are there are left out.
+    A batch that runs again after a failure inserts nothing twice: keys that are there are left out. A batch writes
+    its own rows alone; compact() of the store joins the parts that many batches leave.
     """
 
     def one(batch, _):
-        tables = store.read()
-        target = tables["scraped_jobs"]
-        new, _counts = ingest(batch, target, rules, datetime.now(timezone.utc).replace(tzinfo=None), keywords)
-        store.publish({"scraped_jobs": target.unionByName(new.drop("_ordinal"), allowMissingColumns=True)})
+        new, _counts = ingest(batch, store.read()["scraped_jobs"], rules, datetime.now(timezone.utc).replace(tzinfo=None), keywords)
+        store.append({"scraped_jobs": migrate(new, "scraped_jobs")})
 
     writer = stream_postings(spark, source).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
