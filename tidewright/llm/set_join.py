@@ -18,7 +18,7 @@ Verification counts the common hashes of both sets exactly. The result is compon
 inside a component other than star edges are not compared.
 
 Hot signatures and large components are never dealt to one task: what a group has in common is summed up in every task
-first and written, and joined back, so that Spark can split a group over tasks.
+first and written, and joined back, so that Spark can split a group over tasks. Copies of a text meet before the shuffle.
 
 Names: a set is known by 64 bits, a text by 128. Two of 2.5e10 different sets (100 TB) share a name with an expected 17 pairs,
 of which only such of equal size band meet in anything but a needless comparison.
@@ -156,15 +156,13 @@ def _signed(k: int, percent: int):
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()  # sets of this task: a copy adds nothing
         for batch in batches:
             n, key, sigs, places = [], [], [], []
-            for _, own in _sets(batch, k):
-                if len(own) and _key(own) not in seen:
-                    seen.add(_key(own))
-                    sig, place = signatures(own, percent)
-                    for column, value in zip((n, key, sigs, places), (len(own), _key(own), sig, place)):
-                        column.append(value)
+            names = batch.column("key").to_numpy()
+            for i, own in _sets(batch, k):
+                sig, place = signatures(own, percent)
+                for column, value in zip((n, key, sigs, places), (len(own), names[i], sig, place)):
+                    column.append(value)
                 if len(sigs) >= 512:
                     yield _signed_batch(pa, n, key, sigs, places)
                     n, key, sigs, places = [], [], [], []
@@ -264,21 +262,22 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     classes = scratch.save(docs.mapInArrow(_classes(k), "doc_id long, x long, y long, n long, key long"), "classes")
 
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    signed = docs.select("text").mapInArrow(_signed(k, percent), "sig long, key long, n int, place long")
-    sigs = signed.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo < hi").select("sig", "met")
+    reps = scratch.save(classes.where("n > 0").groupBy("key").agg(F.min(F.struct("x", "y")).alias("t")).select("key", "t.*"), "reps")
+    texts = docs.select("x", "y", "text").dropDuplicates(["x", "y"]).join(reps, ["x", "y"]).select("key", "text")
+    texts = scratch.save(texts, "texts")  # one for each set
+    signed = scratch.save(texts.mapInArrow(_signed(k, percent), "sig long, key long, n int, place long"), "all")
+    sigs = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     signed = scratch.save(signed.join(scratch.save(sigs, "sigs"), "sig"), "shared")
-    signed = scratch.save(signed.dropDuplicates(["sig", "key", "place"]), "distinct")  # copies in different tasks
-    scratch.drop("sigs", "shared")
+    scratch.drop("reps", "all", "sigs")
     signed = scratch.save(_affordable(signed, percent), "signed")
-    scratch.drop("distinct")
+    scratch.drop("shared")
     first = signed.groupBy("sig").agg(F.max(F.struct("fame", "key", "n")).alias("f")).select("sig", F.col("f.key").alias("lo"), F.col("f.n").alias("m"))
     signed = scratch.save(signed.drop("fame").join(scratch.save(first, "centers"), "sig"), "groups")
 
-    involved = signed.select("key").distinct()
-    reps = classes.where("n > 0").groupBy("key").agg(F.min(F.struct("x", "y")).alias("t")).join(involved, "key", "left_semi").select("key", "t.*")
     sketched = "key long, set array<long>, " + ", ".join(f"{c} long" for c in _BITS)
-    texts = docs.select("x", "y", "text").join(scratch.save(reps, "reps"), ["x", "y"]).select("key", "text").dropDuplicates(["key"])
-    sets = scratch.save(texts.mapInArrow(_arrays(k), sketched), "sets")
+    involved = scratch.save(signed.select("key").distinct(), "involved")
+    sets = scratch.save(texts.join(involved, "key", "left_semi").mapInArrow(_arrays(k), sketched), "sets")
+    scratch.drop("texts", "involved")
     sketch = lambda key, by: sets.select(F.col("key").alias(key), *[F.col(c).alias(by + c) for c in _BITS])
 
     met = signed.where((F.col("lo") != F.col("key")) & near).select(F.col("lo").alias("a"), F.col("key").alias("b"), "n", "m").distinct()
@@ -303,7 +302,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     own = scratch.save(own.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "roots-2")
     named = scratch.save(own.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     own = scratch.save(own.join(named, "root").select("key", "root", "component_id"), "own")
-    scratch.drop("signed", "centers", "groups", "reps", "sets", "stars", "links", "roots", "rooted", "mixed", "apart", "pairs", "links-2", "roots-2", "components")
+    scratch.drop("signed", "centers", "groups", "sets", "stars", "links", "roots", "rooted", "mixed", "apart", "pairs", "links-2", "roots-2", "components")
     known = classes.where("n > 0").join(own, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return known.unionByName(classes.where("n = 0").withColumns({"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")}))
 
