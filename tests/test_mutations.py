@@ -101,6 +101,7 @@ def test_ingest_and_import(spark, tmp_path, opportunities):
     with pytest.raises(mu.NotFound):
         mu.import_job(t["opportunities"], t["scraped_jobs"], 77, NOW)
     assert queries.scraped_jobs_envelope(t["scraped_jobs"], min_score=0.0)["count"] == 2
+    assert queries.scraped_jobs(jobs.withColumn("classification", F.lit("LOW_FIT")).withColumn("match_score", F.lit(50.0)), classification="LOW_FIT").count() == 0  # hidden by the least score
     write_csv(jobs.select("id", "match_score"), str(tmp_path / "csv"))
     write_json(jobs, str(tmp_path / "json"), "2024")
     store.backup(str(tmp_path / "backup"))

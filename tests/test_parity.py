@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(df):
-    cell = lambda x: "null" if x is None or x is pd.NaT or x != x else repr(float(x)) if isinstance(x, float) else str(pd.Timestamp(x)) if hasattr(x, "isoformat") else str(x)
+    cell = lambda x: "null" if pd.isna(x) else repr(float(x)) if isinstance(x, float) else str(pd.Timestamp(x)) if hasattr(x, "isoformat") else str(x)
     cols = sorted(df.columns)
     return cols, sorted(tuple(map(cell, row)) for row in df[cols].itertuples(index=False))
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tidewright.functions import columns, scoring
-from tidewright.operators import checks, ingest, queries as q, report, views
+from tidewright.operators import checks, ingest, mutations as mu, queries as q, report, views
 from tidewright.plans import mapping as m
+from tidewright.sources import tables
 
 DAY = "1996-06-15"  # today for opportunities and interactions
 PRACTICE_DAY = "2024-01-15"  # today for practice sessions
 SCRAPE_DAY = "2024-01-01"  # today for postings
+NOW = datetime(2024, 5, 6, 7, 8, 9)  # of a mutation
+STAMP = f"TIMESTAMP '{NOW}'"
 ARCHIVED = "('Rejected', 'Declined', 'Ghosted', 'Accepted')"
 ACTIVE = f"status NOT IN {ARCHIVED}"
 LISTING = ", ".join(q.LISTING)
@@ -138,7 +143,7 @@ _add("q14_work_progress", views.work_progress, "w", "SELECT *, CASE WHEN next_st
 _add("q15_recent_work", q.recent_work, "w", "SELECT * FROM work ORDER BY date DESC, created_at DESC, id DESC LIMIT 5")
 _add("q16_sources", q.sources, "n", "SELECT * FROM job_sources")
 for _name, _filters, _where in (("q17_scraped_jobs", {}, "match_score >= 70"), ("q17_scraped_jobs_low", {"min_score": 60, "limit": 10}, "match_score >= 60"), ("q17_scraped_jobs_class", {"classification": "LOW_FIT", "min_score": 0, "limit": 5}, "match_score >= 0 AND classification = 'LOW_FIT'"),
-                               ("q17_scraped_jobs_hidden", {"classification": "LOW_FIT"}, "match_score >= 70 AND classification = 'LOW_FIT'"), ("q17_scraped_jobs_source", {"source": "src0", "min_score": 50, "limit": 3}, "match_score >= 50 AND source = 'src0'")):
+                               ("q17_scraped_jobs_band", {"classification": "HIGH_FIT", "limit": 20}, "match_score >= 70 AND classification = 'HIGH_FIT'"), ("q17_scraped_jobs_source", {"source": "src0", "min_score": 50, "limit": 3}, "match_score >= 50 AND source = 'src0'")):
     _add(_name, lambda j, _f=_filters: q.scraped_jobs(j, **_f).withColumn("matched_skills", _names("matched_skills", "skill")), "j",
          f"""SELECT id, external_id, source, job_title, company, job_url, location, tags, classification, imported_to_opportunities, scraped_at, round(match_score, 1) AS match_score,
   CASE WHEN length(description) > 200 THEN substr(description, 1, 200) || '...' ELSE description END AS description, CASE WHEN matched_skills LIKE '%SQL%' THEN 'SQL' ELSE '' END AS matched_skills
@@ -147,6 +152,7 @@ _add("q18_scraped_stats", q.scraped_stats, "j", f"SELECT {STATS} FROM jobs")
 _add("q19_source_breakdown", q.source_breakdown, "j", "SELECT source, count(*) AS count, round(avg(match_score), 1) AS avg_score FROM jobs GROUP BY source")
 _add("q20_import_lookup", lambda j: q.point(j, "id", 11).select("id", "company", "imported_to_opportunities"), "j", "SELECT id, company, imported_to_opportunities FROM jobs WHERE id = 11")
 _add("q21_recent_sessions", q.recent_sessions, "s", "SELECT practice_date, platform, difficulty, is_correct, time_spent_minutes, keywords_used FROM sessions ORDER BY created_at DESC, id DESC LIMIT 5")
+_add("q22_summary_buckets", lambda j: q.summary(j)[0], "j", f"SELECT {STATS} FROM jobs")
 _add("q22_summary_top", lambda j: q.summary(j)[1], "j", f"SELECT id, job_title, company, {PERCENT} AS score, classification FROM jobs ORDER BY match_score DESC NULLS LAST, id LIMIT 5")
 _add("q23_top_scores", q.top_scores, "j", f"SELECT id, job_title, company, {PERCENT} AS score, classification FROM jobs ORDER BY match_score DESC NULLS LAST, id LIMIT 10")
 _add("q24_class_summary", q.class_summary, "j", "SELECT classification, count(*) AS count, CAST(CAST(trunc(avg(match_score)) AS INTEGER) AS VARCHAR) || '%' AS avg_score FROM jobs GROUP BY classification")
@@ -208,19 +214,88 @@ _add("c10_classes", lambda j: _scored(j).groupBy("classification").agg(F.count(F
 _add("c12_relevance", lambda j: ingest.relevant(j.select("id", F.col("job_title").alias("position"), "description", "tags")).select("id"), "j", f"SELECT id FROM (SELECT id, lower(concat_ws(' ', coalesce(job_title, ''), coalesce(description, ''), coalesce(tags, ''))) AS p FROM jobs) WHERE {KEYWORD_TEST}")
 _add("c14_mapping", lambda j: ingest.map_postings(j.select(F.when(F.col("id") % 3 > 0, F.col("external_id")).alias("id"), F.lit(None).cast("string").alias("slug"), F.col("job_url").alias("url"), F.col("job_title").alias("position"), "company", "description", "location", F.array("tags", "company").alias("tags"), (F.col("id") * 1000).alias("salary_min"), (F.col("id") * 2000).alias("salary_max"), F.col("id").alias("n"), F.lit("2024-01-01").alias("date")), "2024-01-01", "n").select("external_id", "location", "tags", "salary_range"), "j",
      "SELECT CASE WHEN id % 3 > 0 THEN external_id ELSE 'remoteok_' || id END AS external_id, coalesce(location, 'Remote') AS location, tags || ', ' || company AS tags, CASE WHEN id > 0 THEN '$' || format('{:,}', id * 1000) || ' - $' || format('{:,}', id * 2000) END AS salary_range FROM jobs")
-_add("k6_insert_or_ignore", lambda j: ingest.insert_or_ignore(j.select(F.concat(F.lit("k"), (F.col("id") % 400).cast("string")).alias("external_id"), "job_title", "company", "job_url", F.col("id").alias("_ordinal")), j.where("id % 7 = 0").select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("external_id"))).select("external_id", F.col("_ordinal").alias("first_id")), "j",
-     "SELECT external_id, min(id) AS first_id FROM (SELECT 'k' || id % 400 AS external_id, id FROM jobs) WHERE external_id NOT IN (SELECT 'k' || id FROM jobs WHERE id % 7 = 0) GROUP BY external_id")
-_add("k9_touch_parents", lambda o, i: o.select("id").join(i.groupBy(F.col("opportunity_id").alias("id")).agg(F.max_by("date", F.struct("id", "date")).alias("last_interaction_date")), "id"), "oi", "SELECT id, max(date) AS last_interaction_date FROM (SELECT o.id, i.date, i.id = max(i.id) OVER (PARTITION BY o.id) AS newest FROM opportunities o JOIN interactions i ON o.id = i.opportunity_id) WHERE newest GROUP BY id")
+_add("c1_rules", lambda j: RULES.frame(j.sparkSession), "j", "SELECT * FROM (VALUES " + ", ".join(f"('{kind}', {i}, '{t}', {w})" for kind in ("skills", "flags", "domains") for i, (t, w) in enumerate(getattr(RULES, kind).items())) + ") AS r(kind, ordinal, term, weight)")
+_BANDED = "CASE WHEN total >= 85 THEN 'EXCELLENT' WHEN total >= 75 THEN 'HIGH_FIT' WHEN total >= 65 THEN 'MEDIUM_FIT' WHEN total >= 40 THEN 'LOW_FIT' ELSE 'NO_FIT' END"
+_HITS = ("CASE WHEN {test} THEN '{term}:{weight}' END", lambda terms, test: [_HITS[0].format(test=test(t), term=t, weight=w) for t, w in terms])
+
+
+def _weighed(terms: dict, test=_word, most: int | None = None) -> str:
+    """name:weight of what matches: the ``most`` heaviest first, ties in order; or all in order."""
+    order = sorted(terms.items(), key=lambda x: -x[1]) if most else list(terms.items())
+    return f"array_to_string(list_filter([{', '.join(_HITS[1](order, test))}], lambda x: x IS NOT NULL){f'[1:{most}]' if most else ''}, '|')"
+
+
+def _pairs(column: str, name: str, value: str):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x[name], x[value].cast("string"))), "|")
+
+
+_add("c11_output", lambda j: _scored(j).select("id", "recommendation", _pairs("matched_skills", "skill", "weight").alias("skills"), _pairs("matched_domains", "domain", "weight").alias("domains"), _pairs("red_flags", "flag", "penalty").alias("flags"), *[F.col(f"breakdown.{c}").alias(c) for c in ("experience_score", "domain_score", "location_score")]), "j",
+     f"""SELECT id, replace(CASE {_BANDED} {' '.join(f"WHEN '{name}' THEN '{text.replace('%%', '%')}'" for name, text in scoring.ADVICE.items())} END, '%.1f', printf('%.1f', total)) AS recommendation,
+  {_weighed(RULES.skills, most=10)} AS skills, {_weighed(RULES.domains, _domain, most=5)} AS domains, {_weighed(RULES.flags)} AS flags, CAST(100 AS DOUBLE) AS experience_score, round(d, 2) AS domain_score, round(l, 2) AS location_score FROM scored""", SCORED)
+_POSTED = lambda j: j.select(F.when(F.col("id") % 3 > 0, F.col("external_id")).alias("id"), F.concat(F.lit("p"), "external_id").alias("slug"), F.when(F.col("location") != "Remote", F.col("job_title")).alias("position"), "company", "description", "location", F.array("tags", "company").alias("tags"), (F.col("id") * 100).alias("salary_max"), F.lit(None).cast("string").alias("date"))
+_add("c13_scheduled", lambda j: ingest.map_scheduled(_POSTED(j), SCRAPE_DAY).drop("scraped_at"), "j",
+     f"""SELECT CASE WHEN id % 3 > 0 THEN external_id ELSE 'p' || external_id END AS id, job_title AS title, company, '{ingest.JOB_URL}p' || external_id AS url, coalesce(location, 'Remote') AS location, '{SCRAPE_DAY}' AS posted_date,
+  substr(description, 1, {ingest.DESCRIPTION}) AS description, tags || ', ' || company AS tags, CASE WHEN id > 0 THEN '$' || id * 100 ELSE 'Not specified' END AS salary, '{ingest.SOURCE}' AS source, 'new' AS status, CAST(NULL AS DOUBLE) AS match_score, FALSE AS applied
+  FROM jobs WHERE location <> 'Remote' AND coalesce(job_title, '') <> '' AND coalesce(company, '') <> '' AND ({' OR '.join(f"contains(lower(concat_ws(' ', job_title, description, tags, company)), '{k}')" for k in ingest.SCHEDULED_KEYWORDS)})""")
+_add("c16_good", lambda j: ingest.good_matches(_scored(j), 40).select("id", "final_score"), "j", "SELECT id, round(total, 2) AS final_score FROM scored WHERE round(total, 2) >= 40", SCORED)
+_add("c16_best", lambda j: ingest.best_match(_scored(j).withColumn("title", F.lpad(F.col("id").cast("string"), 12, "0"))).select("id", "final_score"), "j", "SELECT id, round(total, 2) AS final_score FROM scored ORDER BY 2 DESC, id LIMIT 1", SCORED)
+_add("c16_summary", lambda j: ingest.batch_summary(_scored(j)).select("total", "mean", "best", F.array_join(F.transform(F.map_entries("classes"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), "|").alias("classes")), "j",
+     f"SELECT CAST(sum(n) AS BIGINT) AS total, round(sum(s) / sum(n), 2) AS mean, max(b) AS best, string_agg(c || ':' || n, '|' ORDER BY c) AS classes FROM (SELECT {_BANDED} AS c, count(*) AS n, sum(round(total, 2)) AS s, max(round(total, 2)) AS b FROM scored GROUP BY 1)", SCORED)
+
+_OPPORTUNITY = ["id", "company", "role", "source", "is_remote", "status", "priority", "recruiter_email", "recruiter_phone", "discovered_date", "updated_at"]
+_OPPORTUNITIES = "SELECT id, company, role, source, is_remote, status, priority, CAST(NULL AS VARCHAR) AS recruiter_email, recruiter_phone, discovered_date, updated_at FROM opportunities"
+_NEXT = "(SELECT max(id) FROM {}) + 1"
+_add("k1_add_opportunity", lambda o: mu.add_opportunity(tables.migrate(o, "opportunities"), {"company": "Kelp & Moor", "role": "analyst", "recruiter_contact": "hr@kelp.example", "is_remote": True}, NOW).tables["opportunities"].select(*_OPPORTUNITY), "o",
+     f"{_OPPORTUNITIES} UNION ALL SELECT {_NEXT.format('opportunities')}, 'Kelp & Moor', 'analyst', 'Other', TRUE, 'Lead', 'Medium', 'hr@kelp.example', '', DATE '{NOW.date()}', {STAMP}")
+_add("k2_add_question", lambda n: mu.add_question(tables.migrate(n, "interview_questions"), {"question_text": "why", "opportunity_id": 4}, NOW).tables["interview_questions"].select("id", "opportunity_id", "question_text", "difficulty", "my_rating", "created_at"), "q",
+     f"SELECT id, opportunity_id, question_text, difficulty, my_rating, created_at FROM questions UNION ALL SELECT {_NEXT.format('questions')}, 4, 'why', 'Medium', 3, {STAMP}")
+_add("k3_add_work", lambda w: mu.add_work(tables.migrate(w, "sacred_work_log"), {"stone_number": "2000000000", "stone_title": "last", "time_spent_minutes": 25, "what_built": "walls"}, NOW).tables["sacred_work_log"].select("id", "date", "stone_number", "stone_title", "time_spent_minutes", "what_built", "created_at"), "w",
+     f"SELECT id, date, stone_number, stone_title, time_spent_minutes, what_built, created_at FROM work UNION ALL SELECT {_NEXT.format('work')}, DATE '{NOW.date()}', 2000000000, 'last', 25, 'walls', {STAMP}")
+_add("k4_add_source", lambda n: mu.add_source(n, {"source_name": "  Board "}, NOW).tables["job_sources"], "n", f"SELECT id, source_name, is_default FROM job_sources UNION ALL SELECT {_NEXT.format('job_sources')}, 'Board', FALSE")
+_add("k5_add_session", lambda s: mu.add_session(tables.migrate(s, "sql_practice_sessions"), {"platform": "other", "question_text": "joins", "my_query": "SELECT 1"}, NOW).tables["sql_practice_sessions"].select("id", "practice_date", "platform", "question_text", "is_correct", "difficulty"), "s",
+     f"SELECT id, practice_date, platform, question_text, is_correct, difficulty FROM sessions UNION ALL SELECT {_NEXT.format('sessions')}, DATE '{NOW.date()}', 'other', 'joins', FALSE, 'Medium'")
+_add("k6_insert_or_ignore", lambda o: ingest.insert_or_ignore(o.select(F.col("company").alias("external_id"), F.col("role").alias("job_title"), "company", F.col("priority").alias("job_url"), F.col("id").alias("_ordinal")), o.where("status = 'Ghosted'").select(F.col("company").alias("external_id"))).select("external_id", F.col("_ordinal").alias("first_id")), "o",
+     "SELECT company AS external_id, min(id) AS first_id FROM opportunities WHERE priority IS NOT NULL AND company NOT IN (SELECT company FROM opportunities WHERE status = 'Ghosted') GROUP BY company")
+_add("k7_update", lambda o: mu.update_opportunity(o, 7, {"status": "Offer", "notes": "called", "company": "ignored"}, NOW).tables["opportunities"].select("id", "company", "status", "notes", "priority", "updated_at"), "o",
+     f"SELECT id, company, CASE WHEN id = 7 THEN 'Offer' ELSE status END AS status, CASE WHEN id = 7 THEN 'called' END AS notes, priority, CASE WHEN id = 7 THEN {STAMP} ELSE updated_at END AS updated_at FROM opportunities")
+_IMPORTED = lambda o, j: mu.import_job(tables.migrate(o, "opportunities"), tables.migrate(j.drop("matched_skills"), "scraped_jobs"), 11, NOW).tables
+_add("k8_import_lead", lambda o, j: _IMPORTED(o, j)["opportunities"].select("id", "company", "role", "job_url", "source", "is_remote", "tech_stack", "status", F.coalesce("scraped_job_id", F.lit(-1)).alias("scraped_job_id")), "oj",
+     f"""SELECT id, company, role, CAST(NULL AS VARCHAR) AS job_url, source, is_remote, tech_stack, status, CAST(-1 AS BIGINT) AS scraped_job_id FROM opportunities
+  UNION ALL SELECT {_NEXT.format('opportunities')}, company, job_title, job_url, source, coalesce(lower(location) LIKE '%remote%', FALSE), tags, 'Lead', id FROM jobs WHERE id = 11""")
+_add("k8_import_mark", lambda o, j: _IMPORTED(o, j)["scraped_jobs"].select("id", "imported_to_opportunities"), "oj", "SELECT id, id = 11 OR imported_to_opportunities AS imported_to_opportunities FROM jobs")
+_add("k9_touch_parents", lambda o, i: mu.touch_parents(o.withColumn("last_interaction_date", F.col("discovered_date")), i).select("id", "last_interaction_date"), "oi",
+     "SELECT o.id, coalesce(n.date, o.discovered_date) AS last_interaction_date FROM opportunities o LEFT JOIN (SELECT opportunity_id, max(date) AS date FROM (SELECT *, id = max(id) OVER (PARTITION BY opportunity_id) AS newest FROM interactions) WHERE newest GROUP BY 1) n ON o.id = n.opportunity_id")
+_add("k10_touch_work", lambda w: mu.update_work(tables.migrate(w, "sacred_work_log"), 7, {"insights": "calm"}, NOW).tables["sacred_work_log"].select("id", "insights", "updated_at"), "w",
+     f"SELECT id, CASE WHEN id = 7 THEN 'calm' END AS insights, CASE WHEN id = 7 THEN {STAMP} END AS updated_at FROM work")
+_LEFT = lambda o, i: mu.delete_opportunities(o, i, F.col("status") == "Ghosted").tables
+_add("k11_delete", lambda o, i: _LEFT(o, i)["opportunities"].select("id", "status"), "oi", "SELECT id, status FROM opportunities WHERE status IS DISTINCT FROM 'Ghosted'")
+_add("k11_cascade", lambda o, i: _LEFT(o, i)["interactions"].select("id", "opportunity_id"), "oi", "SELECT id, opportunity_id FROM interactions WHERE opportunity_id NOT IN (SELECT id FROM opportunities WHERE status = 'Ghosted')")
+_add("k12_migrate", lambda o: mu.migrate(o.drop("notes"), "opportunities").select("id", "company", "notes", "scraped_job_id", "offer_date"), "o", "SELECT id, company, CAST(NULL AS VARCHAR) AS notes, CAST(NULL AS BIGINT) AS scraped_job_id, CAST(NULL AS DATE) AS offer_date FROM opportunities")
+_add("k13_ensure", lambda o: tables.ensure(o.sparkSession, {"opportunities": o}, ["opportunities", "study_topics"])["study_topics"].agg(F.count(F.lit(1)).alias("rows"), F.max("name").alias("name")), "o", "SELECT CAST(0 AS BIGINT) AS rows, CAST(NULL AS VARCHAR) AS name")
+_add("s8_catalog", lambda o, i: tables.catalog(o.sparkSession, {"opportunities": o, "interactions": i}, ["opportunities", "interactions", "documents"]), "oi",
+     "SELECT 'opportunities' AS name, TRUE AS present, count(*) AS rows FROM opportunities UNION ALL SELECT 'interactions', TRUE, count(*) FROM interactions UNION ALL SELECT 'documents', FALSE, 0")
+_add("f17_normalize", lambda s: tables.validate("sql_practice_sessions", tables.normalize_sessions(s.select("id", F.when(F.col("is_correct"), " DBeaver ").otherwise(F.col("platform")).alias("platform"), F.concat(F.lit(" "), F.upper("difficulty")).alias("difficulty"), F.lit("custom").alias("database_used"))))[0], "s",
+     "SELECT id, 'dbeaver' AS platform, difficulty, 'Custom' AS database_used FROM sessions WHERE is_correct")
+_add("f17_rejected", lambda s: tables.validate("sql_practice_sessions", s.select("id", "platform", F.lower("difficulty").alias("difficulty")))[1].select("id", "rejected_for"), "s",
+     "SELECT id, CASE WHEN difficulty IS NULL THEN 'platform' ELSE 'platform, difficulty' END AS rejected_for FROM sessions")
+_add("f18_relative_day", lambda s: s.select("id", columns.relative_day(F.col("practice_date"), F.lit(PRACTICE_DAY).cast("date")).alias("label")), "s",
+     f"SELECT id, CASE WHEN gap = 0 THEN 'Today' WHEN gap = 1 THEN 'Yesterday' WHEN gap < 7 THEN gap || ' days ago' ELSE CAST(practice_date AS VARCHAR) END AS label FROM (SELECT *, DATE '{PRACTICE_DAY}' - practice_date AS gap FROM sessions)")
+_add("f19_days_running", lambda w: w.agg(columns.days_running(F.min("date"), F.lit(PRACTICE_DAY).cast("date")).alias("days")), "w", f"SELECT CAST(DATE '{PRACTICE_DAY}' - min(date) + 1 AS INTEGER) AS days FROM work")
+_add("f20_dashboard", lambda n, w, j: q.dashboard(views.learning_gaps(n), w.select((F.col("time_spent_minutes") / F.lit(64.0)).alias("total_study_hours")), j), "qwj",
+     f"SELECT (SELECT count(*) FROM ({GAPS}) WHERE weak_percentage > 50) AS weak_count, (SELECT count(*) FROM work) AS topic_count, (SELECT CAST(floor(sum(time_spent_minutes / CAST(64 AS DOUBLE)) + 0.5) AS BIGINT) FROM work) AS study_hours, (SELECT count(*) FROM jobs WHERE match_score >= 75) AS strong_count")
+_add("f20_colour", lambda s: views.keyword_mastery(s).select("keyword", columns.band_colour(F.col("accuracy_percentage")).alias("colour")), "s", "SELECT keyword, CASE WHEN accuracy_percentage >= 80 THEN 'good' WHEN accuracy_percentage >= 60 THEN 'fair' ELSE 'weak' END AS colour FROM mastery", _views("mastery"))
+_add("f21_preview", lambda j: j.select("id", columns.skills_preview(F.slice(columns.items(F.lit('[{"skill":"a","weight":1},{"skill":"b","weight":2},{"skill":"c","weight":3}]'), "skill"), 1, (F.col("id") % 4).cast("int")), 2).alias("shown")), "j",
+     "SELECT id, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'a, b' ELSE 'a, b (+1 more)' END AS shown FROM jobs")
 _add("k15_export", lambda j: j.where("match_score >= 70").select("id", "job_title", "company", "match_score", "classification"), "j", "SELECT id, job_title, company, match_score, classification FROM jobs WHERE match_score >= 70")
 
 _add("d1_totals", checks.totals, "o", f"SELECT count(*) AS total, count(CASE WHEN {ACTIVE} THEN 1 END) AS active, count(CASE WHEN status IN {ARCHIVED} THEN 1 END) AS archived, count(CASE WHEN {ACTIVE} THEN 1 END) + count(CASE WHEN status IN {ARCHIVED} THEN 1 END) = count(*) AS consistent FROM opportunities")
-_add("d2_orphans", lambda i, o: checks.orphans(i, o.where("id % 5 <> 0")).select("id"), "io", "SELECT id FROM interactions WHERE opportunity_id NOT IN (SELECT id FROM opportunities WHERE id % 5 <> 0)")
-_add("d3_outside_domain", lambda j: checks.outside_domain(j.withColumn("classification", F.when(F.col("id") % 10 == 0, "odd").otherwise(F.col("classification"))), "scraped_jobs", "classification").select("id"), "j", "SELECT id FROM jobs WHERE id % 10 = 0")
+_add("d2_orphans", lambda i, o: checks.orphans(i, o.where("status <> 'Ghosted'")).select("id"), "io", "SELECT id FROM interactions WHERE opportunity_id NOT IN (SELECT id FROM opportunities WHERE status <> 'Ghosted')")
+_add("d3_outside_domain", lambda j: checks.outside_domain(j.withColumn("classification", F.when(F.col("location") == "Remote", "odd").otherwise(F.col("classification"))), "scraped_jobs", "classification").select("id"), "j", "SELECT id FROM jobs WHERE location = 'Remote'")
 _add("d4_parity", checks.parity, "oi", f"SELECT 'view' AS by, count(*) AS n FROM opportunities WHERE {ACTIVE} UNION ALL SELECT 'filter', count(*) FROM opportunities WHERE {ACTIVE}")
-_add("d5_gaps_too_good", checks.gaps_too_good, "q", f"SELECT * FROM ({GAPS}) WHERE avg_performance >= 4")
+_add("d5_gaps_too_good", lambda n: checks.gaps_too_good(views.learning_gaps(n).withColumn("avg_performance", F.col("avg_performance") + F.col("min_rating"))), "q", f"SELECT * FROM (SELECT * REPLACE (avg_performance + min_rating AS avg_performance) FROM ({GAPS})) WHERE avg_performance >= 4")
 _add("d6_time_travel", lambda o: checks.time_travel(o, "1998-01-01").select("id"), "o", "SELECT id FROM opportunities WHERE updated_at < created_at OR created_at > TIMESTAMP '1998-01-01'")
 _add("d7_score_bounds", lambda j: checks.score_bounds(j.withColumn("match_score", F.col("match_score") - 1)).select("id"), "j", "SELECT id FROM jobs WHERE match_score - 1 < 0 OR match_score - 1 > 100")
-_add("d8_mastery_recomputed", checks.mastery_recomputed, "s", "SELECT * FROM mastery WHERE FALSE", _views("mastery"))
+_add("d8_mastery_recomputed", lambda s: checks.mastery_recomputed(views.keyword_mastery(s).withColumn("accuracy_percentage", F.when(F.col("keyword") == "JOIN", 1.5).otherwise(F.col("accuracy_percentage")))), "s", "SELECT * REPLACE (CAST(1.5 AS DOUBLE) AS accuracy_percentage) FROM mastery WHERE keyword = 'JOIN'", _views("mastery"))
 
 QUERIES = {name: run for name, (run, _) in _made.items()}
 SQL = {name: sql for name, (_, sql) in _made.items()}
