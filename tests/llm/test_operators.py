@@ -597,12 +597,16 @@ def test_quality(spark, docs, labels):
         marks.append((i, int(not bad), 0))
     rows += [(700, None, None, None, None), (701, "", "en", None, -1), rows[1]]
     d, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame([m for m in marks if m[0] % 3], "doc_id long, quality int, toxic int")
-    got = quality.score(clashing(d, "score", "keep"), quality.fit(d, lab)).collect()
+    got = quality.score(clashing(d, "score", "keep"), quality.fit(d, lab)[0]).collect()
     assert len(got) == len(rows)
     known = [r for r in got if r["doc_id"] < 600 and r["doc_id"] % 3 == 0]
     assert sum(r["keep"] == (r["doc_id"] % 4 != 0) for r in known) >= 0.95 * len(known)
-    nothing = quality.score(d, quality.fit(d, lab.limit(0))).collect()
-    assert {r["score"] for r in nothing} == {0.5} and quality.score(d.limit(0), quality.fit(d, lab)).count() == 0
+    model, found = quality.fit(d, lab)
+    again = {(r["doc_id"], r["score"], r["keep"]) for r in quality.score_statistics(found, model).collect()}
+    assert again == {(r["doc_id"], r["score"], r["keep"]) for r in got}
+    nothing = quality.score(d, quality.fit(d, lab.limit(0))[0]).collect()
+    assert {r["score"] for r in nothing} == {0.5} and quality.score(d.limit(0), quality.fit(d, lab)[0]).count() == 0
+    assert quality.score(d, quality.fit(d.limit(0), lab)[0]).count() == len(rows)
 
 
 def test_co_training_exchanges():
@@ -610,5 +614,47 @@ def test_co_training_exchanges():
     y = (rng.random(400) < 0.5).astype(float)
     view = lambda z, noise: (z + noise * rng.normal(size=len(z)))[:, None]
     pool = (rng.random(600) < 0.5).astype(float)
-    model = quality.co_train([view(y, 0.2), view(y, 0.3)], y, [view(pool, 0.2), view(pool, 0.3)])
-    assert min(model["passed"]) > 0
+    pools, told = [view(pool, 0.2), view(pool, 0.3)], []
+
+    def ask(models, scales):
+        for v, label, q, rows in quality.sure_of(models, scales, pools, 0.95):
+            told.append((label == pool[rows]).mean())
+            yield 1 - v, label, pools[1 - v][rows[:50]]
+
+    model = quality.co_train([view(y, 0.2), view(y, 0.3)], y, ask)
+    assert min(model["passed"]) > 0 and min(told) > 0.9
+
+
+def test_corpus_asker_against_brute_force(spark):
+    """Of all unlabelled rows, the surest come, each once, whatever the partitioning."""
+    rng = random.Random(51)
+    rows = [(i, words(rng, rng.randrange(1, 30)), "en", f"s{i % 3}", i) for i in range(300)]
+    found = quality.statistics(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").toArrow()
+    views = quality._views(found)
+    y = np.array([float(len(t.split()) > 12) for _, t, *_ in rows])
+    models = [quality.logistic(v, y) for v in views]
+    scales = [quality.logistic(quality.logit(m, v)[:, None], y) for m, v in zip(models, views)]
+    pool = quality.statistics(spark.createDataFrame(rows, DOCS)).withColumn("uid", F.col("doc_id")).select("uid", "doc_id", "lang", "source", "n_chars", "stats").repartition(5)
+    ask, taken = quality.corpus_asker(pool, 0.6, 20), set()
+    for _ in range(2):
+        want, now = [], set()
+        for v, label, q, sure in quality.sure_of(models, scales, views, 0.6):
+            best = sorted((i for i in sure if i not in taken), key=lambda i: (-q[i], i))[:20]
+            best = [i for i in best if i not in now]
+            now |= set(best)
+            if best:
+                want.append((1 - v, label, views[1 - v][best]))
+        taken |= now
+        got = list(ask(models, scales))
+        assert [(v, label) for v, label, _ in got] == [(v, label) for v, label, _ in want]
+        assert all(np.allclose(a[2], b[2]) for a, b in zip(got, want))
+
+
+def test_quality_on_rows_that_no_fit_saw(spark):
+    """Labels of every fifth document are hidden from the fit and must be found."""
+    sf = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    hidden = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model, found = quality.fit(d, lab.where(~hidden))
+    got = quality.score_statistics(found, model).join(lab.where(hidden), "doc_id").select("keep", "quality").collect()
+    assert len(got) > 50 and sum(r["keep"] == (r["quality"] == 1) for r in got) >= 0.95 * len(got)

@@ -2,37 +2,37 @@
 
 The content view sees the text alone (word, repeat, letter and symbol statistics), the metadata view
 sees lang, source and n_chars alone. Each is a logistic regression. In every round each view names the
-unlabelled rows it is surest of, by probabilities calibrated on held-back labels; they join the
+unlabelled rows it is surest of among all unlabelled documents, by probabilities calibrated on held-back labels; they join the
 other view's training rows. A view that is never sure of anything passes nothing on. In the end both
 are calibrated again and a regression on their two logits scores all documents.
 
-The fit uses bounded samples of labelled and unlabelled rows, as statistics of some dozen numbers a
-row, in one task. Scoring is one pass over the texts without a shuffle.
+The texts are read once for statistics of some dozen numbers a row, which are written; a round is a pass over these, and
+from it come the ``PER_ROUND`` surest rows of either class and view. The fit uses those and a bounded sample of labelled rows.
+Scoring is one pass without a shuffle.
 
 Defined results: null or empty texts have all statistics 0; nulls in metadata are values of their
-own; null labels are not learnt from; labels of one class or none give every document the rate
-((ones + 1) / (rows + 2)); repeated rows are scored alike; other columns stay and ``content_score
-metadata_score score keep`` are written over; an empty table gives an empty table.
+own (langs and sources are hashed, and share places where there are more of them than places); null labels are not learnt from;
+labels of one class or none give every document the rate ((ones + 1) / (rows + 2)); a null doc_id is unlabelled; repeated rows
+are scored alike; other columns stay and ``content_score metadata_score score keep`` are written over; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import pickle
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidewright.llm.common import chunks, table, texts_of, words_of
+from tidewright.llm.common import Scratch, chunks, table, texts_of, words_of
 
 FIT_ROWS = 20_000  # labelled rows, about, at most; by hash of doc_id
-POOL_ROWS = 20_000  # unlabelled rows, about, at most; by hash of doc_id
 ROUNDS = 5
 PER_ROUND = 500  # rows of each class that a view names in a round, at most
 SURE = 0.95  # calibrated probability from which a row is named
 KEEP = 0.5  # documents below this score go
-_PLACES = 64  # hashed metadata values
+_LANGS, _SOURCES = 16, 64  # places of hashed metadata values
 _CLASSES = ("upper", "lower", "digit", "mark", "odd", "bar", "shout")
 _KIND = np.full(256, 4, np.int8)  # by byte: odd signs unless named below
 _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 0, 1, 1, 2
@@ -71,13 +71,15 @@ def content_features(x: np.ndarray) -> np.ndarray:
 
 
 def metadata_features(lang, source, n_chars) -> np.ndarray:
-    """Hashed lang and source, each with and without the other, and the size of n_chars."""
-    out = np.zeros((len(lang), _PLACES + 3))
+    """Hashed lang, hashed source, and the size of n_chars."""
+    out = np.zeros((len(lang), _LANGS + _SOURCES + 3))
+    place = {}  # of the values of this batch
     for i, (a, b, n) in enumerate(zip(lang, source, n_chars)):
-        for value in (f"l{a}", f"s{b}"):
-            out[i, zlib.crc32(value.encode()) % _PLACES] += 1
+        if (a, b) not in place:
+            place[a, b] = zlib.crc32(f"l{a}".encode()) % _LANGS, _LANGS + zlib.crc32(f"s{b}".encode()) % _SOURCES
+        out[i, place[a, b]] = 1
         size = np.log1p(max(n, 0)) if n is not None else 0.0
-        out[i, _PLACES:] = (size / 10, (size / 10) ** 2, n is None)
+        out[i, -3:] = (size / 10, (size / 10) ** 2, n is None)
     return out
 
 
@@ -107,9 +109,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS, sure: float = SURE, per_round: int = PER_ROUND) -> dict:
-    """Two views of the labelled rows and of the pool, to the fitted views, their calibrations and the blend.
+def sure_of(models: list[dict], scales: list[dict], views: list[np.ndarray], sure: float):
+    """(view, label, probability, rows) for what each view is sure of."""
+    for v in (0, 1):
+        p = sigmoid(logit(scales[v], logit(models[v], views[v])[:, None])) if len(views[v]) else np.zeros(0)
+        for label, q in ((1, p), (0, 1 - p)):
+            yield v, label, q, np.flatnonzero(q >= sure)
 
+
+def co_train(views: list[np.ndarray], y: np.ndarray, ask, rounds: int = ROUNDS) -> dict:
+    """Two views of the labelled rows to the fitted views, their calibrations and the blend.
+
+    ``ask`` takes models and calibrations and gives (view that is told, label, that view's features of the rows) of a round.
     Every fourth labelled row is held back: calibration and blend never see a row that a view learnt from.
     """
     if len(y) < 8 or y.sum() in (0, len(y)):
@@ -118,95 +129,147 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], ro
     if y[held].sum() in (0, held.sum()) or y[~held].sum() in (0, (~held).sum()):
         held = np.zeros(len(y), bool)
     test = held if held.any() else ~held
-    extra: list[list] = [[], []]  # what each view was told by the other: (pool rows, label)
-    free = np.ones(len(pools[0]), bool)
+    extra: list[list] = [[], []]  # what each view was told by the other: (features, label)
     for turn in range(rounds + 1):
-        models, scales, named = [], [], []
+        models, scales = [], []
         for v in (0, 1):
-            x = np.concatenate([views[v][~held], *[pools[v][rows] for rows, _ in extra[v]]])
+            x = np.concatenate([views[v][~held], *[rows for rows, _ in extra[v]]])
             t = np.concatenate([y[~held], *[np.full(len(rows), label) for rows, label in extra[v]]])
             w = np.concatenate([np.ones((~held).sum()), *[np.full(len(rows), 0.5) for rows, _ in extra[v]]])
             models.append(logistic(x, t, w))
             scales.append(logistic(logit(models[v], views[v][test])[:, None], y[test], l2=1e-2))
-            p = sigmoid(logit(scales[v], logit(models[v], pools[v])[:, None])) if len(free) else np.zeros(0)
-            for label, q in ((1, p), (0, 1 - p)):
-                order = np.argsort(-q, kind="stable")
-                rows = order[(q[order] >= sure) & free[order]][:per_round]
-                named.append((1 - v, rows, label))
         if turn < rounds:
-            for v, rows, label in named:
-                rows = rows[free[rows]]
-                free[rows] = False
-                if len(rows):
-                    extra[v].append((rows, label))
+            for v, label, rows in ask(models, scales):
+                extra[v].append((rows, label))
     both = np.stack([logit(scales[v], logit(models[v], views[v][test])[:, None]) for v in (0, 1)], axis=1)
     return {"models": models, "scales": scales, "blend": logistic(both, y[test], l2=1e-3), "passed": [sum(len(r) for r, _ in e) for e in extra]}
 
 
 def _views(batch) -> list[np.ndarray]:
-    meta = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-    return [content_features(content_statistics(batch)), metadata_features(*meta)]
+    """Both views' features from a batch of statistics."""
+    width = 8 + len(_CLASSES)
+    stats = np.frombuffer(b"".join(batch.column("stats").to_pylist()), np.float64).reshape(-1, width) if batch.num_rows else np.zeros((0, width))
+    return [content_features(stats), metadata_features(*[batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")])]
+
+
+_META = "lang string, source string, n_chars long, stats binary"
 
 
-def _rows(batches):
-    import pyarrow as pa
+def statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, source, n_chars, stats) of every document: the one pass over the texts."""
 
-    for batch in batches:
-        views = _views(batch)
-        yield pa.RecordBatch.from_pydict({"quality": batch.column("quality"), "doc_id": batch.column("doc_id"), "views": pa.array([pickle.dumps((a, b)) for a, b in zip(*views)], pa.binary())})
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            stats = pa.array([row.tobytes() for row in content_statistics(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "lang", "source", "n_chars")], stats], names=["doc_id", "lang", "source", "n_chars", "stats"])
 
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), "text")
+    return x.mapInArrow(run, "doc_id long, " + _META)
+
+
+def corpus_asker(pool: DataFrame, sure: float = SURE, per_round: int = PER_ROUND):
+    """An ``ask`` for co_train over all rows of ``pool`` (uid, doc_id and statistics): each row is named once.
+
+    To the driver come ``per_round`` rows for either class and view. Spark keeps the surest of each task before it shuffles them.
+    """
+    named: set[int] = set()
+
+    def ask(models, scales):
+        import pyarrow as pa
 
-def _fit(batches):
-    import pyarrow as pa
+        known = np.array(sorted(named), np.int64)
+
+        def run(batches):
+            for batch in batches:
+                free = ~np.isin(batch.column("uid").to_numpy(), known)
+                for v, label, q, rows in sure_of(models, scales, _views(batch), sure):
+                    rows = rows[free[rows]]
+                    rows = pa.array(rows[np.argsort(-q[rows], kind="stable")][:per_round])
+                    kind = pa.array(np.full(len(rows), 2 * v + label, np.int32))
+                    yield pa.RecordBatch.from_arrays([kind, pa.array(q).take(rows), *[batch.column(c).take(rows) for c in batch.schema.names]], names=["kind", "q", *batch.schema.names])
+
+        found = pool.mapInArrow(run, "kind int, q double, uid long, doc_id long, " + _META)
+        for by in (["kind", F.pmod("uid", F.lit(64))], ["kind"]):
+            best = Window.partitionBy(*by).orderBy(F.desc("q"), "doc_id", "uid")
+            found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= per_round).drop("_n")
+        found = found.orderBy("kind", F.desc("q"), "doc_id", "uid").toArrow()
+        for v in (0, 1):
+            for label in (1, 0):
+                rows = found.filter(pa.array([k == 2 * v + label and u not in named for k, u in zip(found.column("kind").to_pylist(), found.column("uid").to_pylist())], pa.bool_()))
+                named.update(rows.column("uid").to_pylist())
+                if rows.num_rows:
+                    yield 1 - v, label, _views(rows)[1 - v]
 
-    rows = sorted((r["doc_id"], r["quality"], r["views"]) for b in batches for r in b.to_pylist())
-    views = [pickle.loads(r[2]) for r in rows]
-    known = np.array([r[1] >= 0 for r in rows], bool)
-    both = [np.array([x[v] for x in views]) for v in (0, 1)] if rows else [np.zeros((0, 1))] * 2
-    y = np.array([r[1] for r in rows], float)
-    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(co_train([b[known] for b in both], y[known], [b[~known] for b in both]))], pa.binary())})
+    return ask
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> dict:
-    """The co-trained views from about ``fit_rows`` labelled and ``pool_rows`` unlabelled documents at most."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict, DataFrame]:
+    """(the co-trained views, the statistics of all documents): from about ``fit_rows`` labelled documents at most and all unlabelled ones."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(statistics(docs).withColumn("uid", F.monotonically_increasing_id()), "statistics")
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    ids = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left")
-    n = ids.agg(F.count("quality").alias("known"), F.count_if(F.col("quality").isNull()).alias("rest")).first()
-    part = lambda most, of: F.lit(int(min(1.0, most / max(1, of)) * (1 << 30)))
-    draw = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 30))
-    ids = ids.where(draw < F.when(F.col("quality").isNotNull(), part(fit_rows, n["known"])).otherwise(part(pool_rows, n["rest"])))
-    ids = ids.groupBy("doc_id").agg(F.coalesce(F.first("quality"), F.lit(-1)).alias("quality"))
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(ids, "doc_id").mapInArrow(_rows, "quality int, doc_id long, views binary")
-    models = rows.repartition(1).mapInArrow(_fit, "model binary").collect()
-    return pickle.loads(models[0]["model"]) if models else co_train([], np.zeros(0), [])
+    met = found.select("doc_id", "uid").join(known, "doc_id")
+    n = known.count()
+    part = F.lit(int(min(1.0, fit_rows / max(1, n)) * (1 << 30)))
+    met = met.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 30)) < part)
+    own = found.join(met.drop("doc_id"), "uid").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # fit_rows, about, at most
+    y = np.array(own.column("quality").to_pylist(), float)
+    pool = found.join(known, "doc_id", "left_anti").select("uid", "doc_id", "lang", "source", "n_chars", "stats")
+    pool = scratch.save(pool, "pool")
+    return co_train(_views(own), y, corpus_asker(pool)), found
+
+
+def score_statistics(found: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
+    """Statistics with content_score, metadata_score, score (of quality 1) and keep."""
+
+    def scored(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = _scores(batch, model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found), pa.array(found[2] >= keep)], names=[*batch.schema.names, *_NAMES])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    return found.mapInArrow(scored, schema + _SCORES)
+
+
+_NAMES = ["content_score", "metadata_score", "score", "keep"]
+_SCORES = ", content_score double, metadata_score double, score double, keep boolean"
+
+
+def _scores(batch, model: dict) -> list[np.ndarray]:
+    if "rate" in model:
+        return [np.full(batch.num_rows, model["rate"])] * 3
+    logits = [logit(model["scales"][v], logit(model["models"][v], x)[:, None]) for v, x in enumerate(_views(batch))]
+    return [sigmoid(x) for x in logits] + [sigmoid(logit(model["blend"], np.stack(logits, axis=1)))]
 
 
 def score(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
     """``docs`` with content_score, metadata_score, score (of quality 1) and keep."""
-    docs = docs.drop("content_score", "metadata_score", "score", "keep")
+    docs = docs.drop(*_NAMES)
 
     def scored(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if "rate" in model:
-                found = [np.full(batch.num_rows, model["rate"])] * 3
-            else:
-                logits = [logit(model["scales"][v], logit(model["models"][v], x)[:, None]) for v, x in enumerate(_views(batch))]
-                found = [sigmoid(x) for x in logits] + [sigmoid(logit(model["blend"], np.stack(logits, axis=1)))]
-            names = ["content_score", "metadata_score", "score", "keep"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found), pa.array(found[2] >= keep)], names=[*batch.schema.names, *names])
+            stats = pa.array([row.tobytes() for row in content_statistics(batch)], pa.binary())
+            meta = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("lang", "source", "n_chars")], stats], names=["lang", "source", "n_chars", "stats"])
+            found = _scores(meta, model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found), pa.array(found[2] >= keep)], names=[*batch.schema.names, *_NAMES])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, schema + ", content_score double, metadata_score double, score double, keep boolean")
+    return docs.mapInArrow(scored, schema + _SCORES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "content_score", "metadata_score", "score", "keep")
+    model, found = fit(docs, table(spark, sf_dir, "labels"))
+    return score_statistics(found, model).select("doc_id", *_NAMES)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
-    columns = docs.columns
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).where("keep").select(*columns)
+    model, _ = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).where("keep").select(*docs.columns)
