@@ -144,6 +144,27 @@ def test_every_band_has_a_plan():
         assert edges[-1] >= 1 << 40 and all(set_join.plan(b, percent)[0] > 0 for b in range(len(edges) - 2))
 
 
+def test_wide_sketches_never_part_similar_sets():
+    """They differ in no more bits than the sets in elements, whatever their sizes, and tell unlike large sets apart."""
+    rng = np.random.default_rng(8)
+    for n, m in ((600, 600), (5000, 5200), (3000, 4200), (40000, 33000)):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(0.9 * n)], rng.integers(0, 1 << 62, max(1, m - int(0.9 * n))).astype(np.uint64)]))
+        differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        assert set_join.apart_bits(set_join.wide_parity(a), set_join.wide_parity(b)) <= differ
+        c = np.unique(rng.integers(0, 1 << 62, m).astype(np.uint64))
+        assert set_join.apart_bits(set_join.wide_parity(a), set_join.wide_parity(c)) * 185 > (len(a) + len(c)) * 15
+    assert set_join.wide_parity(np.arange(500, dtype=np.uint64)) is None
+
+
+def test_set_join_of_long_texts(spark):
+    rng = random.Random(61)
+    base = words(rng, 4000, 10**6).split()
+    rows = [(0, " ".join(base)), (1, " ".join(base[:-60])), (2, words(rng, 4000, 10**6)), (3, " ".join(base[:3000] + words(rng, 900, 10**6).split())), (4, " ".join(base[2000:]) + " " + words(rng, 2100, 10**6))]
+    got = set_join.join_sets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert Counter(collected(got)) == components(rows, 4, 85)
+
+
 def test_set_join_of_nothing(spark):
     assert set_join.join_sets(spark.createDataFrame([], DOCS)).count() == 0
 

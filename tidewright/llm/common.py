@@ -40,7 +40,7 @@ class Scratch:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="scratch-")
-        self.spark, self.base = spark, f"{base}/{uuid.uuid4().hex}"
+        self.spark, self.base, self.tables = spark, f"{base}/{uuid.uuid4().hex}", {}
 
     #: What is written needs no shuffle files any more; what goes to Python is bounded by bytes, however long its texts are.
     SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -56,11 +56,21 @@ class Scratch:
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """One row for each ``key``, written in buckets of it: joins on the key do not shuffle this table again."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        one, known = df.repartition(n, key).dropDuplicates([key]), f"scratch_{uuid.uuid4().hex}"
+        one.write.bucketBy(n, key).sortBy(key).option("path", f"{self.base}/{name}").format("parquet").saveAsTable(known)
+        self.tables[name] = known
+        return self.spark.table(known)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no returned frame reads."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(conf).delete(path, True)
 

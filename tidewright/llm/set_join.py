@@ -13,7 +13,8 @@ Equal sets are one class from the start. Classes that share a signature meet the
 (star edges); what these leave apart meets across components, so no pair of different components
 that shares a signature goes unchecked. Before two sets are brought together their parity sketches
 are: every element flips one of 1024 bits, so the bits in which two sketches differ are no more than
-the elements in which the sets do, and within a family of loose copies most pairs end there, inside the join.
+the elements in which the sets do, and within a family of loose copies most pairs end there, inside the join. For large sets
+a wider sketch, of two bits an element, says the same before the sets themselves are sent.
 Verification counts the common hashes of both sets exactly. The result is components, not links: pairs
 inside a component other than star edges are not compared.
 
@@ -140,14 +141,20 @@ def _key(shingles: np.ndarray) -> int:
 
 
 def _classes(k: int):
+    """Size and name of each set; the text goes on with the first row of its set in this task alone."""
+
     def run(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()
         for batch in batches:
-            n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, key, new = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
             for i, own in _sets(batch, k):
                 n[i], key[i] = len(own), _key(own) if len(own) else 0
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "x", "y")], pa.array(n), pa.array(key)], names=["doc_id", "x", "y", "n", "key"])
+                new[i] = len(own) and int(key[i]) not in seen
+                seen.add(int(key[i]))
+            text = pa.array(np.arange(batch.num_rows), mask=~new)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "x", "y")], pa.array(n), pa.array(key), batch.column("text").take(text)], names=["doc_id", "x", "y", "n", "key", "text"])
 
     return run
 
@@ -190,6 +197,38 @@ def _apart(n, m, one: str, two: str, percent: int):
     return bits * (100 + percent) <= (n + m) * (100 - percent)
 
 
+def wide_parity(shingles: np.ndarray) -> bytes | None:
+    """The same over at least two bits an element, for sets that the short sketch can't tell apart; a power of two, so that it folds."""
+    bits = 1 << (2 * len(shingles) - 1).bit_length()
+    if bits <= 64 * SKETCH:
+        return None
+    odd = np.bincount((mix(shingles ^ U(0xA5A5A5A5)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart_bits(one: bytes, two: bytes) -> int:
+    """Bits in which two wide sketches differ, the longer one folded to the shorter."""
+    a, b = (np.frombuffer(x, np.uint8) for x in sorted((one, two), key=len))
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _plausible(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) but for those of large sets whose wide sketches rule them out. A sketch has a 32nd of its set's bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sides = [batch.column(c).to_pylist() for c in ("wa", "na", "wb", "nb")]
+            keep = [wa is None or wb is None or apart_bits(wa, wb) * (100 + percent) <= (na + nb) * (100 - percent) for wa, na, wb, nb in zip(*sides)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    one, two = (sets.select(F.col("key").alias(c), F.col("wide").alias(f"w{c}"), F.size("set").cast("long").alias(f"n{c}")).where(f"w{c} is not null") for c in "ab")
+    return edges.join(one, "a", "left").join(two, "b", "left").select("a", "wa", "na", "b", "wb", "nb").mapInArrow(run, "a long, b long")
+
+
 def _arrays(k: int):
     def run(batches):
         import pyarrow as pa
@@ -200,7 +239,7 @@ def _arrays(k: int):
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             sketch = np.array([parity(s) for s in sets], np.int64).reshape(-1, SKETCH)
             columns = [batch.column("key"), pa.ListArray.from_arrays(pa.array(cut), pa.array(values)), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "set", *_BITS])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([wide_parity(s) for s in sets], pa.binary())], names=["key", "set", *_BITS, "wide"])
 
     return run
 
@@ -244,6 +283,8 @@ def _affordable(signed: DataFrame, percent: int) -> DataFrame:
 
 def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose sets are similar, counted exactly."""
+    needed = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
+    sets = sets.select("key", "set").join(needed, "key", "left_semi")
     one, two = (sets.select(F.col("key").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
     both = edges.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -259,22 +300,22 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, x, y, n, key, root, component_id) of every row: its text's name, set's size and name, component by the name and by the smallest doc_id."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(text_names(F.col("text")))
-    classes = scratch.save(docs.mapInArrow(_classes(k), "doc_id long, x long, y long, n long, key long"), "classes")
+    named = scratch.save(docs.mapInArrow(_classes(k), "doc_id long, x long, y long, n long, key long, text string"), "named")
+    texts = scratch.save_bucketed(named.where("text is not null").select("key", "text"), "texts", "key")  # one for each set; met again below without a shuffle
+    classes = scratch.save(named.drop("text"), "classes")
+    scratch.drop("named")
 
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    reps = scratch.save(classes.where("n > 0").groupBy("key").agg(F.min(F.struct("x", "y")).alias("t")).select("key", "t.*"), "reps")
-    texts = docs.select("x", "y", "text").dropDuplicates(["x", "y"]).join(reps, ["x", "y"]).select("key", "text")
-    texts = scratch.save(texts, "texts")  # one for each set
     signed = scratch.save(texts.mapInArrow(_signed(k, percent), "sig long, key long, n int, place long"), "all")
     sigs = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     signed = scratch.save(signed.join(scratch.save(sigs, "sigs"), "sig"), "shared")
-    scratch.drop("reps", "all", "sigs")
+    scratch.drop("all", "sigs")
     signed = scratch.save(_affordable(signed, percent), "signed")
     scratch.drop("shared")
     first = signed.groupBy("sig").agg(F.max(F.struct("fame", "key", "n")).alias("f")).select("sig", F.col("f.key").alias("lo"), F.col("f.n").alias("m"))
     signed = scratch.save(signed.drop("fame").join(scratch.save(first, "centers"), "sig"), "groups")
 
-    sketched = "key long, set array<long>, " + ", ".join(f"{c} long" for c in _BITS)
+    sketched = "key long, set array<long>, " + ", ".join(f"{c} long" for c in _BITS) + ", wide binary"
     involved = scratch.save(signed.select("key").distinct(), "involved")
     sets = scratch.save(texts.join(involved, "key", "left_semi").mapInArrow(_arrays(k), sketched), "sets")
     scratch.drop("texts", "involved")
@@ -282,7 +323,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     met = signed.where((F.col("lo") != F.col("key")) & near).select(F.col("lo").alias("a"), F.col("key").alias("b"), "n", "m").distinct()
     met = met.join(sketch("a", "a"), "a").join(sketch("b", "b"), "b").where(_apart(F.col("n"), F.col("m"), "a", "b", percent))
-    stars = scratch.save(met.select("a", "b"), "stars")
+    stars = scratch.save(_plausible(met.select("a", "b"), sets, percent), "stars")
     links = scratch.save(_verified(stars, sets, percent), "links")
     roots = scratch.save(components(scratch, links, "near"), "roots")
 
@@ -295,14 +336,15 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     across = (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near & _apart(F.col("n"), F.col("m"), "a", "b", percent)
     x = x.withColumnRenamed("key", "a").withColumnRenamed("sig", "_sig")
     pairs = scratch.save(x.join(y, (F.col("_sig") == F.col("sig")) & across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), "pairs")
-    links = links.unionByName(scratch.save(_verified(pairs.select("a", "b"), sets, percent), "links-2"))
+    pairs = scratch.save(_plausible(pairs.select("a", "b"), sets, percent), "pairs-2")
+    links = links.unionByName(scratch.save(_verified(pairs, sets, percent), "links-2"))
     roots = components(scratch, links, "all")
 
     own = classes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     own = scratch.save(own.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "roots-2")
     named = scratch.save(own.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     own = scratch.save(own.join(named, "root").select("key", "root", "component_id"), "own")
-    scratch.drop("signed", "centers", "groups", "sets", "stars", "links", "roots", "rooted", "mixed", "apart", "pairs", "links-2", "roots-2", "components")
+    scratch.drop("signed", "centers", "groups", "sets", "stars", "links", "roots", "rooted", "mixed", "apart", "pairs", "pairs-2", "links-2", "roots-2", "components")
     known = classes.where("n > 0").join(own, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return known.unionByName(classes.where("n = 0").withColumns({"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")}))
 
