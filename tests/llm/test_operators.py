@@ -307,7 +307,7 @@ def mixed_by_hand(rows, weights=(1, 2, 3), cap=3):
 def test_source_mix(spark, docs):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     sizes, target = mixed_by_hand(rows)
-    got = source_mix.fair_mix(clashing(docs, "target", "taken")).collect()
+    got = source_mix.fair_mix(clashing(docs, "target", "taken", "_key", "_row", "_bucket")).collect()
     assert len(got) == len(rows)
     taken = defaultdict(int)
     for r in got:

@@ -4,6 +4,10 @@ Every source is a queue of its shuffled documents, repeated up to ``cap`` times.
 document gets the virtual finish time (words of its source up to and with it) / (target of its
 source); the queues are served in the order of that time until the budget is used up.
 
+A source's queue is cut into slices of about ``ROWS`` rows by its shuffled order, so a hot source is dealt over many tasks;
+virtual time is cut into slices as fine, of which only the one in which the budget ends is added up row by row. Both counts
+grow with the rows. What one task holds besides is a row for each source.
+
 Defined results: null text counts 0 words; null sources are one source, the last; repeated rows
 are documents of their own; an empty table gives an empty table; columns of any other name are
 kept, and only ``size source_size target copies taken`` are written (over clashing columns).
@@ -17,13 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import Scratch, table, word_count
+from tidewright.llm.common import Scratch, prefix_sums, table, word_count
 
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
 CAP = 3
-SLICES = 65536  # of one unit of virtual time, to find the slice in which the budget ends
-_BUCKETS = 4096  # of a source's shuffled order: three hex digits
+ROWS = 1024  # of a slice of a queue or of virtual time, on average
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -47,8 +50,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return x.withColumn("target", F.when(full, F.col("_ceiling").cast("double")).otherwise(F.col("_final") * F.col("_weight").cast("double"))).select("_none", "_source", "source_size", "target")
 
 
-def _order_key(doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def _order_key(doc_id: Column, size: Column) -> Column:
+    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), size.cast("string")).cast("binary"))
 
 
 def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, size: Column | None = None) -> DataFrame:
@@ -63,9 +66,11 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     scratch = Scratch(docs.sparkSession)
     size = word_count(F.col("text")) if size is None else size
     columns = [c for c in docs.columns if c not in mine]
-    x = docs.select(*columns, size.alias("size"), F.col("source").isNull().alias("_none"), F.coalesce(F.col("source"), F.lit("")).alias("_source"), _order_key(F.col("doc_id")).alias("_key"))
-    x = x.withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
-    tie = ["_key", "size"] + [c for c in columns if c == "text"]
+    x = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id"), size.alias("size"), F.col("source").isNull().alias("_none"), F.coalesce(F.col("source"), F.lit("")).alias("_source"))
+    bits = min(32, (docs.count() // ROWS).bit_length())  # slices of all queues together are as many as this power of two, or a few for each source
+    x = x.withColumn("_key", _order_key(F.col("doc_id"), F.col("size"))).drop("doc_id")
+    x = x.withColumn("_bucket", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), 32 - bits))
+    tie = ["_key", "size"] + [f"_row.{c}" for c in columns if c == "text"]
     inside = Window.partitionBy("_none", "_source", "_bucket").orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
     x = scratch.save(x.withColumn("_inside", F.sum("size").over(inside)), "queues")
 
@@ -78,15 +83,15 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(slices, ["_none", "_source", "_bucket"]).withColumn("_at", F.col("_base") + F.col("_inside"))
 
-    cuts = scratch.save(_cuts(placed(x.select("_none", "_source", "_bucket", "_inside", "size")), cap), "cuts")
+    cuts = scratch.save(_cuts(placed(x.select("_none", "_source", "_bucket", "_inside", "size")), cap, 1 << bits), "cuts")
     x = placed(x).join(cuts, ["_none", "_source"], "left")
     served = [F.when(F.col("_at") + F.col("source_size") * F.lit(e) <= F.col("_cut"), 1).otherwise(0) for e in range(cap)]
     copies = F.when(F.col("size") > 0, reduce(lambda a, b: a + b, served)).otherwise(0)
     x = x.withColumn("copies", copies.cast("int")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return x.select(*columns, *mine)
+    return x.select("_row.*", *mine)
 
 
-def _cuts(x: DataFrame, cap: int) -> DataFrame:
+def _cuts(x: DataFrame, cap: int, slices: int) -> DataFrame:
     """(_none, _source, _cut): the place in each source's queue up to which the budget serves it.
 
     Pass one sums words by slices of virtual time and finds the slice in which the budget ends. Pass
@@ -95,12 +100,11 @@ def _cuts(x: DataFrame, cap: int) -> DataFrame:
     turn = x.where("size > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
     turn = turn.withColumn("_place", F.col("_at") + F.col("source_size") * F.col("_turn"))
     turn = turn.withColumn("_time", F.col("_place").cast("double") / F.col("target")).where("target > 0")
-    turn = turn.withColumn("_slice", F.floor(F.least(F.col("_time"), F.lit(4.0)) * SLICES).cast("long"))
+    turn = turn.withColumn("_slice", F.floor(F.least(F.col("_time"), F.lit(4.0)) * slices).cast("long"))
     sums = turn.groupBy("_slice").agg(F.sum("size").alias("_words"))
-    upto = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     budget = x.agg(F.sum("size").alias("b")).first()["b"] or 0  # 100 % of all words
-    over = sums.withColumn("_upto", F.sum("_words").over(upto)).where(F.col("_upto") > budget).orderBy("_slice").first()
-    last, left = (over["_slice"], budget - over["_upto"] + over["_words"]) if over else (1 << 62, 0)
+    over = prefix_sums(sums, "_slice", "_words", "_before").where(F.col("_before") + F.col("_words") > budget).orderBy("_slice").first()
+    last, left = (over["_slice"], budget - over["_before"]) if over else (1 << 62, 0)
     order = Window.orderBy("_time", "_none", "_source", "_place").rowsBetween(Window.unboundedPreceding, 0)
     edge = turn.where(F.col("_slice") == last).withColumn("_run", F.sum("size").over(order)).where(F.col("_run") <= left)
     kept = turn.where(F.col("_slice") < last).select("_none", "_source", "_place").unionByName(edge.select("_none", "_source", "_place"))
@@ -120,10 +124,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
-  FROM documents
+  SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, size,
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size) AS k
+  FROM (SELECT *, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents)
 ), s AS (
   SELECT none, src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY none, src
 ), w AS (
