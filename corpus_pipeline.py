@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, quality, set_join, sharding, source_mix
-from tidewright.llm.common import Scratch
+from tidewright.llm.common import Scratch, clear
 
 STAGES = [
     ("quality", quality.stage),
@@ -23,10 +23,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each result written as Parquet and read again."""
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The stages over ``documents``, each result written as Parquet and read again.
+
+    What a stage needed besides is deleted when its result is written, and with it the result of the stage before.
+    Under a ``name`` a run that broke off goes on after the last stage whose result was written.
+    """
+    scratch = Scratch(spark, name)
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), 0
+    for i, (stage, _) in enumerate(STAGES):
+        if name and scratch.done(stage):
+            docs, first = spark.read.parquet(f"{scratch.base}/{stage}"), i + 1
+    for i, (stage, apply) in list(enumerate(STAGES))[first:]:
+        before = len(Scratch.opened)
+        docs = scratch.save(apply(spark, docs, sf_dir), stage)
+        clear(before)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
     return docs

@@ -572,6 +572,29 @@ def test_toxicity(spark):
     assert {round(r["score"], 6) for r in nothing} == {0.5} and toxicity.score(d.limit(0), toxicity.fit(d, lab)).count() == 0
 
 
+def test_scores_are_the_machine_by_hand(spark):
+    """w0 + the weights + the products of all pairs of the terms that a text holds, each once."""
+    rng = random.Random(71)
+    texts = [words(rng, rng.randrange(0, 30), 30) for _ in range(80)] + [None, "", "w1 W1 w1"]
+    terms = lambda t: set(toxicity._terms(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0].tolist()) if t else set()
+    places = np.array(sorted(set().union(*map(terms, texts)))[::2], np.int32)
+    g = np.random.default_rng(3)
+    machine = {"w0": -0.3, "places": places, "w": g.normal(size=len(places)).astype(np.float32), "v": g.normal(0, 0.3, (len(places), 4)).astype(np.float32)}
+    at = {int(p): i for i, p in enumerate(places)}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), machine).collect()}
+    for i, t in enumerate(texts):
+        own = [at[p] for p in terms(t) if p in at]
+        total = -0.3 + sum(float(machine["w"][a]) for a in own) + sum(float(machine["v"][a].astype(float) @ machine["v"][b].astype(float)) for n, a in enumerate(own) for b in own[:n])
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-4
+
+
+def test_toxicity_on_rows_that_no_fit_saw(spark):
+    sf = "/root/testdata/sf0.1"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    rows = toxicity.score(d, toxicity.fit(d, lab)).where("held_out").join(lab, "doc_id").select("predicted", "toxic").collect()
+    assert len(rows) > 500 and sum(r["predicted"] == r["toxic"] for r in rows) >= 0.97 * len(rows)
+
+
 def test_machine_learns_pairs():
     """1 with 2 and 3 with 4 are toxic, 1 with 4 and 3 with 2 are not: out of reach of additive weights."""
     rng = np.random.default_rng(0)

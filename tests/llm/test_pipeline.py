@@ -1,5 +1,9 @@
 """The pipeline against its stages' own rules, on the smallest tables."""
 
+import os
+import tempfile
+import uuid
+
 import duckdb
 import pytest
 
@@ -34,6 +38,38 @@ def test_stages(spark):
     assert abs(seen["mix"].count() - seen["decontaminate"].count()) < seen["decontaminate"].count()
 
 
+def test_pipeline_resumes(spark, monkeypatch):
+    """A run that breaks off goes on after the last stage written; nothing but that result is kept."""
+    ran, whole = [], list(corpus_pipeline.STAGES)
+
+    def marked(name, stage, fails):
+        def one(spark, docs, sf_dir):
+            ran.append(name)
+            if fails:
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return one
+
+    quick = [("near", lambda s, d, p: d.dropDuplicates(["text"])), whole[2], ("last", whole[4][1])]
+    own = f"resume-{uuid.uuid4().hex}"
+    folder = tempfile.mkdtemp()
+    monkeypatch.setattr(Scratch, "__init__", lambda self, spark, name=None, at=Scratch.__init__: (at(self, spark, name), setattr(self, "base", f"{folder}/{name}") if name else None)[0])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, marked(n, f, n == "last")) for n, f in quick])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, SF, own)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, marked(n, f, False)) for n, f in quick])
+    rows = corpus_pipeline.run(spark, SF, own).count()
+    assert ran == ["near", "decontaminate", "last", "last"] and rows > 0 and os.listdir(f"{folder}/{own}") == ["last"]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[-2:] == ["shard", "slot"]
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()

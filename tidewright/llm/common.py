@@ -31,16 +31,20 @@ class Scratch:
     """Tables in the shared folder that spark.checkpoint.dir names.
 
     A table cuts lineage: what is read again survives the loss of any executor. On a local
-    master without that setting a temporary folder is used; on a cluster it must be set.
+    master without that setting a temporary folder is used; on a cluster it must be set. A folder with a ``name`` is found
+    again by a run that starts anew. Tables that a returned frame reads stay until remove() or clear().
     """
 
-    def __init__(self, spark: SparkSession):
+    opened: list = []  # of this process, in order
+
+    def __init__(self, spark: SparkSession, name: str | None = None):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="scratch-")
-        self.spark, self.base, self.tables = spark, f"{base}/{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.tables = spark, f"{base}/{name or uuid.uuid4().hex}", {}
+        Scratch.opened.append(self)
 
     #: What is written needs no shuffle files any more; what goes to Python is bounded by bytes, however long its texts are.
     SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -64,15 +68,34 @@ class Scratch:
         self.tables[name] = known
         return self.spark.table(known)
 
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def done(self, name: str) -> bool:
+        """Whether the table was written to its end."""
+        path, files = self._path(f"{name}/_SUCCESS")
+        return files.exists(path)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no returned frame reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             if name in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._path(name)
+            files.delete(path, True)
+
+    def remove(self) -> None:
+        """Deletes the folder with all its tables."""
+        self.drop(*self.tables, "")
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
+
+
+def clear(since: int = 0) -> None:
+    """Deletes the scratch folders that this process opened, but for the first ``since`` of them."""
+    for one in Scratch.opened[since:]:
+        one.remove()
 
 
 def prefix_sums(df: DataFrame, key: str, value: str, out: str, by: list[str] | None = None, width: int = 4096) -> DataFrame:
