@@ -207,6 +207,13 @@ def test_repeats_of_groups(spark, size):
         assert Counter(collected(repeats.cut_repeats(frame, crowd=crowd))) == want
 
 
+def test_repeats_of_a_whole_table(spark):
+    """Every document of the smallest table, by the definition: many clean documents truly share a line of 50 bytes or more."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = cut_by_hand([tuple(r) for r in docs.collect()], 50)
+    assert Counter(collected(repeats.cut_repeats(docs))) == want and sum(r[2] > 0 for r in want) > 0
+
+
 def test_merge_settles_only_equal_bytes():
     """Anchors whose surroundings differ are never merged, even under one name; those of the same d stay open."""
     n = 6
