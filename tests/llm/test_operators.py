@@ -394,6 +394,7 @@ def test_chat_format_against_sql(spark):
     for c in range(3, 40):
         rows += [(c, rng.choice([i, i, 0, None]), rng.choice(["user", "assistant", None]), rng.choice(["x", "y", "", None])) for i in range(rng.randrange(1, 4))]
     rows += [(None, 0, None, None), (None, 1, "user", "q"), (50, 0, None, None), (51, 0, "unknown", "")]
+    rows += [(60, None, "user", f"t{i % 90}") for i in range(300)] + [(61, 5, "user", "same")] * 300  # no order but that of the texts, or none
     chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     con = duckdb.connect()
     con.register("conversations", chats.toArrow())

@@ -7,8 +7,9 @@ stays is rendered.
 
 Turns are in the order of (turn; role; md5 of the text), nulls first. The prefix hash is the exclusive or of
 two 64-bit hashes of (position, role, text), so a prefix of any length costs one step, and one
-conversation can be dealt over many tasks: its turns are numbered and folded by blocks. A conversation
-is rendered in parts of ``part_turns`` turns, a row each and numbered from 0, whatever its length: no row grows without bound.
+conversation can be dealt over many tasks: all turns are cut by range in their order, and numbered and folded by these blocks, whether or
+not turns have numbers. A conversation is rendered in parts of ``part_turns`` turns, a row each and numbered
+from 0, whatever its length: no row grows without bound.
 
 Defined results: a null conv_id is an id of its own, apart from any text; a null role renders as ``unknown``, a null
 text as empty (a null equals no text but null); repeated rows are turns of their own; an empty table gives an empty
@@ -23,40 +24,40 @@ from pyspark.sql.window import Window
 
 from tidewright.llm.common import Scratch, table
 
-BLOCK = 4096  # turns that one task numbers, and of a part
+BLOCK = 4096  # turns of a part
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
+    """Every turn with a number of its own (_u), the conversation's name (_c) and hashes of what it holds."""
     role, text = F.col("role"), F.col("text")
     content = [role.isNull(), F.coalesce(role, F.lit("")), text.isNull(), F.coalesce(text, F.lit(""))]
     return conversations.select(
-        "conv_id", F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))).alias("_c"),
-        "turn", "role", "text", F.md5(text.cast("binary")).alias("_o"), F.xxhash64(F.lit(1), *content).alias("_x"), F.xxhash64(F.lit(2), *content).alias("_y"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))).cast("long").alias("_block"),
+        "conv_id", F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))).alias("_c"), "turn", "role", "text",
+        F.md5(text.cast("binary")).alias("_o"), F.xxhash64(F.lit(1), *content).alias("_x"), F.xxhash64(F.lit(2), *content).alias("_y"), F.monotonically_increasing_id().alias("_u"),
     )
 
 
-def prefixes(conversations: DataFrame) -> DataFrame:
-    """Every turn as (conv_id, _c, turn, role, _x, _y, pos from 1, n of the conversation, h1, h2 of the prefix that ends with it)."""
-    scratch = Scratch(conversations.sparkSession)
-    x = _turns(conversations).drop("text")
+def prefixes(scratch: Scratch, turns: DataFrame) -> DataFrame:
+    """Every turn as (conv_id, _c, _u, pos from 1, n of the conversation, h1, h2 of the prefix that ends with it). Texts are not shuffled."""
+    order = [F.col("turn").asc_nulls_first(), "role", "_o"]
+    x = turns.drop("text").repartitionByRange("_c", *order, "_u").withColumn("_block", F.spark_partition_id())
+    x = scratch.save(x, "ordered")
     blocks = x.groupBy("_c", "_block").agg(F.count(F.lit(1)).alias("_n"))
     own = Window.partitionBy("_c").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0))).withColumn("n", F.sum("_n").over(Window.partitionBy("_c"))).drop("_n")
-    inside = Window.partitionBy("_c", "_block").orderBy(F.col("turn").asc_nulls_first(), "role", "_o")
-    x = x.withColumn("_row", F.row_number().over(inside)).join(blocks, ["_c", "_block"])
+    x = x.withColumn("_row", F.row_number().over(Window.partitionBy("_c", "_block").orderBy(*order))).join(blocks, ["_c", "_block"])
     x = x.withColumn("pos", F.col("_before") + F.col("_row"))
     upto = Window.partitionBy("_c", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     for h, own_hash in (("h1", "_x"), ("h2", "_y")):
         x = x.withColumn(h, F.bit_xor(F.xxhash64("pos", own_hash)).over(upto))
-    x = scratch.save(x, "turns")
+    x = scratch.save(x.select("conv_id", "_c", "_u", "_block", "pos", "n", "h1", "h2"), "numbered")
     folded = x.groupBy("_c", "_block").agg(*[F.max_by(h, "pos").alias("_" + h) for h in ("h1", "h2")])
     for h in ("h1", "h2"):
         folded = folded.withColumn("_" + h, F.coalesce(F.bit_xor("_" + h).over(own), F.lit(0)))
     x = x.join(folded, ["_c", "_block"])
     for h in ("h1", "h2"):
         x = x.withColumn(h, F.col(h).bitwiseXOR(F.col("_" + h)))
-    return scratch.save(x.select("conv_id", "_c", "turn", "role", "_x", "_y", "pos", "n", "h1", "h2"), "prefixes")
+    return scratch.save(x.drop("_block", "_h1", "_h2"), "prefixes")
 
 
 def maximal(found: DataFrame) -> DataFrame:
@@ -68,17 +69,12 @@ def maximal(found: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame, part_turns: int = BLOCK) -> DataFrame:
     """One row for each maximal conversation (and part): conv_id, part, n_turns, n_copies, text."""
-    found = prefixes(conversations)
-    stays = Scratch(conversations.sparkSession).save(maximal(found), "maximal")
-    places = found.select("_c", "_x", "_y", "turn", "role", "pos").join(stays, "_c")
-    # equal turns of one conversation are alike in all that is rendered: number them on both sides
-    same = ["_c", "turn", "role", "_x", "_y"]
-    places = places.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy("pos")))
-    places = places.select("conv_id", "n", "copies", "pos", *[F.col(k).alias("p" + k) for k in [*same, "_i"]])
-    turns = _turns(conversations).drop("conv_id", "_block", "_o").join(stays.select("_c"), "_c", "left_semi")
-    turns = turns.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
-    on = [F.col(k).eqNullSafe(F.col("p" + k)) if k in ("turn", "role") else F.col(k) == F.col("p" + k) for k in [*same, "_i"]]
-    rows = turns.join(places, on).select("conv_id", "_c", "n", "copies", "pos", "role", "text")
+    scratch = Scratch(conversations.sparkSession)
+    turns = scratch.save(_turns(conversations), "turns")
+    found = prefixes(scratch, turns)
+    stays = scratch.save(maximal(found), "maximal")
+    places = found.select("_c", "_u", "pos").join(stays, "_c")
+    rows = turns.select("_u", "role", "text").join(places, "_u")
     said = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
     rows = rows.withColumn("part", F.floor((F.col("pos") - 1) / part_turns).cast("int"))
     out = rows.groupBy("_c", "conv_id", "part", "n", "copies").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", said.alias("said")))), lambda t: t["said"]), "").alias("text"))
