@@ -306,10 +306,10 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     scratch.drop("named")
 
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    signed = scratch.save(texts.mapInArrow(_signed(k, percent), "sig long, key long, n int, place long"), "all")
+    signed = texts.mapInArrow(_signed(k, percent), "sig long, key long, n int, place long")  # made twice: written, they would take more than all else
     sigs = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     signed = scratch.save(signed.join(scratch.save(sigs, "sigs"), "sig"), "shared")
-    scratch.drop("all", "sigs")
+    scratch.drop("sigs")
     signed = scratch.save(_affordable(signed, percent), "signed")
     scratch.drop("shared")
     first = signed.groupBy("sig").agg(F.max(F.struct("fame", "key", "n")).alias("f")).select("sig", F.col("f.key").alias("lo"), F.col("f.n").alias("m"))
