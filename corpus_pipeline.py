@@ -9,14 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, quality, set_join, sharding, source_mix
-from tidewright.llm.common import Scratch, clear
+from tidewright.llm.common import Scratch
+
+_left: list[Scratch] = []  # what stages have opened
+
+
+def _sweep(spark: SparkSession) -> None:
+    while _left:
+        one = _left.pop()
+        if one.spark is spark:  # a session that ended took its tables along, or left them to its folder
+            one.remove()
+
+
+def _apart(stage):
+    """A stage that first deletes what the ones before it left: its ``docs`` are written, so nothing reads that any more."""
+
+    def one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _sweep(spark)
+        before = len(Scratch.opened)
+        out = stage(spark, docs, sf_dir)
+        _left.extend(Scratch.opened[before:])
+        return out
+
+    return one
+
 
 STAGES = [
-    ("quality", quality.stage),
-    ("near_duplicates", set_join.stage),
-    ("decontaminate", decontaminate.stage),
-    ("mix", source_mix.stage),
-    ("shard", sharding.stage),
+    ("quality", _apart(quality.stage)),
+    ("near_duplicates", _apart(set_join.stage)),
+    ("decontaminate", _apart(decontaminate.stage)),
+    ("mix", _apart(source_mix.stage)),
+    ("shard", _apart(sharding.stage)),
 ]
 
 #: The classifier's fit cannot be said in SQL; tests hold run() against a brute-force version.
@@ -35,9 +58,8 @@ def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
         if name and scratch.done(stage):
             docs, first = spark.read.parquet(f"{scratch.base}/{stage}"), i + 1
     for i, (stage, apply) in list(enumerate(STAGES))[first:]:
-        before = len(Scratch.opened)
         docs = scratch.save(apply(spark, docs, sf_dir), stage)
-        clear(before)
         if i:
             scratch.drop(STAGES[i - 1][0])
+    _sweep(spark)
     return docs

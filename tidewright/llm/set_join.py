@@ -164,25 +164,24 @@ def _signed(k: int, percent: int):
         import pyarrow as pa
 
         for batch in batches:
-            n, key, sigs, places = [], [], [], []
+            key, sigs, places = [], [], []
             names = batch.column("key").to_numpy()
             for i, own in _sets(batch, k):
                 sig, place = signatures(own, percent)
-                for column, value in zip((n, key, sigs, places), (len(own), names[i], sig, place)):
+                for column, value in zip((key, sigs, places), (names[i], sig, place)):
                     column.append(value)
                 if len(sigs) >= 512:
-                    yield _signed_batch(pa, n, key, sigs, places)
-                    n, key, sigs, places = [], [], [], []
+                    yield _signed_batch(pa, key, sigs, places)
+                    key, sigs, places = [], [], []
             if sigs:
-                yield _signed_batch(pa, n, key, sigs, places)
+                yield _signed_batch(pa, key, sigs, places)
 
     return run
 
 
-def _signed_batch(pa, n, key, sigs, places):
-    times = [len(s) for s in sigs]
-    columns = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times)), pa.array(np.concatenate(places).astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["sig", "key", "n", "place"])
+def _signed_batch(pa, key, sigs, places):
+    columns = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), [len(s) for s in sigs])), pa.array(np.concatenate(places).astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["sig", "key", "place"])
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -267,17 +266,17 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _affordable(signed: DataFrame, percent: int) -> DataFrame:
+def _affordable(signed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The signatures but for those of the segments that each set leaves out: the ones that most sets share, within its allowance.
 
-    With each set's fame: how many sets it meets over all its segments. The text that the others of a family derive from has the most.
+    With each set's size, and its fame: how many sets it meets over all its segments. The text that the others of a family derive from has the most.
     """
     low = F.shiftright("place", 40)
     skips = F.try_element_at(F.array(*[F.lit(plan(b, percent)[2]) for b in range(len(band_edges(percent)) - 2)]), low.cast("int") + 1)
     segments = signed.groupBy("key", "place").agg(F.sum("met").alias("met")).withColumn("low", low).withColumn("credits", F.col("place").bitwiseAND(3))
     own = Window.partitionBy("key", "low").orderBy(F.desc("met"), "place").rowsBetween(Window.unboundedPreceding, 0)
     out = segments.withColumn("spent", F.sum("credits").over(own)).where(F.col("spent") <= F.coalesce(skips, F.lit(0)))
-    fame = segments.groupBy("key").agg(F.sum("met").alias("fame"))
+    fame = segments.groupBy("key").agg(F.sum("met").alias("fame")).join(sizes, "key")
     return signed.join(out.select("key", "place"), ["key", "place"], "left_anti").join(fame, "key").select("sig", "key", "n", "fame")
 
 
@@ -306,11 +305,12 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     scratch.drop("named")
 
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    signed = texts.mapInArrow(_signed(k, percent), "sig long, key long, n int, place long")  # made twice: written, they would take more than all else
+    signed = texts.mapInArrow(_signed(k, percent), "sig long, key long, place long")  # made twice: written, they would take more than all else
     sigs = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     signed = scratch.save(signed.join(scratch.save(sigs, "sigs"), "sig"), "shared")
     scratch.drop("sigs")
-    signed = scratch.save(_affordable(signed, percent), "signed")
+    sizes = classes.where("n > 0").groupBy("key").agg(F.first("n").cast("int").alias("n"))
+    signed = scratch.save(_affordable(signed, sizes, percent), "signed")
     scratch.drop("shared")
     first = signed.groupBy("sig").agg(F.max(F.struct("fame", "key", "n")).alias("f")).select("sig", F.col("f.key").alias("lo"), F.col("f.n").alias("m"))
     signed = scratch.save(signed.drop("fame").join(scratch.save(first, "centers"), "sig"), "groups")
