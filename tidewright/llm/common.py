@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,22 +50,29 @@ class Scratch:
     #: What is written needs no shuffle files any more; what goes to Python is bounded by bytes, however long its texts are.
     SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path, before = f"{self.base}/{name}", {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
+    @contextmanager
+    def _settings(self):
+        before = {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
         try:
             for k, v in self.SETTINGS.items():
                 self.spark.conf.set(k, v)
-            df.write.mode("overwrite").parquet(path)
+            yield
         finally:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{name}"
+        with self._settings():
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """One row for each ``key``, written in buckets of it: joins on the key do not shuffle this table again."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's most
         one, known = df.repartition(n, key).dropDuplicates([key]), f"scratch_{uuid.uuid4().hex}"
-        one.write.bucketBy(n, key).sortBy(key).option("path", f"{self.base}/{name}").format("parquet").saveAsTable(known)
+        with self._settings():
+            one.write.bucketBy(n, key).sortBy(key).option("path", f"{self.base}/{name}").format("parquet").saveAsTable(known)
         self.tables[name] = known
         return self.spark.table(known)
 
