@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text: its lower-cased words and their first four, five and seven bytes (stems of inflected
+Terms of a text: its lower-cased words and their first four and five bytes (stems of inflected
 insults), hashed into 2 ** 20 places. Every place that ``MIN_ROWS`` rows hold enters the model; it
 scores w0 + sum w_i + sum over pairs <v_i, v_j> of the places present, so that two terms can mean
 together what neither means alone. It is fitted on the log loss, in one task, on a bounded sample of
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import U, chunks, spans_of, table, texts_of, window_hash
 
 BITS = 20
-STEMS = (4, 5, 7, 1 << 40)  # bytes of a word that make a term; the last is the whole word
+STEMS = (4, 5, 1 << 40)  # bytes of a word that make a term; the last is the whole word
 FIT_ROWS = 20_000  # labelled rows that the fit uses, about; chosen by hash of doc_id
 MAX_TERMS = 4096  # that the fit starts from
-MIN_ROWS = 3  # labelled rows that a term must be in
+MIN_ROWS = 5  # labelled rows that a term must be in
 MIN_Z = 4.5  # standard errors by which the toxic rate of a term must differ for the fit to start from it
 FACTORS = 8
 STEPS = 300
