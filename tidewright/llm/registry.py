@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.llm import chat_format, decontaminate, quality, repeats, set_join, sharding, source_mix, toxicity, url_filter, vector_search
+from tidewright.llm import bpe, chat_format, decontaminate, quality, repeats, set_join, sharding, source_mix, toxicity, url_filter, vector_code, vector_search
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_source_mix": source_mix.query,
     "op9_repeats": repeats.query,
     "op10_quality": quality.query,
+    "op11_vector_code": vector_code.query,
+    "op13_bpe": bpe.query,
 }
 
 SQL = {
     "op1_chat_format": chat_format.SQL,
     "op8_source_mix": source_mix.SQL,
+    "op11_vector_code": vector_code.SQL,
 }
