@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.llm import bpe, chat_format, decontaminate, quality, repeats, set_join, sharding, source_mix, toxicity, url_filter, vector_code, vector_search
+from tidewright.llm import bpe, chat_format, decontaminate, quality, repeats, resample, set_join, sharding, source_mix, toxicity, url_filter, vector_code, vector_search
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_repeats": repeats.query,
     "op10_quality": quality.query,
     "op11_vector_code": vector_code.query,
+    "op12_resample": resample.query,
     "op13_bpe": bpe.query,
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op1_chat_format": chat_format.SQL,
     "op8_source_mix": source_mix.SQL,
     "op11_vector_code": vector_code.SQL,
+    "op12_resample": resample.SQL,
 }
