@@ -1,15 +1,16 @@
-"""Ingest: relevance filter, record mapping, scoring, insert-or-ignore. One lazy plan up to the write."""
+"""Ingest: relevance filter, record mapping, scoring, insert-or-ignore. One lazy plan up to the write that ids are given to."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewright.functions.columns import dollars
 from tidewright.functions.scoring import Rules, score
+from tidewright.sources.postings import LANDED
+from tidewright.sources.staging import numbered
 
 # fixed values: words of which a relevant posting holds one, as substrings
 KEYWORDS = (
@@ -24,6 +25,7 @@ SCHEDULED_KEYWORDS = (
 SOURCE = "RemoteOK"  # fixed value, like the next
 JOB_URL = "https://remoteok.com/remote-jobs/"
 DESCRIPTION = 2000  # characters kept
+REQUIRED = ("job_title", "company", "job_url")  # of a stored posting
 
 
 def relevant(df: DataFrame, keywords=KEYWORDS, required: tuple[str, ...] = ()) -> DataFrame:
@@ -37,8 +39,15 @@ def relevant(df: DataFrame, keywords=KEYWORDS, required: tuple[str, ...] = ()) -
 
 
 def map_postings(df: DataFrame, now, ordinal: str | None = None) -> DataFrame:
-    """Source records to the columns of scraped_jobs that scoring does not add. ``ordinal``: place in the batch, for missing ids."""
-    place = F.col(ordinal) if ordinal else F.monotonically_increasing_id() + 1
+    """Source records to the columns of scraped_jobs that scoring does not add. ``ordinal``: place in the batch, for missing ids.
+
+    ``_ordinal`` orders the rows: as they landed, where that is known, else by place. Missing ids are made from the place in the
+    batch alone, so a later batch may make one again; its row is then ignored.
+    """
+    landed = LANDED in df.columns and not ordinal
+    place = F.col(ordinal) if ordinal else F.col(f"{LANDED}.place") + 1 if landed else F.monotonically_increasing_id() + 1
+    order = F.col(LANDED) if landed else place
+    stamp, day = (now, now.cast("string")) if isinstance(now, Column) else (F.lit(now).cast("timestamp"), F.lit(str(now)))
     low, high = F.col("salary_min"), F.col("salary_max")
     filled = lambda c, other: F.coalesce(c, F.lit(other))
     nonempty = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c))
@@ -48,7 +57,7 @@ def map_postings(df: DataFrame, now, ordinal: str | None = None) -> DataFrame:
         filled("position", "Unknown Position").alias("job_title"), filled("company", "Unknown Company").alias("company"),
         F.coalesce("url", F.concat(F.lit(JOB_URL), F.coalesce("slug", F.lit("")))).alias("job_url"), F.coalesce(nonempty("location"), F.lit("Remote")).alias("location"),
         filled("description", "").alias("_whole"), F.coalesce(F.array_join("tags", ", "), F.lit("")).alias("tags"), salary.alias("salary_range"),
-        F.coalesce("date", F.lit(str(now))).alias("posted_date"), F.lit(now).cast("timestamp").alias("scraped_at"), place.alias("_ordinal"),
+        F.coalesce("date", day).alias("posted_date"), stamp.alias("scraped_at"), order.alias("_ordinal"),
     )
 
 
@@ -58,7 +67,7 @@ def score_postings(mapped: DataFrame, rules: Rules) -> DataFrame:
     return x.withColumn("description", F.substring("_whole", 1, DESCRIPTION)).withColumnRenamed("final_score", "match_score").drop("_whole", "breakdown", "should_auto_import")
 
 
-def insert_or_ignore(batch: DataFrame, target: DataFrame, key: str = "external_id", order: str = "_ordinal", required: tuple[str, ...] = ("job_title", "company", "job_url")) -> DataFrame:
+def insert_or_ignore(batch: DataFrame, target: DataFrame, key: str = "external_id", order: str = "_ordinal", required: tuple[str, ...] = REQUIRED) -> DataFrame:
     """Rows of the batch to append: the first of each key, none whose key the target has, none with nulls where none may be."""
     x = batch.where(F.col(key).isNotNull())
     for c in required:
@@ -67,21 +76,23 @@ def insert_or_ignore(batch: DataFrame, target: DataFrame, key: str = "external_i
     return first.select("_row.*").join(target.select(key), key, "left_anti").select(*x.columns)
 
 
-def with_ids(rows: DataFrame, target: DataFrame, order: str) -> DataFrame:
-    """Ids after the largest of the target, in order. Two levels: each range of the order is numbered by its own task."""
-    top = target.agg(F.max("id").alias("m")).first()["m"] or 0
-    parts = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(sizes, "_p").withColumn("id", (F.col("_b") + F.col("_i") + F.lit(top)).cast("long")).drop("_p", "_i", "_n", "_b")
-
+def ingest(postings: DataFrame, target: DataFrame, rules: Rules, now, keywords=KEYWORDS, ordinal: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new rows for scraped_jobs with their ids, one row with stored and high_fit counts of them).
 
-def ingest(postings: DataFrame, target: DataFrame, rules: Rules, now, keywords=KEYWORDS) -> tuple[DataFrame, DataFrame]:
-    """(new rows for scraped_jobs with their ids, one row with stored and high_fit counts of them)."""
-    scored = score_postings(map_postings(relevant(postings, keywords), now), rules)
+    The new rows are written to the shared folder and numbered there, after the largest id of the target in the order of
+    arrival (or of the column ``ordinal``); rows and counts both read what was written. sources.staging.unstage() deletes it.
+    """
+    scored = score_postings(map_postings(relevant(postings, keywords), now, ordinal), rules)
     new = insert_or_ignore(scored, target).withColumn("imported_to_opportunities", F.lit(False))
-    new = with_ids(new, target, "_ordinal").drop("_ordinal")
-    counts = new.agg(F.count(F.lit(1)).alias("stored"), F.count_if(F.col("classification").isin("EXCELLENT", "HIGH_FIT")).alias("high_fit"))
-    return new, counts
+    return identified(new, target)
+
+
+def identified(new: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that insert_or_ignore() would append, written and numbered; and their counts."""
+    top = target.agg(F.max("id").alias("m")).first()["m"] or 0
+    new = numbered(new, "_ordinal", name="id", after=top).drop("_ordinal")
+    high = F.count_if(F.col("classification").isin("EXCELLENT", "HIGH_FIT"))
+    return new, new.agg(F.count(F.lit(1)).alias("stored"), high.alias("high_fit"))
 
 
 def map_scheduled(df: DataFrame, now) -> DataFrame:

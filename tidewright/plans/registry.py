@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import columns, scoring
 from tidewright.operators import checks, ingest, mutations as mu, queries as q, report, views
 from tidewright.plans import mapping as m
+from tidewright.plans.rules import RULES
 from tidewright.sources import tables
 
 DAY = "1996-06-15"  # today for opportunities and interactions
@@ -23,14 +24,6 @@ RANK = "CASE priority WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3
 PCT = "round(CAST(100 AS DOUBLE) * sum(CASE WHEN is_correct THEN 1 ELSE 0 END) / count(*), 1)"
 RIGHT = "CAST(sum(CASE WHEN is_correct THEN 1 ELSE 0 END) AS BIGINT)"
 
-#: Rules over terms that occur in the driver's documents. Made up; they have the shape of a real set.
-RULES = scoring.Rules(
-    skills={"license": 10, "version": 9, "rights reserved": 9, "the": 8, "ing": 7, "trash": 6, "clown": 6, "public license": 5, "software": 5, "permission": 4, "mit license": 4, "password": 4},
-    flags={"stupid": -15, "moron": -12, "scum": -10, "worthless": -20, "copyright": -4, "idiot": -5},
-    domains={"Apache/MIT": 8, "General Public License": 8, "Open, Source": 7, "work": 7, "of": 6},
-    years=7, locations=("Bangalore", "Bengaluru", "Remote India"),
-)
-
 _made: dict = {}
 
 

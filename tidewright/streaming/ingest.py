@@ -1,28 +1,89 @@
-"""Scheduled ingest as a stream: each micro-batch is scored and inserted once."""
+"""Scheduled ingest as a stream: each posting is stored once, the first of its id, however the files come."""
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewright.functions.scoring import Rules
-from tidewright.operators.ingest import KEYWORDS, ingest
-from tidewright.sources.postings import stream_postings
+from tidewright.operators.ingest import KEYWORDS, REQUIRED, identified, map_postings, relevant, score_postings
+from tidewright.sources.postings import arrival, stream_landed
 from tidewright.sources.snapshots import SnapshotStore
+from tidewright.sources.staging import unstage
 from tidewright.sources.tables import migrate
 
 
-def start_ingest(spark: SparkSession, source: str, store: SnapshotStore, rules: Rules, checkpoint: str, every: str | None = "6 hours", keywords=KEYWORDS):
+def _first(key, frames, state: GroupState):
+    """The row of the smallest order, if its key is new; a row that only makes a key known gives nothing."""
+    import pandas as pd
+
+    new, best = not state.exists, None
+    for frame in frames:
+        for row in frame[["order", "row"]].itertuples(index=False):
+            if best is None or row.order < best.order:
+                best = row
+    if new:
+        state.update((True,))
+        if best is not None and best.row is not None:
+            yield pd.DataFrame({"row": [best.row]})
+
+
+STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def first_of_key(rows: DataFrame, key: str, order: Column, known: DataFrame | None = None) -> DataFrame:
+    """Of each key of a stream the first row ever; inside a micro-batch the first by ``order``, a text. No row for keys of the stream ``known``.
+
+    The state is a flag for each key, in Spark's state store, dealt by key: no micro-batch reads the table that rows go to.
+    """
+    sent = rows.select(F.col(key).alias("key"), order.alias("order"), F.to_json(F.struct(*rows.columns), STAMPS).alias("row"))
+    if known is not None:
+        sent = sent.unionByName(known.select(F.col(key).alias("key"), F.lit("").alias("order"), F.lit(None).cast("string").alias("row")))
+    kept = sent.groupBy("key").applyInPandasWithState(_first, "row string", "known boolean", "append", GroupStateTimeout.NoTimeout)
+    return kept.select(F.from_json("row", rows.schema, STAMPS).alias("r")).select("r.*")
+
+
+def _known(spark: SparkSession, store: SnapshotStore, checkpoint: str) -> DataFrame:
+    """A stream of the keys that the store had when the checkpoint was new; written beside it once."""
+    path = f"{checkpoint}-known"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        store.read()["scraped_jobs"].select("external_id").write.mode("overwrite").parquet(path)
+    return spark.readStream.schema("external_id string").parquet(path)
+
+
+def start_ingest(
+    spark: SparkSession, source: str, store: SnapshotStore, rules: Rules, checkpoint: str, every: str | None = "6 hours", keywords=KEYWORDS,
+    lines: bool = False, files: int | None = None,
+):
     """Reads landed files as they come and appends new rows, with ids, to scraped_jobs. ``every`` None: what is there, then stop.
 
-    A batch that runs again after a failure inserts nothing twice: keys that are there are left out. A batch writes
-    its own rows alone; compact() of the store joins the parts that many batches leave.
+    Whether a key is new is asked of the stream's state, which starts from the keys of the store; the stream is the table's one writer.
+    A batch that runs again after a failure finds its number in the store and writes nothing twice. A batch
+    writes its own rows alone; compact() of the store joins the parts that many batches leave.
     """
+    name = f"ingest {checkpoint}"
+
+    def one(batch, number):
+        if store.marks().get(name, -1) >= number:
+            return
+        scored = score_postings(batch, rules).withColumn("imported_to_opportunities", F.lit(False))
+        new, _counts = identified(scored, store.read()["scraped_jobs"])
+        store.append({"scraped_jobs": migrate(new, "scraped_jobs")}, mark=(name, number))
+        unstage(new)
+
+    postings = stream_landed(spark, source, lines, files)[0]
+    mapped = map_postings(relevant(postings, keywords), F.current_timestamp())
+    for c in ("external_id", *REQUIRED):
+        mapped = mapped.where(F.col(c).isNotNull())
+    first = first_of_key(mapped, "external_id", arrival("_ordinal"), _known(spark, store, checkpoint))
+    writer = first.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
-    def one(batch, _):
-        new, _counts = ingest(batch, store.read()["scraped_jobs"], rules, datetime.now(timezone.utc).replace(tzinfo=None), keywords)
-        store.append({"scraped_jobs": migrate(new, "scraped_jobs")})
 
-    writer = stream_postings(spark, source).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+def start_rejects(spark: SparkSession, source: str, to: str, checkpoint: str, every: str | None = "6 hours", lines: bool = False):
+    """The dead letters of the same files: each rejected record once, as JSON below ``to``."""
+    rejected = stream_landed(spark, source, lines)[1]
+    writer = rejected.writeStream.format("json").option("path", to).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
