@@ -37,12 +37,12 @@ SHORT = 64  # characters of a piece whose ids are kept
 PIECES = 1 << 17  # kept at most, in each Python worker
 PAIRS = 1 << 20
 CUT = 1 << 20  # characters of a text that are cut into pieces at once
-#: What splits a text before merges; {L}, {N}, {S}: letters, numbers, white space.
-PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: What splits a text before merges; {L}, {N}, {S}: letters, numbers, white space. Words come first, as they are most pieces.
+PATTERN = " ?(?:[{L}]+|[{N}]+)|'(?:[stmd]|re|ve|ll)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 
 
 @lru_cache
-def _classes() -> dict[str, str]:
+def _classes() -> dict[str, list[tuple[int, int]]]:
     """Ranges of letters, numbers and white space, as the tokenizers library's own Unicode tables have them."""
     from tokenizers import Regex, pre_tokenizers
 
@@ -53,12 +53,18 @@ def _classes() -> dict[str, str]:
         at, ranges = 0, []
         for lo, hi in [*others, (len(points), len(points))]:
             if lo > at:
-                ranges.append(f"\\U{points[at]:08x}-\\U{points[lo - 1]:08x}")
+                ranges.append((points[at], points[lo - 1]))
             at = hi
-        found[name] = "".join(ranges)
+        found[name] = ranges
     return found
 
 
+def _pattern(pattern: str, classes: dict, top: int = 0x10FFFF):
+    """``pattern`` for texts of characters up to ``top``."""
+    sets = {name: "".join(f"\\U{lo:08x}-\\U{min(hi, top):08x}" for lo, hi in ranges if lo <= top) for name, ranges in classes.items()}
+    return re.compile(pattern.format(**sets))
+
+
 def _byte_of() -> dict[str, int]:
     """The character that stands for each byte: itself if it is visible, else the next one from U+0100 on."""
     seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -105,9 +111,9 @@ class Encoder:
             self.shorter[t] = next((made[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in made), -1)
             self.automaton.add_word(text[::-1].decode("latin-1"), t)
         self.automaton.make_automaton()
-        sets = known["classes"]
-        self.pieces = re.compile(PATTERN.format(**sets)).findall
-        self.border = re.compile("(?<=[^{S}])(?=[{S}])".format(**sets))
+        self.pieces = _pattern(PATTERN, known["classes"]).findall
+        self.latin = _pattern(PATTERN, known["classes"], 0xFF).findall  # small sets of characters are several times as fast
+        self.border = _pattern("(?<=[^{S}])(?=[{S}])", known["classes"])
         self.added = known["added"]
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
         self.fits: dict[int, bool] = {}
@@ -182,11 +188,21 @@ class Encoder:
         for part in self.apart(text):
             if part in self.added:
                 out.append(self.added[part].to_bytes(4, "little"))
-            elif part:
-                out += [b"".join(map(self.memo.__getitem__, self.pieces(cut))) for cut in self._cuts(part)]
+                continue
+            for cut in self._cuts(part):
+                pieces = self.latin if _is_latin(cut) else self.pieces
+                out.append(b"".join(map(self.memo.__getitem__, pieces(cut))))
         return b"".join(out)
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Memo(dict):
     """The packed ids of short pieces."""
 
