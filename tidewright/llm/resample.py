@@ -10,10 +10,10 @@ its features. The highest weights plus Gumbel noise are drawn, which is sampling
 3. It answers each block with the buckets of the features that this block sent, in the order sent. Joined back to the blocks with the
    gains, they give the weights.
 
-Scale: a feature crosses the network once for each block that holds it, front to back in sorted order and compressed, and two
-bytes come back. Run lengths go one after the other, so that one of the three lies on disk at a time. A part holds
-about ``PART_FEATURES`` features, however common one is: each block sends it once. Numbers of blocks and parts grow
-with the text. The gains (one for each bucket) are all that is broadcast.
+Scale: a feature crosses the network once for each block that holds it, grouped by first words and compressed, and two
+bytes come back. Run lengths go one after the other, and the longest in two waves of parts, so that a part of the features lies on
+disk at a time. A part holds about ``PART_FEATURES`` features, however common one is: each block sends it once. Numbers of blocks and
+parts grow with the text. The gains (one for each bucket) are all that is broadcast.
 
 Defined results: null and empty texts have no feature and weight 0; a text longer than a block is a block of its own; repeated rows are documents of their own, drawn one by
 one; a null id is hashed as ``null``; an empty corpus gives an empty table and an empty target counts none. ``keep`` names the columns
@@ -23,6 +23,7 @@ that stay; ``n_features n_words weight score rank`` are written over.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,9 @@ SEED = 42
 PERCENT = 5
 LEAST_WORDS = 20
 BLOCK_BYTES = 16 << 20
-PART_FEATURES = 1 << 20
+PART_FEATURES = 1 << 19
+WAVES = 2
+AT_ONCE = 1 << 18  # features whose strings a block holds at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,6 +67,16 @@ def _unpack(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _pack_numbers(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers byte by byte, the lowest bytes of all first: the high ones of small numbers shrink to nothing."""
+    return _pack(np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T).reshape(-1))
+
+
+def _unpack_numbers(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(_unpack(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _strings(ends: np.ndarray, data: np.ndarray):
     """Binary strings that lie one after the other in ``data`` and end at ``ends``."""
     import pyarrow as pa
@@ -98,9 +111,8 @@ def crc32(ends: np.ndarray, starts: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def _block(batches: list, number: int):
-    """One row: the kept columns of its documents, where the words of each end, the sorted words, all words as numbers."""
+    """One row: the kept columns of its documents, where the words of each end, the words from the most frequent on, all words as numbers."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     rows = pa.Table.from_batches(batches).combine_chunks()
     data, offsets = texts_of(rows.column("text").combine_chunks())
@@ -113,7 +125,8 @@ def _block(batches: list, number: int):
     begins[edge], stops[edge - 1] = inside[edge], inside[edge - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     coded = _strings(np.cumsum(stop - start), low[inside]).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
+    seen = coded.indices.to_numpy()
+    order = np.argsort(-np.bincount(seen, minlength=len(coded.dictionary)), kind="stable")
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     names = b"".join(w + b"\n" for w in coded.dictionary.take(pa.array(order)).to_pylist())
@@ -122,7 +135,7 @@ def _block(batches: list, number: int):
     row = {
         "block": pa.array([number]), "rows": pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
         "ends": pa.array([_pack(ends)], pa.binary()), "names": pa.array([_pack(names)], pa.binary()),
-        "words": pa.array([_pack(rank[coded.indices.to_numpy()])], pa.binary()), "n_words": pa.array([len(start)]),
+        "words": pa.array([_pack_numbers(rank[seen], "<i4")], pa.binary()), "n_words": pa.array([len(start)]),
     }
     return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
@@ -157,35 +170,33 @@ class _Block:
     """The features of a block, always in the same order."""
 
     def __init__(self, words: bytes, ends: bytes, names: bytes):
-        self.words, self.ends = np.frombuffer(_unpack(words), np.int32).astype(np.int64), np.frombuffer(_unpack(ends), np.int64)
-        self.names = _lines(_unpack(names))
-        size = np.diff(self.ends, prepend=0)
-        self.until = np.repeat(self.ends, size)  # for each word the end of its document
+        self.words, self.ends = _unpack_numbers(words, "<i4"), np.frombuffer(_unpack(ends), np.int64)
+        self.names = _lines(_unpack(names))  # with newlines, for the last word of a feature
+        data, offsets = _bytes_of(self.names)
+        self.plain = _strings(np.cumsum(np.diff(offsets) - 1), data[data != 10])
+        self.crc = crc32(offsets[1:] - 1, offsets[:-1], data).astype(np.uint64)
 
     def runs(self, n: int):
-        """(where runs of n words start, number of each among the distinct ones, one place of each of these, in sorted order)."""
-        start = np.flatnonzero(np.arange(len(self.words)) + n <= self.until)
-        key, many = self.words[start], max(1, len(self.names))
+        """(where runs of n words start, number of each among the distinct ones, one place of each of these, in the order of words)."""
+        until = np.repeat(self.ends, np.diff(self.ends, prepend=0))  # for each word the end of its document
+        start = np.flatnonzero(np.arange(len(self.words)) + n <= until)
+        key, many = self.words[start].astype(np.int64), max(1, len(self.names))
         for j in range(1, n):
             if len(key) and int(key.max()) * many >= 1 << 62:
                 key = np.unique(key, return_inverse=True)[1]
             key = key * many + self.words[start + j]
         order = np.argsort(key)
         new = np.diff(key[order], prepend=-1) != 0
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
+        number = np.empty(len(order), np.int32)
+        number[order] = np.cumsum(new, dtype=np.int32) - 1
         return start, number, start[order[new]]
 
     def dealt(self, place: np.ndarray, n: int, parts: int):
-        """(the distinct features by part of the dictionary, sorted in each; how many each part gets). A part follows from the string."""
-        import pyarrow as pa  # noqa: F401
-
-        data, ends = _bytes_of(self.names)
-        crc = crc32(ends[1:] - 1, ends[:-1], data).astype(np.uint64)
+        """(the distinct features by part of the dictionary; how many each part gets). A part follows from the string alone."""
         hashed = np.zeros(len(place), np.uint64)
         for j in range(n):
-            hashed = mix(hashed + crc[self.words[place + j]])
-        part = (hashed % np.uint64(parts)).astype(np.int64)
+            hashed = mix(hashed + self.crc[self.words[place + j]])
+        part = (hashed % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
         return np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
 
     def strings(self, place: np.ndarray, n: int):
@@ -193,8 +204,7 @@ class _Block:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        plain = _strings(np.cumsum(np.diff(_bytes_of(self.names)[1]) - 1), _without_newlines(self.names))
-        columns = [(self.names if j == n - 1 else plain).take(pa.array(self.words[place + j])) for j in range(n)]
+        columns = [(self.names if j == n - 1 else self.plain).take(pa.array(self.words[place + j])) for j in range(n)]
         return columns[0] if n == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))
 
 
@@ -204,16 +214,23 @@ def _bytes_of(strings) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _without_newlines(strings) -> np.ndarray:
-    data, offsets = _bytes_of(strings)
-    data = data[offsets[0] : offsets[-1]]
-    return data[data != 10]
+# ---------------------------------------------------------------- the dictionary
 
 
-# ---------------------------------------------------------------- the dictionary
+SENT = "part int, block long, names binary, counts binary"
+
+
+def _send(n: int, parts: int, first: int, last: int):
+    """A block's distinct features for the parts from ``first`` up to ``last``: a row for each part that gets any."""
 
+    def grouped(sizes: np.ndarray):
+        """Runs of parts that get about AT_ONCE features together."""
+        lo = first
+        while lo < last:
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:last]), AT_ONCE, side="right")))
+            yield range(lo, min(hi, last))
+            lo = hi
 
-def _send(n: int, parts: int):
     def run(batches):
         import pyarrow as pa
 
@@ -223,20 +240,22 @@ def _send(n: int, parts: int):
                 _, number, place = one.runs(n)
                 if not len(place):
                     continue
-                counts = np.bincount(number)
+                counts = np.bincount(number).astype(np.int32)
+                del number
                 order, sizes = one.dealt(place, n, parts)
-                counts, place = counts[order].astype(np.int32), place[order]
-                at = 0
-                out = {"part": [], "block": [], "names": [], "counts": []}
-                for part in np.flatnonzero(sizes):
-                    here = slice(at, at + int(sizes[part]))
-                    at = here.stop
+                bound = np.concatenate([[0], np.cumsum(sizes)])
+                for group in grouped(sizes):
+                    here = order[bound[group.start] : bound[group.stop]]
+                    if not len(here):
+                        continue
                     data, offsets = _bytes_of(one.strings(place[here], n))
-                    out["part"].append(int(part))
-                    out["block"].append(block.as_py())
-                    out["names"].append(_pack(data[offsets[0] : offsets[-1]]))
-                    out["counts"].append(_pack(counts[here]))
-                yield pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int64()), "names": pa.array(out["names"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+                    got = [p for p in group if sizes[p]]
+                    cut = [(bound[p] - bound[group.start], bound[p + 1] - bound[group.start]) for p in got]
+                    yield pa.RecordBatch.from_pydict({
+                        "part": pa.array(got, pa.int32()), "block": pa.array([block.as_py()] * len(got), pa.int64()),
+                        "names": pa.array([_pack(data[offsets[a] : offsets[b]]) for a, b in cut], pa.binary()),
+                        "counts": pa.array([_pack_numbers(counts[here[a:b]], "<i4") for a, b in cut], pa.binary()),
+                    })
 
     return run
 
@@ -248,20 +267,19 @@ def _count(buckets: int):
         import pyarrow as pa
 
         sent = [_unpack(x.as_py()) for x in group.column("names")]
-        counts = np.concatenate([np.frombuffer(_unpack(x.as_py()), np.int32) for x in group.column("counts")])
+        counts = np.concatenate([_unpack_numbers(x.as_py(), "<i4") for x in group.column("counts")])
         sizes = np.cumsum([0, *[x.count(b"\n") for x in sent]])
         coded = _lines(b"".join(sent)).dictionary_encode()
         number = coded.indices.to_numpy()
         data, offsets = _bytes_of(coded.dictionary)
         bucket = (crc32(offsets[1:] - 1, offsets[:-1], data) % np.uint32(buckets)).astype(np.int64)
-        total = np.zeros(buckets, np.int64)
-        np.add.at(total, bucket[number], counts)
-        answer = bucket.astype("<u2" if buckets <= 1 << 16 else "<u4")[number]
+        answer = bucket[number]
+        total = np.bincount(answer, counts, buckets).astype(np.int64)  # sums of less than 2 ** 53
         used = np.flatnonzero(total)
         rest = len(sent) - 1
         return pa.table({
             "block": group.column("block"), "part": group.column("part"),
-            "answer": pa.array([answer[a:b].tobytes() for a, b in zip(sizes, sizes[1:])], pa.binary()),
+            "answer": pa.array([_pack_numbers(answer[a:b], "<u4") for a, b in zip(sizes, sizes[1:])], pa.binary()),
             "distinct": pa.array([len(bucket), *[0] * rest], pa.int64()),
             "buckets": pa.array([used.tolist(), *[[]] * rest], pa.list_(pa.int32())), "counts": pa.array([total[used].tolist(), *[[]] * rest], pa.list_(pa.int64())),
         })
@@ -272,18 +290,15 @@ def _count(buckets: int):
 ANSWER = "block long, part int, answer binary, distinct long, buckets array<int>, counts array<long>"
 
 
-def dictionary(held: DataFrame, n: int, parts: int, buckets: int = BUCKETS) -> DataFrame:
-    """Answers of the dictionary of runs of n words to the blocks ``held``."""
-    sent = held.select("block", "words", "ends", "names").mapInArrow(_send(n, parts), "part int, block long, names binary, counts binary")
+def dictionary(held: DataFrame, n: int, parts: int, buckets: int = BUCKETS, first: int = 0, last: int | None = None) -> DataFrame:
+    """Answers of the dictionary of runs of n words, or of its parts from ``first`` up to ``last``, to the blocks ``held``."""
+    sent = held.select("block", "words", "ends", "names").mapInArrow(_send(n, parts, first, parts if last is None else last), SENT)
     return sent.groupBy("part").applyInArrow(_count(buckets), ANSWER)
 
 
 def bucket_sums(answers: list[DataFrame]) -> DataFrame:
     """(bucket, n): how many features fall into each bucket that has any."""
-    both = [a.where(F.size("buckets") > 0).select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")) for a in answers]
-    x = both[0]
-    for other in both[1:]:
-        x = x.unionByName(other)
+    x = reduce(DataFrame.unionByName, [a.where(F.size("buckets") > 0).select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")) for a in answers])
     return x.groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
 
 
@@ -303,9 +318,8 @@ def _weigh(keep: int, gains: np.ndarray, parts: int, runs: tuple[int, ...]):
             if not len(place):
                 continue
             order, _ = one.dealt(place, n, parts)
-            mine = b"".join(answers[key] for key in sorted(answers) if key[0] == n)
             gain = np.empty(len(place), np.int64)
-            gain[order] = gains[np.frombuffer(mine, "<u2" if len(gains) <= 1 << 16 else "<u4")]
+            gain[order] = gains[np.concatenate([_unpack_numbers(answers[key], "<u4") for key in sorted(answers) if key[0] == n])]
             running = np.concatenate([[0], np.cumsum(gain[number])])
             lo, hi = np.searchsorted(start, first), np.searchsorted(start, one.ends)
             count += hi - lo
@@ -332,27 +346,34 @@ def gains(corpus: DataFrame, target: DataFrame, spark, buckets: int = BUCKETS) -
 
 
 def _corpus(docs: DataFrame, text: str, keep: list[str], scratch: Scratch, name: str, block_bytes: int, runs: tuple[int, ...], buckets: int):
+    """(blocks, number of parts, all answers with their run length n), written."""
     held = scratch.save(blocks(docs, text, keep, block_bytes), f"{name}_blocks")
     words = held.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(1, -(-words // PART_FEATURES))
-    return held, parts, [scratch.save(dictionary(held, n, parts, buckets), f"{name}_{n}") for n in runs]
+    parts, answers = max(1, -(-words // PART_FEATURES)), []
+    for n in runs:
+        half = parts // 2 if n == max(runs) else 0
+        for first, last in ((0, half), (half, parts)):
+            if first < last:
+                answers.append(scratch.save(dictionary(held, n, parts, buckets, first, last).withColumn("n", F.lit(n)), f"{name}_{n}_{first}"))
+    return held, parts, answers
 
 
 def weights(docs: DataFrame, target: DataFrame, keep: list[str], text: str = "text", target_text: str = "text", runs: tuple[int, ...] = RUNS, buckets: int = BUCKETS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The kept columns of every document with n_features, weight and n_words, written to the shared folder."""
-    scratch = Scratch(docs.sparkSession)
-    _, _, wanted = _corpus(target, target_text, [], scratch, "target", block_bytes, runs, buckets)
-    held, parts, found = _corpus(docs, text, keep, scratch, "corpus", block_bytes, runs, buckets)
-    gain = gains(bucket_sums(found), bucket_sums(wanted), docs.sparkSession, buckets)
-    answers = found[0].select(F.lit(runs[0]).alias("n"), "block", "part", "answer")
-    for n, one in zip(runs[1:], found[1:]):
-        answers = answers.unionByName(one.select(F.lit(n).alias("n"), "block", "part", "answer"))
+    made, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    wanted = bucket_sums(_corpus(target, target_text, [], made, "target", block_bytes, runs, buckets)[2])
+    held, parts, found = _corpus(docs, text, keep, made, "corpus", block_bytes, runs, buckets)
+    gain = gains(bucket_sums(found), wanted, docs.sparkSession, buckets)
+    answers = reduce(DataFrame.unionByName, [one.select("n", "block", "part", "answer") for one in found])
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("n_features", "weight", "n_words")]])
-    both = held.select("block", "rows", "words", "ends", "names").groupBy("block").cogroup(answers.groupBy("block"))
-    out = scratch.save(both.applyInArrow(_weigh(len(keep), gain, parts, runs), schema), "weights")
-    scratch.drop("corpus_blocks", "target_blocks", *[f"{c}_{n}" for c in ("corpus", "target") for n in runs])
-    return out.toDF(*keep, "n_features", "weight", "n_words")
+    out = []
+    for wave in range(WAVES):  # of blocks: a part of them is shuffled at a time
+        mine = F.pmod(F.xxhash64("block"), F.lit(WAVES)) == wave
+        both = held.where(mine).select("block", "rows", "words", "ends", "names").groupBy("block").cogroup(answers.where(mine).groupBy("block"))
+        out.append(scratch.save(both.applyInArrow(_weigh(len(keep), gain, parts, runs), schema), f"weights_{wave}"))
+    made.remove()
+    return reduce(DataFrame.unionByName, out).toDF(*keep, "n_features", "weight", "n_words")
 
 
 def noise(key: Column, seed: int = SEED) -> Column:
