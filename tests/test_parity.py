@@ -6,7 +6,7 @@ import pytest
 
 from tidewright.functions.columns import band_colour, days_running, items, relative_day, skills_preview, week_label
 from tidewright.operators import queries, views
-from tidewright.plans import mapping, registry
+from tidewright.plans import catalog, mapping
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -27,9 +27,9 @@ def plain(df):
     return cols, sorted(tuple(map(cell, row)) for row in df[cols].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
-    assert plain(registry.QUERIES[name](spark, SF).toPandas()) == plain(duck.sql(registry.SQL[name]).df())
+    assert plain(catalog.QUERIES[name](spark, SF).toPandas()) == plain(duck.sql(catalog.SQL[name]).df())
 
 
 def test_week_labels(spark):

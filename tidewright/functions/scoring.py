@@ -155,22 +155,115 @@ def recommendation(score: Column, classification: Column) -> Column:
     return out
 
 
-def score(df: DataFrame, rules: Rules, title="title", description="description", tags="tags", company="company", location="location", experience="experience_required") -> DataFrame:
-    """``df`` with final_score, classification, recommendation, breakdown, matched_skills, matched_domains,
-    red_flags and should_auto_import. A missing optional column counts as empty; title and description must exist."""
+def _normal(df: DataFrame, title: str, description: str, *others: str) -> Column:
+    """The text that terms are looked for in. Missing optional columns are empty."""
     for name in (title, description):
         if name not in df.columns:
             raise ValueError(f"column {name} is required")
-    col = lambda name: F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
-    x = df.withColumn("_text", normalized(F.concat_ws(" ", *[col(c) for c in (title, description, tags, company)])))
-    skills, flags, domains = skills_score(F.col("_text"), rules), flags_penalty(F.col("_text"), rules), domain_score(F.col("_text"), rules)
-    x = x.withColumns({"_s": skills[0], "_sm": skills[1], "_f": flags[0], "_fm": flags[1], "_d": domains[0], "_dm": domains[1], "_l": location_score(col(location), rules), "_e": experience_score(col(experience), rules.years)})
+    return normalized(F.concat_ws(" ", *[_or_empty(df, c) for c in (title, description, *others)]))
+
+
+def _or_empty(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
+
+
+def _finished(x: DataFrame, rules: Rules) -> DataFrame:
+    """The score's columns from its five parts and the three lists of matches."""
     w = {k: F.lit(float(v)) for k, v in rules.weights.items()}
-    total = F.col("_s") * w["skills_match"] + F.col("_e") * w["experience_match"] + F.col("_d") * w["domain_match"] + F.col("_l") * w["location_match"] + F.col("_f") * w["red_flags"]
+    total = (
+        F.col("_s") * w["skills_match"] + F.col("_e") * w["experience_match"] + F.col("_d") * w["domain_match"]
+        + F.col("_l") * w["location_match"] + F.col("_f") * w["red_flags"]
+    )
     x = x.withColumn("_t", F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
     x = x.withColumn("classification", classify(F.col("_t")))
+    parts = {"skills_score": "_s", "experience_score": "_e", "domain_score": "_d", "location_score": "_l", "red_flag_penalty": "_f"}
     return x.withColumns({
         "final_score": F.round("_t", 2), "recommendation": recommendation(F.col("_t"), F.col("classification")),
-        "breakdown": F.struct(F.round("_s", 2).alias("skills_score"), F.round("_e", 2).alias("experience_score"), F.round("_d", 2).alias("domain_score"), F.round("_l", 2).alias("location_score"), F.round("_f", 2).alias("red_flag_penalty")),
-        "matched_skills": F.slice("_sm", 1, 10), "matched_domains": F.slice("_dm", 1, 5), "red_flags": F.col("_fm"), "should_auto_import": F.col("_t") >= rules.auto_import,
+        "breakdown": F.struct(*[F.round(c, 2).alias(name) for name, c in parts.items()]),
+        "matched_skills": F.slice("_sm", 1, 10), "matched_domains": F.slice("_dm", 1, 5), "red_flags": F.col("_fm"),
+        "should_auto_import": F.col("_t") >= rules.auto_import,
     }).drop("_text", "_s", "_sm", "_f", "_fm", "_d", "_dm", "_l", "_e", "_t")
+
+
+def score(
+    df: DataFrame, rules: Rules, title="title", description="description", tags="tags", company="company", location="location",
+    experience="experience_required",
+) -> DataFrame:
+    """``df`` with final_score, classification, recommendation, breakdown, matched_skills, matched_domains,
+    red_flags and should_auto_import. A missing optional column counts as empty; title and description must exist."""
+    x = df.withColumn("_text", _normal(df, title, description, tags, company))
+    text = F.col("_text")
+    (s, sm), (f, fm), (d, dm) = skills_score(text, rules), flags_penalty(text, rules), domain_score(text, rules)
+    place, asked = location_score(_or_empty(df, location), rules), experience_score(_or_empty(df, experience), rules.years)
+    return _finished(x.withColumns({"_s": s, "_sm": sm, "_f": f, "_fm": fm, "_d": d, "_dm": dm, "_l": place, "_e": asked}), rules)
+
+
+# ---------------------------------------------------------------- large sets of rules, as a table
+
+
+def rule_words(rules: DataFrame) -> DataFrame:
+    """(kind, ordinal, term, weight) with each part that is looked for, and the part's first word.
+
+    A part that occurs between word boundaries has its first word as a whole word of the text. Parts without any word
+    have the empty one, which every text is given.
+    """
+    names = F.transform(F.split(F.lower("term"), "[/,]"), F.trim)
+    parts = F.when(F.col("kind") == "domains", F.filter(names, lambda p: F.length(p) > 2)).otherwise(F.array(F.lower("term")))
+    x = rules.withColumn("part", F.explode(parts))
+    return x.withColumn("word", F.regexp_extract("part", r"(?U)(\w+)", 1))
+
+
+def matches(texts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, ordinal, term, weight) of each rule that a text matches, found by the rules' first words.
+
+    Words of texts meet the rules in a join on the word: an inverted index, however many rules there are. A part of one word needs
+    no more; of the others, candidates go back to their texts, where the literal predicate of has_term() decides.
+    """
+    index = rule_words(rules)
+    words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\w+)"), 1)))
+    found = texts.select(key, F.explode(words).alias("word")).join(index, "word")
+    whole = F.col("part") == F.col("word")
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("part", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    checked = found.where(~whole).join(texts.select(key, F.col(text).alias("_in")), key)
+    checked = checked.where(F.contains("_in", F.col("part")) & F.regexp_like("_in", quoted))
+    columns = [key, "kind", "ordinal", "term", "weight"]
+    return found.where(whole & (F.col("word") != "")).select(*columns).unionByName(checked.select(*columns)).distinct()
+
+
+def score_by_index(
+    df: DataFrame, rules: DataFrame, profile: Rules, key: str = "id", title="title", description="description", tags="tags", company="company",
+    location="location", experience="experience_required",
+) -> DataFrame:
+    """As score(), with the terms in a table (kind, ordinal, term, weight) instead of in the plan; all else is the ``profile``'s.
+
+    ``key`` names one row each. The plan does not grow with the rules; texts are shuffled by key once where matches are many.
+    """
+    x = df.withColumn("_text", _normal(df, title, description, tags, company))
+    hits = matches(x.select(key, "_text"), rules, key, "_text")
+
+    def listed(kind: str, name: str, weight: str, by_weight: bool) -> Column:
+        row = F.struct((-F.col("weight") if by_weight else F.lit(0)).alias("k"), F.col("ordinal").alias("i"), F.col("term").alias(name), F.col("weight").alias(weight))
+        ordered = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, row)))
+        return F.transform(ordered, lambda m: F.struct(m[name].alias(name), m[weight].alias(weight)))
+
+    def total(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("weight"))), F.lit(0)).alias(f"_{kind}")
+
+    sums = hits.groupBy(key).agg(
+        total("skills"), total("flags"), total("domains"), listed("skills", "skill", "weight", True).alias("_sm"),
+        listed("flags", "flag", "penalty", False).alias("_fm"), listed("domains", "domain", "weight", True).alias("_dm"),
+    )
+    x = x.join(sums, key, "left")
+    of = lambda kind: F.coalesce(f"_{kind}", F.lit(0)).cast("double")
+    none = {"_sm": "skill:string,weight:int", "_fm": "flag:string,penalty:int", "_dm": "domain:string,weight:int"}
+    x = x.withColumns({
+        "_s": F.least(F.lit(100.0), of("skills") / F.lit(float(SKILL_FULL)) * F.lit(100.0)),
+        "_f": F.greatest(F.lit(float(FLAG_FLOOR)), of("flags")),
+        "_d": F.least(F.lit(100.0), of("domains") / F.lit(float(DOMAIN_FULL)) * F.lit(100.0)),
+        "_l": location_score(_or_empty(df, location), profile), "_e": experience_score(_or_empty(df, experience), profile.years),
+        **{c: F.coalesce(c, F.from_json(F.lit("[]"), f"array<struct<{fields}>>")) for c, fields in none.items()},
+    })
+    return _finished(x, profile).drop("_skills", "_flags", "_domains").select(*[c for c in df.columns if c != key and c not in _MADE], key, *_MADE)
+
+
+_MADE = ("classification", "final_score", "recommendation", "breakdown", "matched_skills", "matched_domains", "red_flags", "should_auto_import")

@@ -208,7 +208,7 @@ _add("c12_relevance", lambda j: ingest.relevant(j.select("id", F.col("job_title"
 _add("c14_mapping", lambda j: ingest.map_postings(j.select(F.when(F.col("id") % 3 > 0, F.col("external_id")).alias("id"), F.lit(None).cast("string").alias("slug"), F.col("job_url").alias("url"), F.col("job_title").alias("position"), "company", "description", "location", F.array("tags", "company").alias("tags"), (F.col("id") * 1000).alias("salary_min"), (F.col("id") * 2000).alias("salary_max"), F.col("id").alias("n"), F.lit("2024-01-01").alias("date")), "2024-01-01", "n").select("external_id", "location", "tags", "salary_range"), "j",
      "SELECT CASE WHEN id % 3 > 0 THEN external_id ELSE 'remoteok_' || id END AS external_id, coalesce(location, 'Remote') AS location, tags || ', ' || company AS tags, CASE WHEN id > 0 THEN '$' || format('{:,}', id * 1000) || ' - $' || format('{:,}', id * 2000) END AS salary_range FROM jobs")
 _add("c1_rules", lambda j: RULES.frame(j.sparkSession), "j", "SELECT * FROM (VALUES " + ", ".join(f"('{kind}', {i}, '{t}', {w})" for kind in ("skills", "flags", "domains") for i, (t, w) in enumerate(getattr(RULES, kind).items())) + ") AS r(kind, ordinal, term, weight)")
-_BANDED = "CASE WHEN total >= 85 THEN 'EXCELLENT' WHEN total >= 75 THEN 'HIGH_FIT' WHEN total >= 65 THEN 'MEDIUM_FIT' WHEN total >= 40 THEN 'LOW_FIT' ELSE 'NO_FIT' END"
+BANDED = "CASE WHEN total >= 85 THEN 'EXCELLENT' WHEN total >= 75 THEN 'HIGH_FIT' WHEN total >= 65 THEN 'MEDIUM_FIT' WHEN total >= 40 THEN 'LOW_FIT' ELSE 'NO_FIT' END"
 _HITS = ("CASE WHEN {test} THEN '{term}:{weight}' END", lambda terms, test: [_HITS[0].format(test=test(t), term=t, weight=w) for t, w in terms])
 
 
@@ -223,7 +223,7 @@ def _pairs(column: str, name: str, value: str):
 
 
 _add("c11_output", lambda j: _scored(j).select("id", "recommendation", _pairs("matched_skills", "skill", "weight").alias("skills"), _pairs("matched_domains", "domain", "weight").alias("domains"), _pairs("red_flags", "flag", "penalty").alias("flags"), *[F.col(f"breakdown.{c}").alias(c) for c in ("experience_score", "domain_score", "location_score")]), "j",
-     f"""SELECT id, replace(CASE {_BANDED} {' '.join(f"WHEN '{name}' THEN '{text.replace('%%', '%')}'" for name, text in scoring.ADVICE.items())} END, '%.1f', printf('%.1f', total)) AS recommendation,
+     f"""SELECT id, replace(CASE {BANDED} {' '.join(f"WHEN '{name}' THEN '{text.replace('%%', '%')}'" for name, text in scoring.ADVICE.items())} END, '%.1f', printf('%.1f', total)) AS recommendation,
   {_weighed(RULES.skills, most=10)} AS skills, {_weighed(RULES.domains, _domain, most=5)} AS domains, {_weighed(RULES.flags)} AS flags, CAST(100 AS DOUBLE) AS experience_score, round(d, 2) AS domain_score, round(l, 2) AS location_score FROM scored""", SCORED)
 _POSTED = lambda j: j.select(F.when(F.col("id") % 3 > 0, F.col("external_id")).alias("id"), F.concat(F.lit("p"), "external_id").alias("slug"), F.when(F.col("location") != "Remote", F.col("job_title")).alias("position"), "company", "description", "location", F.array("tags", "company").alias("tags"), (F.col("id") * 100).alias("salary_max"), F.lit(None).cast("string").alias("date"))
 _add("c13_scheduled", lambda j: ingest.map_scheduled(_POSTED(j), SCRAPE_DAY).drop("scraped_at"), "j",
@@ -233,7 +233,7 @@ _add("c13_scheduled", lambda j: ingest.map_scheduled(_POSTED(j), SCRAPE_DAY).dro
 _add("c16_good", lambda j: ingest.good_matches(_scored(j), 40).select("id", "final_score"), "j", "SELECT id, round(total, 2) AS final_score FROM scored WHERE round(total, 2) >= 40", SCORED)
 _add("c16_best", lambda j: ingest.best_match(_scored(j).withColumn("title", F.lpad(F.col("id").cast("string"), 12, "0"))).select("id", "final_score"), "j", "SELECT id, round(total, 2) AS final_score FROM scored ORDER BY 2 DESC, id LIMIT 1", SCORED)
 _add("c16_summary", lambda j: ingest.batch_summary(_scored(j)).select("total", "mean", "best", F.array_join(F.transform(F.map_entries("classes"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), "|").alias("classes")), "j",
-     f"SELECT CAST(sum(n) AS BIGINT) AS total, round(sum(s) / sum(n), 2) AS mean, max(b) AS best, string_agg(c || ':' || n, '|' ORDER BY c) AS classes FROM (SELECT {_BANDED} AS c, count(*) AS n, sum(round(total, 2)) AS s, max(round(total, 2)) AS b FROM scored GROUP BY 1)", SCORED)
+     f"SELECT CAST(sum(n) AS BIGINT) AS total, round(sum(s) / sum(n), 2) AS mean, max(b) AS best, string_agg(c || ':' || n, '|' ORDER BY c) AS classes FROM (SELECT {BANDED} AS c, count(*) AS n, sum(round(total, 2)) AS s, max(round(total, 2)) AS b FROM scored GROUP BY 1)", SCORED)
 
 _OPPORTUNITY = ["id", "company", "role", "source", "is_remote", "status", "priority", "recruiter_email", "recruiter_phone", "discovered_date", "updated_at"]
 _OPPORTUNITIES = "SELECT id, company, role, source, is_remote, status, priority, CAST(NULL AS VARCHAR) AS recruiter_email, recruiter_phone, discovered_date, updated_at FROM opportunities"

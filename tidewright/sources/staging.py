@@ -27,9 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="staging-"))
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession)}/staging-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, "staging")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
