@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small fixtures: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -456,8 +457,62 @@ def test_url_choice_against_brute_force(spark):
         assert (r["mined"], r["verdict"]) == ((best[4].replace(" ", " & "), best[3]) if best else (None, "allow"))
 
 
-def test_url_support_bounds_combinations(spark):
-    """A query of thirty keys that every url repeats: the support rises until few enough tokens are frequent."""
+def ordinary(rng, i):
+    """A url of some 19 tokens, like those of a shop or a forum."""
+    extra = "".join(f"&{k}={rng.randrange(3)}" for k in ("utm_source", "utm_medium", "page", "sort", "lang") if rng.random() < 0.7)
+    return f"https://www.s{rng.randrange(4)}.site.org/{rng.choice(['fr', 'es', 'en'])}/p{rng.randrange(6)}/x{rng.randrange(4)}/y0/index.html?utm_campaign=1{extra}#top"
+
+
+def test_url_long_urls_change_no_support(spark):
+    """Rules of up to two items over urls of up to 19 tokens, whatever one odd url holds, against all pairs of tokens by brute force."""
+    from itertools import combinations
+
+    rng = random.Random(7)
+    urls = [ordinary(rng, i) for i in range(1500)]
+    says = ["block" if "/p1/" in u or ("sort=1" in u and "/x2/" in u) else "allow" for u in urls]
+    odd = "https://example.org/" + "/".join(f"seg{j}" for j in range(25)) + "?" + "&".join(f"k{j}={j}" for j in range(25))
+    for more in ([], [odd]):
+        frame = spark.createDataFrame(list(zip(urls + more, says + ["allow"] * len(more))), "url string, verdict string")
+        host, path = url_filter.host_and_path(F.col("url"))
+        labelled = frame.select(url_filter.tokens(F.col("url"), host, path).alias("tokens"), "verdict")
+        rows = [(set(r["tokens"]), r["verdict"]) for r in labelled.collect()]
+        least = math.ceil(0.02 * len(rows))
+        known = url_filter.frequent(labelled, least)
+        held = defaultdict(set)
+        for k, (t, _) in enumerate(rows):
+            for token in t:
+                held[token].add(k)
+        assert set(known) == {t for t, k in held.items() if len(k) >= least}
+        for t, first in known.items():
+            assert first == min(o for o in known if held[o] == held[t])
+        assert len(set(known.values())) < len(known)
+        items = sorted(set(known.values()))
+        want = {}
+        for n in (1, 2):
+            for c in combinations(items, n):
+                both = set.intersection(*[held[t] for t in c])
+                for v in ("allow", "block"):
+                    met = sum(rows[k][1] == v for k in both)
+                    if met >= least and met / len(both) >= 0.8:
+                        want[c, v] = (met / len(both), met / len(rows))
+        found = url_filter.mine(labelled.withColumn("tokens", url_filter.as_items("tokens", known)), 0.02, 0.8, longest=2, abreast=6)
+        got = {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"]) for r in found.collect()}
+        assert got == want
+        left = {(tuple(r["antecedent"]), r["verdict"]) for r in url_filter.pruned(found).collect()}
+        assert left == {(c, v) for (c, v), (conf, _) in want.items() if not any((t,) != c and ((t,), v) in want and want[(t,), v][0] >= conf for t in c)}
+
+
+def test_url_one_odd_url_changes_no_verdict(spark):
+    rng = random.Random(9)
+    rows = [(i, f"https://a{i % 5}.example.{rng.choice(['org', 'com'])}/{rng.choice(['es', 'fr', 'de', 'en'])}/{i % 7}") for i in range(800)]
+    rows += [(1000 + i, f"https://x{i % 3}.net/{g}/{i % 7}") for i, g in enumerate(["es", "fr", "de", "en"] * 5)]
+    odd = (-1, "https://example.org/es/" + "/".join(f"seg{j}" for j in range(30)) + "?" + "&".join(f"k{j}={j}" for j in range(30)))
+    verdicts = [{r["page_id"]: (r["verdict"], r["mined"]) for r in url_filter.filter_urls(spark.createDataFrame(x, "page_id long, url string")).where("page_id >= 0").collect()} for x in (rows, [*rows, odd])]
+    assert verdicts[0] == verdicts[1] and len({v for v, _ in verdicts[0].values()}) == 2
+
+
+def test_url_query_that_all_repeat(spark):
+    """A query of thirty keys that every third url repeats is one item."""
     same = "&".join(f"k{j}" for j in range(30))
     rows = [(i, f"https://example.org/{'es' if i % 4 else 'xx'}/{i}" + (f"?{same}" if i % 3 == 0 else "")) for i in range(300)]
     got = url_filter.filter_urls(spark.createDataFrame([*rows, (-1, "https://y.net/es/")], "page_id long, url string")).where("page_id = -1").first()
