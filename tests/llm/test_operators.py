@@ -233,9 +233,11 @@ def test_repeats_of_nothing(spark):
 
 def test_sharding(spark, docs):
     n = docs.count()
-    got = sharding.external_shuffle(clashing(docs, "shard", "slot"), 7, bucket_rows=8)
+    got = sharding.external_shuffle(clashing(docs, "shard", "slot", "a", "b", "row", "copy", "times", "bucket", "_a", "_times", "odd ` name"), 7, bucket_rows=8)
+    rows = got.collect()
+    assert Counter(tuple(r)[:5] for r in rows) == Counter(collected(docs)) and {tuple(r)[5:-2] for r in rows} == {("x",) * 9}
+    got = sharding.external_shuffle(docs, 7, bucket_rows=8)
     rows = got.collect()
-    assert Counter(tuple(r)[:5] for r in rows) == Counter(collected(docs))
     by = defaultdict(list)
     for r in rows:
         by[r["shard"]].append(r["slot"])
@@ -334,7 +336,7 @@ def test_decontaminate(spark, docs):
     planted = [(200, f"x y z {items[0][1].upper()} q r"), (201, "say alpha beta now"), (202, items[4][1]), (203, items[4][1].replace(items[4][1].split()[0], "changed", 1)), (204, "w1 w2 w3 w4 w5 w6")]
     all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
     item_frame = spark.createDataFrame(items, "item_id long, text string")
-    found = {(r["doc_id"], m["item_id"]) for r in decontaminate.scan(clashing(all_docs, "matches"), item_frame).collect() for m in r["matches"]}
+    found = {(r["doc_id"], m["item_id"]) for r in decontaminate.scan(clashing(all_docs, "matches", "found", "_found", "odd ` name"), item_frame).collect() for m in r["matches"]}
     want = set()
     for r in all_docs.collect():
         for item, text in items:
@@ -625,7 +627,7 @@ def test_toxicity(spark):
         marks.append((i, 1, int(toxic)))
     rows += [(2000, None), (2001, ""), (None, "oaf"), rows[3]]
     d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
-    got = toxicity.score(clashing(d, "score"), toxicity.fit(d, lab)).collect()
+    got = toxicity.score(clashing(d, "score", "odd ` name"), toxicity.fit(d, lab)).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     for r in got:
         assert r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
@@ -704,7 +706,7 @@ def test_quality(spark, docs, labels):
         marks.append((i, int(not bad), 0))
     rows += [(700, None, None, None, None), (701, "", "en", None, -1), rows[1]]
     d, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame([m for m in marks if m[0] % 3], "doc_id long, quality int, toxic int")
-    got = quality.score(clashing(d, "score", "keep"), quality.fit(d, lab)[0]).collect()
+    got = quality.score(clashing(d, "score", "keep", "odd ` name"), quality.fit(d, lab)[0]).collect()
     assert len(got) == len(rows)
     known = [r for r in got if r["doc_id"] < 600 and r["doc_id"] % 3 == 0]
     assert sum(r["keep"] == (r["doc_id"] % 4 != 0) for r in known) >= 0.95 * len(known)

@@ -13,6 +13,7 @@ from contextlib import contextmanager
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_rows(df: DataFrame, run, **more: T.DataType) -> DataFrame:
+    """``df`` with more columns by ``run``, which takes record batches and yields them with these columns at the end.
+
+    mapInArrow() itself takes no column whose name holds a backtick or a dot; here any name does.
+    """
+    names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+
+    def renamed(batches):
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns([*plain, *more])
+
+    kept = [T.StructField(c, f.dataType) for c, f in zip(plain, df.schema)]
+    out = df.toDF(*plain).mapInArrow(renamed, T.StructType([*kept, *[T.StructField(c, t) for c, t in more.items()]]))
+    return out.toDF(*names, *more)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
