@@ -22,8 +22,9 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewright.llm.common import U, documents_words, mix, shingles_of, table, word_count, words_of
+from tidewright.llm.common import U, documents_words, map_rows, mix, shingles_of, table, word_count, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -151,6 +152,9 @@ def _item_blocks(items: DataFrame, item_words: int):
 def scan(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, item_words: int = ITEM_WORDS) -> DataFrame:
     """``docs`` with ``matches``: each benchmark item found, with its best window."""
     docs = docs.drop("matches")
+    found = "found"  # by blocks before; a name that no column has
+    while found in docs.columns:
+        found += "_"
     out = None
     for block in _item_blocks(items, item_words):
         indexes = build(block)
@@ -181,9 +185,10 @@ def scan(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, item_
                     column[i] = matches_of(words, indexes, hits, threshold) if hits else []
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, _arrow_matches())], names=[*batch.schema.names, "matches"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        more = (docs if out is None else out.withColumnRenamed("matches", "_found")).mapInArrow(scanned, (schema if out is None else f"{schema}, _found {MATCHES}") + f", matches {MATCHES}")
-        out = more if out is None else more.withColumn("matches", F.concat("_found", "matches")).drop("_found")
+        before = docs if out is None else out.withColumnRenamed("matches", found)
+        out = map_rows(before, scanned, matches=T._parse_datatype_string(MATCHES))
+        if found in out.columns:
+            out = out.withColumn("matches", F.concat(found, "matches")).drop(found)
     return out
 
 
