@@ -23,9 +23,10 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import Scratch, chunks, table, texts_of, words_of
+from tidewright.llm.common import Scratch, chunks, column, map_rows, table, texts_of, words_of
 
 FIT_ROWS = 20_000  # labelled rows, about, at most; by hash of doc_id
 ROUNDS = 5
@@ -214,7 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[d
     n = known.count()
     part = F.lit(int(min(1.0, fit_rows / max(1, n)) * (1 << 30)))
     met = met.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 30)) < part)
-    own = found.join(met.drop("doc_id"), "uid").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # fit_rows, about, at most
+    own = found.join(met.drop("doc_id"), "uid")
+    one = F.min_by(F.struct(*[c for c in own.columns if c != "doc_id"]), F.struct("stats", "lang", "source", "n_chars"))  # of a repeated id
+    own = own.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()  # fit_rows, about, at most
     y = np.array(own.column("quality").to_pylist(), float)
     pool = found.join(known, "doc_id", "left_anti").select("uid", "doc_id", "lang", "source", "n_chars", "stats")
     pool = scratch.save(pool, "pool")
@@ -231,12 +234,11 @@ def score_statistics(found: DataFrame, model: dict, keep: float = KEEP) -> DataF
             found = _scores(batch, model)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found), pa.array(found[2] >= keep)], names=[*batch.schema.names, *_NAMES])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    return found.mapInArrow(scored, schema + _SCORES)
+    return map_rows(found, scored, **_SCORES)
 
 
 _NAMES = ["content_score", "metadata_score", "score", "keep"]
-_SCORES = ", content_score double, metadata_score double, score double, keep boolean"
+_SCORES = dict(zip(_NAMES, [T.DoubleType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]))
 
 
 def _scores(batch, model: dict) -> list[np.ndarray]:
@@ -259,8 +261,7 @@ def score(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
             found = _scores(meta, model)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found), pa.array(found[2] >= keep)], names=[*batch.schema.names, *_NAMES])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, schema + _SCORES)
+    return map_rows(docs, scored, **_SCORES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -272,4 +273,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
     model, _ = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("keep").select(*docs.columns)
+    return score(docs, model).where("keep").select(*map(column, docs.columns))

@@ -22,8 +22,9 @@ import pickle
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewright.llm.common import U, chunks, spans_of, table, texts_of, window_hash
+from tidewright.llm.common import U, chunks, map_rows, spans_of, table, texts_of, window_hash
 
 BITS = 20
 STEMS = (4, 5, 1 << 40)  # bytes of a word that make a term; the last is the whole word
@@ -224,7 +225,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
 def score(docs: DataFrame, machine: dict) -> DataFrame:
     """``docs`` with held_out, score and predicted."""
     docs = docs.drop("held_out", "score", "predicted")
-    schema = docs.schema
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def scored(batches):
@@ -243,7 +243,7 @@ def score(docs: DataFrame, machine: dict) -> DataFrame:
                 out[lo:hi] += _scores(p[both & ((1 << BITS) - 1)], counts)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], names=[*batch.schema.names, "score"])
 
-    out = docs.mapInArrow(scored, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", score double")
+    out = map_rows(docs, scored, score=T.DoubleType())
     return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
