@@ -250,7 +250,7 @@ def search(vectors: DataFrame, queries, k: int = K, probe_rows: int = PROBE_ROWS
     asking = indexed.where(queries).select("uid", F.col("vec_id").alias("query_id"), "v")
     at = lambda values: F.element_at(F.array(*[F.lit(int(n)) for n in values]), F.col("list") + 1)
     held = indexed.withColumn("block", (at(first) + F.pmod(F.xxhash64(F.lit(9), "uid"), at(count))).cast("int"))
-    held = held.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))).select("uid", "vec_id", "v", "list", "block", "deal")
+    held = held.select("uid", "vec_id", "v", "list", "block")
     out = "uid long, query_id long, vec_id long, whole double"
 
     def scan(key, left, right):
@@ -272,7 +272,10 @@ def search(vectors: DataFrame, queries, k: int = K, probe_rows: int = PROBE_ROWS
     by_score = Window.partitionBy("uid").orderBy("whole", "vec_id")
 
     def nearest_of(asked: DataFrame) -> DataFrame:
-        found = asked.withColumn("deal", deal).groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(scan, out)
+        asked = asked.withColumn("deal", deal)
+        pairs = asked.select("block", F.col("deal").alias("by")).distinct()
+        met = held.join(pairs, "block").withColumnRenamed("by", "deal")  # a row goes to the deals that probe its block, and to no other
+        found = asked.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(scan, out)
         return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
     sent, none = "uid long, query_id long, v array<double>, limit double, block int, asked array<int>", F.lit(float("inf"))
