@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import Scratch, chunks, table, texts_of
+from tidewright.llm.common import Scratch, chunks, column, map_rows, table, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 SHORT = 64  # characters of a piece whose ids are kept
@@ -218,15 +218,17 @@ class _Memo(dict):
         return packed
 
 
-def _with(batch, name: str, column):
+def _with(batch, column):
     import pyarrow as pa
 
-    kept = [n for n in batch.schema.names if n != name]
-    return pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], column], names=[*kept, name])
+    return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "made"])
 
 
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*[f for f in df.schema if f.name != name], T.StructField(name, kind)])
+def _mapped(df: DataFrame, run, name: str, kind: T.DataType) -> DataFrame:
+    """``df`` with the column that ``run`` makes, over one of this name."""
+    made = map_rows(df, run, **{"made ": kind})
+    kept = [c for c in df.columns if c != name]
+    return made.select(*[column(c) for c in kept], column("made ").alias(name))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -243,9 +245,9 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
         for batch in batches:
             texts = batch.column(text).cast(pa.large_binary())
             packed = [encoder.encode(t.as_py().decode("utf-8", "replace")) if t.is_valid else b"" for t in texts]
-            yield _with(batch, out, pa.array(packed, pa.binary()))
+            yield _with(batch, pa.array(packed, pa.binary()))
 
-    return df.mapInArrow(run, _schema(df, out, T.BinaryType()))
+    return _mapped(df, run, out, T.BinaryType())
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -268,9 +270,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 place = np.arange(after[-1] if len(after) else 0) + np.repeat(offsets[here] - after + size, size)
                 text, after = joined[place].tobytes(), np.concatenate([[0], after])[(ends[lo : hi + 1] - ends[lo]) // 4].tolist()
                 done += [text[a:b].decode("utf-8", "replace") for a, b in zip(after, after[1:])]
-            yield _with(batch, out, pa.array(done, pa.string()))
+            yield _with(batch, pa.array(done, pa.string()))
 
-    return df.mapInArrow(run, _schema(df, out, T.StringType()))
+    return _mapped(df, run, out, T.StringType())
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import Scratch, chunks, mix, table, texts_of
+from tidewright.llm.common import Scratch, chunks, column, mix, table, texts_of
 from tidewright.sources.staging import numbered
 
 RUNS = (1, 2, 3)
@@ -141,7 +141,7 @@ def _block(batches: list, number: int):
 
 
 def blocks(docs: DataFrame, text: str, keep: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    kept = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]) if keep else F.struct(F.lit(0).alias("c0"))
+    kept = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(keep)]) if keep else F.struct(F.lit(0).alias("c0"))
     slim = docs.select(kept.alias("kept"), F.col(text).cast("binary").alias("text"))
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(slim.schema["kept"].dataType)), T.StructField("ends", T.BinaryType()),
@@ -392,7 +392,7 @@ def resample(docs: DataFrame, target: DataFrame, keep: list[str] | None = None,
     ranked = numbered(x.where(able), F.desc("score"), F.col(key).asc_nulls_last(), name="rank")
     drawn = x.where(able).count() * percent // 100
     ranked = ranked.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
-    return ranked.unionByName(x.where(~able).withColumn("rank", F.lit(None).cast("long"))).select(*keep, *mine)
+    return ranked.unionByName(x.where(~able).withColumn("rank", F.lit(None).cast("long"))).select(*map(column, keep), *mine)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
