@@ -48,6 +48,11 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _column(name: str):
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numbered(df: DataFrame, *order, name: str = "number", after: int = 0) -> DataFrame:
     """``df`` with consecutive numbers from ``after`` + 1 on in ``order``; equals are numbered as they come.
 
@@ -63,4 +68,4 @@ def numbered(df: DataFrame, *order, name: str = "number", after: int = 0) -> Dat
     sizes = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     number = F.col("_before") + F.col("_place").bitwiseAND(F.lit(_ROW)) + F.lit(1 + after)
     out = placed.withColumn("_part", part).join(sizes, "_part")
-    return out.withColumn(name, number.cast("long")).select(*[c for c in df.columns if c != name], name)
+    return out.withColumn(name, number.cast("long")).select(*[_column(c) for c in df.columns if c != name], name)
