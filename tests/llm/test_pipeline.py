@@ -60,7 +60,19 @@ def test_pipeline_resumes(spark, monkeypatch):
         corpus_pipeline.run(spark, SF, own)
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, marked(n, f, False)) for n, f in quick])
     rows = corpus_pipeline.run(spark, SF, own).count()
-    assert ran == ["near", "decontaminate", "last", "last"] and rows > 0 and os.listdir(f"{folder}/{own}") == ["last"]
+    assert ran == ["near", "decontaminate", "last", "last"] and rows > 0
+    assert os.listdir(f"{folder}/{own}-{corpus_pipeline.fingerprint(spark, SF)}") == ["last"]
+
+
+def test_a_name_keeps_inputs_apart(spark, monkeypatch, tmp_path):
+    """Another input, or the same folder with other files, under the name of an earlier run gives its own rows."""
+    monkeypatch.setattr(Scratch, "__init__", lambda self, spark, name=None, at=Scratch.__init__: (at(self, spark, name), setattr(self, "base", f"{tmp_path}/{name}") if name else None)[0])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda s, d, p: d.where("doc_id % 2 = 0")), ("two", lambda s, d, p: d)])
+    for n in (10, 20):
+        for name in corpus_pipeline.TABLES:
+            spark.range(n).withColumnRenamed("id", "doc_id").write.mode("overwrite").parquet(str(tmp_path / "in" / f"{name}.parquet"))
+        first = corpus_pipeline.run(spark, str(tmp_path / "in"), "nightly")
+        assert first.count() == n // 2 == corpus_pipeline.run(spark, str(tmp_path / "in"), "nightly").count()
 
 
 def test_pipeline_of_nothing(spark, tmp_path):
@@ -75,6 +87,6 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations", "pages", "labels", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = registry.QUERIES[name](spark, SF).toPandas()
-    want = con.sql(registry.SQL[name]).df()[list(got.columns)]
-    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None)))
+    got, want = registry.QUERIES[name](spark, SF), con.sql(registry.SQL[name])
+    columns = [want.columns.index(c) for c in got.columns]
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(tuple(r[i] for i in columns)) for r in want.fetchall())

@@ -29,20 +29,21 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def map_rows(df: DataFrame, run, **more: T.DataType) -> DataFrame:
-    """``df`` with more columns by ``run``, which takes record batches and yields them with these columns at the end.
+def map_rows(df: DataFrame, run, without: str | None = None, **more: T.DataType) -> DataFrame:
+    """``df`` with more columns by ``run``, which takes record batches and yields them, ``without`` one column, with these at the end.
 
     mapInArrow() itself takes no column whose name holds a backtick or a dot; here any name does.
     """
     names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    kept = [(c, f) for c, f in zip(plain, df.schema) if f.name != without]
 
     def renamed(batches):
         for batch in run(b.rename_columns(names) for b in batches):
-            yield batch.rename_columns([*plain, *more])
+            yield batch.rename_columns([*[c for c, _ in kept], *more])
 
-    kept = [T.StructField(c, f.dataType) for c, f in zip(plain, df.schema)]
-    out = df.toDF(*plain).mapInArrow(renamed, T.StructType([*kept, *[T.StructField(c, t) for c, t in more.items()]]))
-    return out.toDF(*names, *more)
+    fields = [*[T.StructField(c, f.dataType) for c, f in kept], *[T.StructField(c, t) for c, t in more.items()]]
+    out = df.toDF(*plain).mapInArrow(renamed, T.StructType(fields))
+    return out.toDF(*[f.name for _, f in kept], *more)
 
 
 def word_count(text: Column) -> Column:

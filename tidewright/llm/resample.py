@@ -69,7 +69,7 @@ def _unpack(data: bytes) -> bytes:
 
 def _pack_numbers(numbers: np.ndarray, kind: str) -> bytes:
     """Numbers byte by byte, the lowest bytes of all first: the high ones of small numbers shrink to nothing."""
-    return _pack(np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T).reshape(-1))
+    return _pack(np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).reshape(-1))
 
 
 def _unpack_numbers(data: bytes, kind: str) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import Scratch, table
+from tidewright.llm.common import Scratch, map_rows, table
 
 PARTS = 16
 ENTRIES = 64
@@ -129,8 +129,8 @@ def codebooks(rows: DataFrame, length: int, vector: str, key: str, parts: int =
 
 def assign(rows: DataFrame, books: np.ndarray, vector: str) -> DataFrame:
     """``rows`` with code (a byte for each part, so 256 entries at most) and error, without the vector."""
-    rest = [c for c in rows.columns if c not in (vector, "code", "error")]
-    schema = T.StructType([*[rows.schema[c] for c in rest], T.StructField("code", T.BinaryType()), T.StructField("error", T.LongType())])
+    rows = rows.drop("code", "error")
+    rest = [c for c in rows.columns if c != vector]
 
     def run(batches):
         import pyarrow as pa
@@ -145,7 +145,7 @@ def assign(rows: DataFrame, books: np.ndarray, vector: str) -> DataFrame:
             kept = [batch.column(c) for c in rest]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=[*rest, "code", "error"])
 
-    return rows.select(*rest, vector).mapInArrow(run, schema)
+    return map_rows(rows, run, without=vector, code=T.BinaryType(), error=T.LongType())
 
 
 def encode(df: DataFrame, vector: str = "embedding", key: str = "vec_id", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, np.ndarray]:
