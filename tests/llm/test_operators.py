@@ -658,6 +658,8 @@ def test_toxicity_on_rows_that_no_fit_saw(spark):
     d, lab = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
     rows = toxicity.score(d, toxicity.fit(d, lab)).where("held_out").join(lab, "doc_id").select("predicted", "toxic").collect()
     assert len(rows) > 500 and sum(r["predicted"] == r["toxic"] for r in rows) >= 0.97 * len(rows)
+    met = sum(r["predicted"] == 1 == r["toxic"] for r in rows)
+    assert met >= 0.85 * sum(r["toxic"] == 1 for r in rows) and met >= 0.9 * sum(r["predicted"] == 1 for r in rows)
 
 
 def test_machine_learns_pairs():
