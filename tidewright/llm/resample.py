@@ -117,6 +117,7 @@ def _block(batches: list, number: int):
     rows = pa.Table.from_batches(batches).combine_chunks()
     data, offsets = texts_of(rows.column("text").combine_chunks())
     low, bounds = _LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+    del data, batches
     inside = _INSIDE[low]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -124,7 +125,9 @@ def _block(batches: list, number: int):
     edge = bounds[(bounds > 0) & (bounds < len(low))]
     begins[edge], stops[edge - 1] = inside[edge], inside[edge - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    del begins, stops
     coded = _strings(np.cumsum(stop - start), low[inside]).dictionary_encode()
+    del low, inside, stop
     seen = coded.indices.to_numpy()
     order = np.argsort(-np.bincount(seen, minlength=len(coded.dictionary)), kind="stable")
     rank = np.empty(len(order), np.int32)
@@ -178,15 +181,18 @@ class _Block:
 
     def runs(self, n: int):
         """(where runs of n words start, number of each among the distinct ones, one place of each of these, in the order of words)."""
-        until = np.repeat(self.ends, np.diff(self.ends, prepend=0))  # for each word the end of its document
-        start = np.flatnonzero(np.arange(len(self.words)) + n <= until)
+        until = np.repeat(self.ends.astype(np.int32), np.diff(self.ends, prepend=0))  # for each word the end of its document
+        start = np.flatnonzero(np.arange(n, len(self.words) + n, dtype=np.int32) <= until).astype(np.int32)  # a block has less than 2 ** 31 words
+        del until
         key, many = self.words[start].astype(np.int64), max(1, len(self.names))
         for j in range(1, n):
             if len(key) and int(key.max()) * many >= 1 << 62:
                 key = np.unique(key, return_inverse=True)[1]
             key = key * many + self.words[start + j]
         order = np.argsort(key)
-        new = np.diff(key[order], prepend=-1) != 0
+        key = key[order]
+        new = np.diff(key, prepend=-1) != 0
+        del key
         number = np.empty(len(order), np.int32)
         number[order] = np.cumsum(new, dtype=np.int32) - 1
         return start, number, start[order[new]]
@@ -197,6 +203,7 @@ class _Block:
         for j in range(n):
             hashed = mix(hashed + self.crc[self.words[place + j]])
         part = (hashed % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        del hashed
         return np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
 
     def strings(self, place: np.ndarray, n: int):
