@@ -31,19 +31,24 @@ def _views(name):
     """CTEs for keyword mastery and weekly summary."""
     return {
         "mastery": f"""mastery AS (
-  SELECT keyword, count(*) AS practice_count, {RIGHT} AS correct_count, {PCT} AS accuracy_percentage, round(avg(CAST(time_spent_minutes AS DOUBLE)), 1) AS avg_time_minutes
+  SELECT keyword, count(*) AS practice_count, {RIGHT} AS correct_count, {PCT} AS accuracy_percentage,
+    round(avg(CAST(time_spent_minutes AS DOUBLE)), 1) AS avg_time_minutes
   FROM (SELECT *, trim(unnest(string_split(keywords_used, ','))) AS keyword FROM sessions WHERE keywords_used IS NOT NULL) WHERE keyword <> '' GROUP BY keyword)""",
         "weekly": f"""weekly AS (
-  SELECT strftime(practice_date, '%Y-W%W') AS week, count(*) AS total_sessions, count(DISTINCT platform) AS platforms_used, {RIGHT} AS correct_answers, {PCT} AS accuracy_percentage,
-         CAST(sum(time_spent_minutes) AS BIGINT) AS total_minutes, count(CASE WHEN difficulty = 'Easy' THEN 1 END) AS easy_questions, count(CASE WHEN difficulty = 'Medium' THEN 1 END) AS medium_questions,
+  SELECT strftime(practice_date, '%Y-W%W') AS week, count(*) AS total_sessions, count(DISTINCT platform) AS platforms_used,
+    {RIGHT} AS correct_answers, {PCT} AS accuracy_percentage,
+         CAST(sum(time_spent_minutes) AS BIGINT) AS total_minutes, count(CASE WHEN difficulty = 'Easy' THEN 1 END) AS easy_questions,
+           count(CASE WHEN difficulty = 'Medium' THEN 1 END) AS medium_questions,
          count(CASE WHEN difficulty = 'Hard' THEN 1 END) AS hard_questions
   FROM sessions GROUP BY 1)""",
         "mistakes": """mistakes AS (
-  SELECT error_made, count(*) AS occurrence_count, CASE WHEN string_agg(DISTINCT keywords_used, ',' ORDER BY keywords_used) <> '' THEN string_agg(DISTINCT keywords_used, ',' ORDER BY keywords_used) END AS related_keywords,
+  SELECT error_made, count(*) AS occurrence_count, CASE WHEN string_agg(DISTINCT keywords_used,
+    ',' ORDER BY keywords_used) <> '' THEN string_agg(DISTINCT keywords_used, ',' ORDER BY keywords_used) END AS related_keywords,
          round(avg(CAST(time_spent_minutes AS DOUBLE)), 1) AS avg_recovery_time
   FROM sessions WHERE error_made IS NOT NULL AND error_made <> '' GROUP BY error_made ORDER BY occurrence_count DESC, error_made LIMIT 10)""",
         "levels": f"""levels AS (
-  SELECT difficulty, count(*) AS total_attempted, {RIGHT} AS correct, {PCT} AS accuracy_percentage, avg(CAST(time_spent_minutes AS DOUBLE)) AS avg_time_minutes, min(practice_date) AS first_attempt, max(practice_date) AS latest_attempt
+  SELECT difficulty, count(*) AS total_attempted, {RIGHT} AS correct, {PCT} AS accuracy_percentage,
+    avg(CAST(time_spent_minutes AS DOUBLE)) AS avg_time_minutes, min(practice_date) AS first_attempt, max(practice_date) AS latest_attempt
   FROM sessions GROUP BY difficulty)""",
     }[name]
 
@@ -102,12 +107,15 @@ def _names(column: str, name: str):
 
 KEYWORD_TEST = " OR ".join(f"contains(p, '{k}')" for k in ingest.KEYWORDS)
 STATS = """count(*) AS total_jobs, count(CASE WHEN match_score >= 85 THEN 1 END) AS excellent, count(CASE WHEN match_score >= 75 AND match_score < 85 THEN 1 END) AS high_fit,
-  count(CASE WHEN match_score >= 65 AND match_score < 75 THEN 1 END) AS medium_fit, count(CASE WHEN match_score >= 40 AND match_score < 65 THEN 1 END) AS low_fit, count(CASE WHEN match_score < 40 THEN 1 END) AS no_fit,
+  count(CASE WHEN match_score >= 65 AND match_score < 75 THEN 1 END) AS medium_fit, count(CASE WHEN match_score >= 40
+    AND match_score < 65 THEN 1 END) AS low_fit, count(CASE WHEN match_score < 40 THEN 1 END) AS no_fit,
   round(avg(match_score), 1) AS avg_score, max(scraped_at) AS last_scraped, count(CASE WHEN imported_to_opportunities THEN 1 END) AS imported_count"""
 PERCENT = "CAST(CAST(trunc(match_score) AS INTEGER) AS VARCHAR) || '%'"
 WEEK_BEFORE = f"practice_date >= DATE '{PRACTICE_DAY}' - 7"
 AGENDA = "i.id, i.type, i.date, i.time, i.meet_link, o.company, o.role, o.status, i.participants, i.summary FROM interactions i JOIN opportunities o ON i.opportunity_id = o.id"
-WORK_STATS = "count(*) AS total_stones, CAST(sum(time_spent_minutes) AS BIGINT) AS total_minutes, round(avg(CAST(time_spent_minutes AS DOUBLE)), 1) AS avg_minutes_per_stone, min(date) AS first_stone_date, max(date) AS latest_stone_date, round(sum(time_spent_minutes) / CAST(60 AS DOUBLE), 1) AS total_hours FROM work"
+WORK_STATS = """count(*) AS total_stones, CAST(sum(time_spent_minutes) AS BIGINT) AS total_minutes, round(avg(CAST(time_spent_minutes AS DOUBLE)),
+    1) AS avg_minutes_per_stone, min(date) AS first_stone_date, max(date) AS latest_stone_date,
+    round(sum(time_spent_minutes) / CAST(60 AS DOUBLE), 1) AS total_hours FROM work"""
 GAPS = """SELECT coalesce(question_type, 'General') AS question_type, difficulty, count(*) AS question_count, avg(CAST(my_rating AS DOUBLE)) AS avg_performance,
     min(my_rating) AS min_rating, round(CAST(100 AS DOUBLE) * sum(CASE WHEN my_rating <= 2 THEN 1 ELSE 0 END) / count(*), 1) AS weak_percentage
   FROM questions
@@ -117,7 +125,10 @@ GAPS = """SELECT coalesce(question_type, 'General') AS question_type, difficulty
 
 def _add(name: str, frame, tables: str, sql: str, *ctes: str) -> None:
     """``tables``: letters of the mapped tables that ``frame`` takes, in order."""
-    parts = {"o": (m.opportunities, m.OPPORTUNITIES), "i": (m.interactions, m.INTERACTIONS), "s": (m.sessions, m.SESSIONS), "w": (m.work_log, m.WORK), "q": (m.questions, m.QUESTIONS), "n": (m.job_sources, m.SOURCES), "j": (m.jobs, m.JOBS)}
+    parts = {
+        "o": (m.opportunities, m.OPPORTUNITIES), "i": (m.interactions, m.INTERACTIONS), "s": (m.sessions, m.SESSIONS), "w": (m.work_log, m.WORK),
+        "q": (m.questions, m.QUESTIONS), "n": (m.job_sources, m.SOURCES), "j": (m.jobs, m.JOBS),
+    }
 
     def run(spark, sf_dir):
         return frame(*[parts[t][0](spark, sf_dir) for t in tables])
@@ -202,11 +213,18 @@ _add(
 )
 _add("q15_recent_work", q.recent_work, "w", "SELECT * FROM work ORDER BY date DESC, created_at DESC, id DESC LIMIT 5")
 _add("q16_sources", q.sources, "n", "SELECT * FROM job_sources")
-for _name, _filters, _where in (("q17_scraped_jobs", {}, "match_score >= 70"), ("q17_scraped_jobs_low", {"min_score": 60, "limit": 10}, "match_score >= 60"), ("q17_scraped_jobs_class", {"classification": "LOW_FIT", "min_score": 0, "limit": 5}, "match_score >= 0 AND classification = 'LOW_FIT'"),
-                               ("q17_scraped_jobs_band", {"classification": "HIGH_FIT", "limit": 20}, "match_score >= 70 AND classification = 'HIGH_FIT'"), ("q17_scraped_jobs_source", {"source": "src0", "min_score": 50, "limit": 3}, "match_score >= 50 AND source = 'src0'")):
+_LISTED = (
+    ("q17_scraped_jobs", {}, "match_score >= 70"),
+    ("q17_scraped_jobs_low", {"min_score": 60, "limit": 10}, "match_score >= 60"),
+    ("q17_scraped_jobs_class", {"classification": "LOW_FIT", "min_score": 0, "limit": 5}, "match_score >= 0 AND classification = 'LOW_FIT'"),
+    ("q17_scraped_jobs_band", {"classification": "HIGH_FIT", "limit": 20}, "match_score >= 70 AND classification = 'HIGH_FIT'"),
+    ("q17_scraped_jobs_source", {"source": "src0", "min_score": 50, "limit": 3}, "match_score >= 50 AND source = 'src0'"),
+)
+for _name, _filters, _where in _LISTED:
     _add(_name, lambda j, _f=_filters: q.scraped_jobs(j, **_f).withColumn("matched_skills", _names("matched_skills", "skill")), "j",
          f"""SELECT id, external_id, source, job_title, company, job_url, location, tags, classification, imported_to_opportunities, scraped_at, round(match_score, 1) AS match_score,
-  CASE WHEN length(description) > 200 THEN substr(description, 1, 200) || '...' ELSE description END AS description, CASE WHEN matched_skills LIKE '%SQL%' THEN 'SQL' ELSE '' END AS matched_skills
+  CASE WHEN length(description) > 200 THEN substr(description, 1, 200) || '...' ELSE description END AS description, CASE
+    WHEN matched_skills LIKE '%SQL%' THEN 'SQL' ELSE '' END AS matched_skills
   FROM jobs WHERE {_where} ORDER BY jobs.match_score DESC, scraped_at DESC, id LIMIT {_filters.get('limit', 50)}""")
 _add("q18_scraped_stats", q.scraped_stats, "j", f"SELECT {STATS} FROM jobs")
 _add(
@@ -590,7 +608,11 @@ _add(
     "c14_mapping",
     lambda j: (
         ingest.map_postings(
-            j.select(F.when(F.col("id") % 3 > 0, F.col("external_id")).alias("id"), F.lit(None).cast("string").alias("slug"), F.col("job_url").alias("url"), F.col("job_title").alias("position"), "company", "description", "location", F.array("tags", "company").alias("tags"), (F.col("id") * 1000).alias("salary_min"), (F.col("id") * 2000).alias("salary_max"), F.col("id").alias("n"), F.lit("2024-01-01").alias("date")),
+            j.select(
+                F.when(F.col("id") % 3 > 0, F.col("external_id")).alias("id"), F.lit(None).cast("string").alias("slug"), F.col("job_url").alias("url"),
+                F.col("job_title").alias("position"), "company", "description", "location", F.array("tags", "company").alias("tags"),
+                (F.col("id") * 1000).alias("salary_min"), (F.col("id") * 2000).alias("salary_max"), F.col("id").alias("n"), F.lit("2024-01-01").alias("date"),
+            ),
             "2024-01-01", "n",
         )
         .select("external_id", "location", "tags", "salary_range")
@@ -617,7 +639,8 @@ def _rules_found(j):
 
 
 _add("c1_rules", _rules_found, "j", _rule_counts(), SCORED)
-BANDED = "CASE WHEN total >= 85 THEN 'EXCELLENT' WHEN total >= 75 THEN 'HIGH_FIT' WHEN total >= 65 THEN 'MEDIUM_FIT' WHEN total >= 40 THEN 'LOW_FIT' ELSE 'NO_FIT' END"
+BANDED = """CASE WHEN total >= 85 THEN 'EXCELLENT' WHEN total >= 75 THEN 'HIGH_FIT' WHEN total >= 65 THEN 'MEDIUM_FIT'
+    WHEN total >= 40 THEN 'LOW_FIT' ELSE 'NO_FIT' END"""
 _HITS = ("CASE WHEN {test} THEN '{term}:{weight}' END", lambda terms, test: [_HITS[0].format(test=test(t), term=t, weight=w) for t, w in terms])
 
 
@@ -889,7 +912,10 @@ _add(
 )
 _add(
     "f17_normalize",
-    lambda s: tables.validate("sql_practice_sessions", tables.normalize_sessions(s.select("id", F.when(F.col("is_correct"), " DBeaver ").otherwise(F.col("platform")).alias("platform"), F.concat(F.lit(" "), F.upper("difficulty")).alias("difficulty"), F.lit("custom").alias("database_used"))))[0],
+    lambda s: tables.validate("sql_practice_sessions", tables.normalize_sessions(s.select(
+        "id", F.when(F.col("is_correct"), " DBeaver ").otherwise(F.col("platform")).alias("platform"),
+        F.concat(F.lit(" "), F.upper("difficulty")).alias("difficulty"), F.lit("custom").alias("database_used"),
+    )))[0],
     "s",
     "SELECT id, 'dbeaver' AS platform, difficulty, 'Custom' AS database_used FROM sessions WHERE is_correct",
 )
