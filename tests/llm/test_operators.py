@@ -215,6 +215,45 @@ def test_repeats_of_a_whole_table(spark):
     assert Counter(collected(repeats.cut_repeats(docs))) == want and sum(r[2] > 0 for r in want) > 0
 
 
+def test_anchors_of_chance():
+    """Strings of 16 to 32 bytes that texts share without a window of 50 give no shared name; every shared window does."""
+    rng = random.Random(5)
+    few = [words(rng, 6, 10**6)[:24] for _ in range(40)]
+    texts = [" ".join(f"{rng.choice(few)} {words(rng, 2, 10**9)}" for _ in range(60)).encode() for _ in range(30)]
+    named = []
+    for t in texts:
+        place, name, first, last, _ = repeats.anchors_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 50)
+        at = {s: (int(n), int(p - s)) for p, n, f, la in zip(place, name, first, last) for s in range(f, la + 1)}
+        assert sorted(at) == list(range(len(t) - 49)) and all(0 <= back <= repeats.reach_of(50) for _, back in at.values())
+        named.append(at)
+    names = Counter(n for at in named for n in {n for n, _ in at.values()})
+    assert max(names.values()) == 1
+    whole = defaultdict(set)
+    for t, at in zip([*texts, b"x" * 7 + texts[0][100:300]], [*named, None]):
+        if at is None:
+            place, name, first, last, _ = repeats.anchors_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 50)
+            at = {s: (int(n), int(p - s)) for p, n, f, la in zip(place, name, first, last) for s in range(f, la + 1)}
+        for s, found in at.items():
+            whole[t[s : s + 50]].add(found)
+    assert all(len(found) == 1 for found in whole.values()) and len(whole) < sum(len(at) for at in named) + 158
+
+
+def test_hot_names_are_summed_once(monkeypatch):
+    """Of a name that many texts hold, one row is ranked for all that are counted at once."""
+    h, x = np.repeat([7, 8, 9], [40, 2, 1]).astype(np.int64), np.array([*range(20), *range(20), 1, 2, 3], np.int64)
+    rows = [tuple(r.values()) for r in repeats._counted(h, x).to_pylist()]
+    assert sorted(r[:3] for r in rows if r[3] == repeats.MEMBER) == [(7, i, 2) for i in range(20)]
+    assert [(r[0], r[2]) for r in rows if r[3] == repeats.SUM] == [(7, 40)] and sorted(r[:3] for r in rows if r[3] == repeats.PLAIN) == [(8, 1, 1), (8, 2, 1), (9, 3, 1)]
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_repeats_with_hot_names(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "NAMED", 500)
+    for crowd in (2, 30):
+        assert Counter(collected(repeats.cut_repeats(docs, crowd=crowd))) == cut_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()], 50)
+
+
 def test_merge_settles_only_equal_bytes():
     """Anchors whose surroundings differ are never merged, even under one name; those of the same d stay open."""
     n = 6

@@ -5,13 +5,17 @@ doc_id. Ranking every position is out of reach (each byte of text would cost som
 round), so positions are sampled such that nothing is lost: of the 16-byte strings inside each
 window of 50 bytes the one with the smallest hash is the window's anchor; equal windows have equal anchors.
 
-Round one ranks all anchors by a 64-bit name of their first 16 bytes; those of one text alone are
+Sixteen bytes are too few to name an anchor: in n times the text n squared times as many pairs of places share them by chance. So an anchor
+has one or two names of 33 bytes: windows that start 17 bytes or more before it hold the 33 bytes that end with the anchor, the
+others those that begin with it. Each name goes on as an anchor of its own with its part of the windows.
+
+Round one ranks all anchors by a 64-bit hash of these 33 bytes; those of one text alone are
 unique and done. Round two: the anchors left go out with the bytes of their windows, which are ranked at
 50 bytes, past the threshold, as strings at growing distance before the anchor; a window is repeated where
 its rank came before in a smaller doc_id. Names only propose: a byte goes after the bytes of both windows were compared.
 
-Hot ranks. Round one sums up in every task before the shuffle and joins its result back, so that Spark can
-split a hot rank over tasks. Before round two every task merges its anchors that lie in equal
+Names cross the network once in round one; a task ranks those of its part. Hot ranks: of a name that more than ``HOT`` of the texts counted at
+once hold, only their sum is ranked; the texts are joined to the result, so that Spark can split a hot rank over tasks. Before round two every task merges its anchors that lie in equal
 surroundings: of a line that a text repeats, one is sent for all, and copies in larger doc_ids are settled on the
 spot. What is left of a rank with more than ``crowd`` anchors is not held by one task: Spark settles equal surroundings
 among all tasks in the same way, and the windows of what stays become rows, of which it takes the smallest doc_id; both by partial sums over
@@ -36,6 +40,10 @@ LENGTH = 50
 SEED_BYTES = 16
 CROWD = 128  # anchors of a rank that one task holds; windows of the others are rows of their own
 MERGED = 1 << 15  # anchors of a task that are merged at once
+NAMED = 1 << 20  # names of a task that are counted at once
+HOT = 16  # texts that a name has among them; of one that has more the sum goes on
+PART = 1 << 21  # names that a task ranks
+PLAIN, SUM, MEMBER = 0, 1, 2  # rows of names: of a text; of all texts of a hot name that were counted at once; of one of these
 _CHUNK = 1 << 18
 _MASK = U(0xFFFFFFFF)
 
@@ -48,48 +56,109 @@ def _slide_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - n)], v[width - n :]) if width > n else v
 
 
-def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int, seed: int = SEED_BYTES) -> tuple[np.ndarray, ...]:
-    """(place, name of its first bytes, first and last window start, text number) of each anchor of these texts."""
+def step(length: int) -> int:
+    """How far an anchor's first name lies before its second."""
+    return (length - SEED_BYTES + 1) // 2
+
+
+def reach_of(length: int) -> int:
+    """How far before a name's place the windows that hold it may start; names have ``length`` less that many bytes."""
+    return length - SEED_BYTES - step(length)
+
+
+def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(place, name of its bytes, first and last window start, text number) of each named anchor of these texts."""
     if len(data) < length:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    start = np.arange(len(data) - seed + 1)
+    start = np.arange(len(data) - SEED_BYTES + 1)
     prefix = rolling(_BYTE[data])
-    name = window_hash(prefix, start, start + seed)
-    least = _slide_min((name & ~_MASK) | start.astype(np.uint64), length - seed + 1)
+    least = _slide_min((window_hash(prefix, start, start + SEED_BYTES) & ~_MASK) | start.astype(np.uint64), length - SEED_BYTES + 1)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
     valid = np.flatnonzero(np.arange(len(least)) + length <= bounds[text + 1])
-    place = (least[valid] & _MASK).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
-    last = np.concatenate([cut[1:], [len(place)]])[: len(cut)] - 1
-    return place[cut], name[place[cut]], valid[cut], valid[last], text[valid[cut]]
+    seed = (least[valid] & _MASK).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, int)
+    last = np.concatenate([cut[1:], [len(seed)]])[: len(cut)] - 1
+    seed, first, last, text = seed[cut], valid[cut], valid[last], text[valid[cut]]
+    before = seed - step(length)  # windows from here on back have their name here, the others at the seed
+    place, first, last = (np.stack(pair, 1).ravel() for pair in ((before, seed), (first, np.maximum(first, before + 1)), (np.minimum(last, before), last)))
+    kept = np.flatnonzero(first <= last)
+    place = place[kept]
+    return place, window_hash(prefix, place, place + length - reach_of(length)), first[kept], last[kept], text[kept // 2]
 
 
 def _emit(length: int):
+    def run(batches):
+        seen: set[int] = set()  # texts of this task: a copy adds nothing
+        parts: list[tuple] = []
+        for batch in _then_none(batches):
+            if batch is not None:
+                data, offsets = texts_of(batch.column("text"))
+                x = batch.column("x").to_numpy()
+                new = np.zeros(len(x), bool)
+                for i, v in enumerate(x.tolist()):
+                    new[i] = v not in seen
+                    seen.add(v)
+                for lo, hi in chunks(offsets, _CHUNK):
+                    if new[lo:hi].any():
+                        _, name, _, _, text = anchors_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
+                        own = new[lo + text]
+                        parts.append((name[own].view(np.int64), x[lo + text[own]]))
+            if parts and (batch is None or sum(len(p[0]) for p in parts) >= NAMED):
+                yield _counted(*(np.concatenate(c) for c in zip(*parts)))
+                parts = []
+
+    return run
+
+
+def _counted(h: np.ndarray, x: np.ndarray):
+    """(name, text, how often) of these anchors; names of more than HOT texts apart, with one row for their sum."""
+    import pyarrow as pa
+
+    order = np.lexsort((x, h))
+    h, x = h[order], x[order]
+    first = np.flatnonzero(_changes(h) | _changes(x))
+    h, x, c = h[first], x[first], np.diff(np.append(first, len(h)))
+    begin = np.flatnonzero(_changes(h))
+    size = np.diff(np.append(begin, len(h)))
+    hot = size > HOT
+    kind = np.repeat(np.where(hot, MEMBER, PLAIN), size)
+    columns = np.append(h, h[begin[hot]]), np.append(x, x[begin[hot]]), np.append(c, np.add.reduceat(c, begin)[hot] if len(h) else c), np.append(kind, np.full(hot.sum(), SUM))
+    by_text = np.argsort(columns[1], kind="stable")
+    h, x, c, kind = (v[by_text] for v in columns)  # texts in runs: they take little room
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(c), pa.array(kind.astype(np.int8))], names=["h", "x", "c", "kind"])
+
+
+def _changes(v: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before; the first does."""
+    return np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]])
+
+
+def _ranked(crowd: int):
+    """Of the names of a part those of more than one text, with whether more than ``crowd`` anchors have them."""
+
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()  # texts of this task: a copy adds nothing
-        for batch in batches:
-            data, offsets = texts_of(batch.column("text"))
-            x = batch.column("x").to_numpy()
-            new = np.zeros(len(x), bool)
-            for i, v in enumerate(x.tolist()):
-                new[i] = v not in seen
-                seen.add(v)
-            for lo, hi in chunks(offsets, _CHUNK):
-                if new[lo:hi].any():
-                    _, name, _, _, text = anchors_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
-                    name, text = name[new[lo + text]], text[new[lo + text]]
-                    order = np.lexsort((name, text))
-                    name, text = name[order], text[order]
-                    first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (text[1:] != text[:-1])])) if len(name) else order
-                    yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), pa.array(x[lo + text[first]]), pa.array(np.diff(np.append(first, len(name))))], names=["h", "x", "c"])
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        h, x, c, kind = (np.concatenate([b.column(name).to_numpy() for b in held]) for name in ("h", "x", "c", "kind"))
+        del held
+        order = np.argsort(h)
+        h, x, c, kind = h[order], x[order], c[order], kind[order]
+        begin = np.flatnonzero(_changes(h))
+        size = np.diff(np.append(begin, len(h)))
+        shared = (np.minimum.reduceat(x, begin) < np.maximum.reduceat(x, begin)) | (np.maximum.reduceat(kind, begin) == SUM)
+        kept, crowded = np.flatnonzero(np.repeat(shared, size)), np.repeat(np.add.reduceat(c, begin) > crowd, size)
+        for at in range(0, len(kept), 1 << 16):
+            rows = kept[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(v[rows]) for v in (h, x, crowded, kind == SUM)], names=["h", "x", "crowded", "sum"])
 
     return run
 
 
 def _contexts(length: int):
-    reach, width = length - SEED_BYTES, 2 * length - SEED_BYTES
+    reach, width = reach_of(length), length + reach_of(length)
 
     def run(batches):
         import pyarrow as pa
@@ -184,7 +253,7 @@ def _prefix(held: np.ndarray) -> np.ndarray:
 
 def repeated_windows(h: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, held: np.ndarray, length: int) -> np.ndarray:
     """A bit mask for each anchor: bit t if its window that starts t bytes before it starts in a smaller d too. Rows in the order of (h, d)."""
-    reach = length - SEED_BYTES
+    reach = reach_of(length)
     mask, group = np.zeros(len(h), np.int64), mix(h.view(np.uint64))
     ranks = np.empty((reach + 1, len(h)), np.uint64)
     for at in range(0, len(h), 1 << 15):  # bounds what the prefix sums take
@@ -207,7 +276,7 @@ def repeated_windows(h: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarra
 
 
 def _judge(length: int):
-    width = 2 * length - SEED_BYTES
+    width = length + reach_of(length)
 
     def run(batches):
         import pyarrow as pa
@@ -237,7 +306,7 @@ def _then_none(batches):
 
 
 def _windows(length: int):
-    reach, width = length - SEED_BYTES, 2 * length - SEED_BYTES
+    reach, width = reach_of(length), length + reach_of(length)
 
     def run(batches):
         import pyarrow as pa
@@ -275,7 +344,7 @@ def _cut(length: int):
                 own = slice(cut[i], cut[i + 1])
                 mask = np.repeat(masks[own], np.diff(starts[cut[i] : cut[i + 1] + 1]))
                 a = values[starts[cut[i]] : starts[cut[i + 1]]].astype(np.int64)
-                start = np.concatenate([a[(mask >> t) & 1 == 1] - t for t in range(length - SEED_BYTES + 1)])
+                start = np.concatenate([a[(mask >> t) & 1 == 1] - t for t in range(reach_of(length) + 1)])
                 cover = np.bincount(start, minlength=len(text) + 1) - np.bincount(start + length, minlength=len(text) + 1)
                 gone = np.cumsum(cover[:-1]) > 0
                 removed.append(int(gone.sum()))
@@ -296,10 +365,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> Da
     slim = scratch.save(x.select("doc_id", "d", "x", "y", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "slim")
     firsts = scratch.save(slim.groupBy("x", "y").agg(F.min("d").alias("d")), "firsts")
 
-    anchors = scratch.save(x.where(F.octet_length("text") >= length).select("text", "x").mapInArrow(_emit(length), "h long, x long, c long"), "anchors")
-    ranks = anchors.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n")).where("lo < hi")
-    ranks = scratch.save(ranks.select("h", (F.col("n") > crowd).alias("crowded")), "ranks")
-    shared = scratch.save(anchors.join(ranks, "h").select("h", "x", "crowded"), "shared")
+    anchors = scratch.save(x.where(F.octet_length("text") >= length).select("text", "x").mapInArrow(_emit(length), "h long, x long, c long, kind byte"), "anchors")
+    plain = anchors.where(F.col("kind") != MEMBER)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-plain.count() // PART))
+    ranks = scratch.save(plain.repartition(parts, "h").mapInArrow(_ranked(crowd), "h long, x long, crowded boolean, sum boolean"), "ranks")
+    members = anchors.where(F.col("kind") == MEMBER).select("h", "x").join(ranks.where("sum").select("h", "crowded").distinct(), "h")
+    shared = scratch.save(ranks.where("not sum").select("h", "x", "crowded").unionByName(members), "shared")
     scratch.drop("anchors", "ranks")
     lists = shared.groupBy("x").agg(F.collect_set(F.when(~F.col("crowded"), F.col("h"))).alias("few"), F.collect_set(F.when(F.col("crowded"), F.col("h"))).alias("many"))
 
