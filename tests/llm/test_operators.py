@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import chat_format, decontaminate, quality, repeats, set_join, sharding, source_mix, toxicity, url_filter, vector_search
+from tidewright.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -332,6 +333,18 @@ def test_sharding_writes(docs, tmp_path, spark):
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
 
+def test_sharding_query_writes_whole_documents(spark):
+    """The shards that the query writes hold every column of every document, and its digests are theirs."""
+    folder = "/root/testdata/sf0.001"
+    got = sharding.query(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    written = spark.read.parquet(f"{Scratch.opened[-1].base}/shards")
+    assert set(written.columns) == {*docs.columns, "shard", "slot"}
+    assert Counter(collected(written.select(*docs.columns))) == Counter(collected(docs))
+    held = {r["doc_id"]: (r["text"] or "").encode() for r in written.collect()}
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got.collect()} == {(d, len(t) + 16, zlib.crc32(t)) for d, t in held.items()}
+
+
 def mixed_by_hand(rows, weights=(1, 2, 3), cap=3):
     size = lambda t: len((t or "").encode().split())
     sizes = defaultdict(int)

@@ -91,11 +91,11 @@ def sharded(df: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Whole documents are shuffled and written; sizes and checksums are those of the texts read from the shards."""
+    out = stage(spark, table(spark, sf_dir, "documents"), sf_dir)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    slim = docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    out = sharded(slim)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.col("text").cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
