@@ -90,6 +90,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["external_id"] for r in run()} - {w[0] for w in want} == {"99"}
 
 
+def test_stream_keeps_keys_in_native_state(spark, tmp_path, monkeypatch):
+    """One micro-batch of several files: the first of each key, by Spark's own state, however many rows are held at once."""
+    from tidewright.streaming import ingest as stream
+
+    monkeypatch.setattr(stream, "HELD", 4)
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    known, _ = ingest.ingest(wide(spark, 1, 5), empty(spark, "scraped_jobs"), RULES, NOW)
+    store.publish({"scraped_jobs": migrate(known, "scraped_jobs")})
+    for k in range(6):
+        land(tmp_path / "landed", f"{k}.json", [{"id": str(j % 30), "position": "QA", "company": f"C{k} {j}"} for j in range(k, k + 40)])
+    query = start_ingest(spark, str(tmp_path / "landed"), store, RULES, str(tmp_path / "checkpoint"), None, lines=True)
+    query.awaitTermination(120)
+    got = {(r["external_id"], r["company"]) for r in store.read()["scraped_jobs"].where("id > 1").collect()}
+    first, _ = ingest.ingest(read_landed(spark, str(tmp_path / "landed"), lines=True)[0], known, RULES, NOW)
+    assert got == {(r["external_id"], r["company"]) for r in first.collect()} and len(got) == 29
+    assert [o["operatorName"] for o in query.recentProgress[0]["stateOperators"]] == ["dedupe"]
+
+
 def test_a_batch_is_published_once(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "store"))
     df = empty(spark, "job_sources").unionByName(spark.range(1).select("id"), allowMissingColumns=True)

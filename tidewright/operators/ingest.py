@@ -32,7 +32,7 @@ def relevant(df: DataFrame, keywords=KEYWORDS, required: tuple[str, ...] = ()) -
     """Postings that hold a keyword in position, description or tags; ``required`` columns must not be empty."""
     tags = F.array_join("tags", " ") if dict(df.dtypes)["tags"].startswith("array") else F.col("tags")
     text = F.lower(F.concat_ws(" ", F.coalesce("position", F.lit("")), F.coalesce("description", F.lit("")), F.coalesce(tags, F.lit(""))))
-    x = df.withColumn("_text", text).where(reduce(lambda a, b: a | b, [F.col("_text").contains(k) for k in keywords])).drop("_text")
+    x = df.where(F.exists(F.array(text), lambda t: reduce(lambda a, b: a | b, [t.contains(k) for k in keywords])))  # one text, not one for each keyword
     for c in required:
         x = x.where(F.coalesce(c, F.lit("")) != "")
     return x

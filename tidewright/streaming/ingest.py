@@ -4,44 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from tidewright.functions.scoring import Rules
 from tidewright.operators.ingest import KEYWORDS, REQUIRED, identified, map_postings, relevant, score_postings
 from tidewright.sources.postings import arrival, stream_landed
 from tidewright.sources.snapshots import SnapshotStore
-from tidewright.sources.staging import unstage
+from tidewright.sources.staging import staged, unstage
 from tidewright.sources.tables import migrate
 
 
-def _first(key, frames, state: GroupState):
-    """The row of the smallest order, if its key is new; a row that only makes a key known gives nothing."""
-    import pandas as pd
+HELD = 1 << 14  # rows of a task among which the first of each key are taken at once
 
-    new, best = not state.exists, None
-    for frame in frames:
-        for row in frame[["order", "row"]].itertuples(index=False):
-            if best is None or row.order < best.order:
-                best = row
-    if new:
-        state.update((True,))
-        if best is not None and best.row is not None:
-            yield pd.DataFrame({"row": [best.row]})
 
+def _firsts(batches):
+    """Of each key of a part the row of the smallest order."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    def first(tables):
+        held = pa.concat_tables(tables)
+        order = pc.sort_indices(held.select(["key", "order"]), sort_keys=[("key", "ascending"), ("order", "ascending")])
+        keys = held.column("key").combine_chunks().take(order)
+        new = pa.concat_arrays([pa.array([True]), pc.not_equal(keys[1:], keys[:-1])])
+        return held.take(order.filter(new))
+
+    held, rows, most = [], 0, HELD
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows >= most:
+                held = [first(held)]
+                rows = held[0].num_rows
+                most = max(HELD, 2 * rows)
+    if held:
+        yield from first(held).to_batches(max_chunksize=1024)
 
 
 def first_of_key(rows: DataFrame, key: str, order: Column, known: DataFrame | None = None) -> DataFrame:
     """Of each key of a stream the first row ever; inside a micro-batch the first by ``order``, a text. No row for keys of the stream ``known``.
 
-    The state is a flag for each key, in Spark's state store, dealt by key: no micro-batch reads the table that rows go to.
+    A micro-batch comes down to a row for each key; whether a key is new is asked of Spark's state store, which holds keys alone
+    and is dealt by key: no micro-batch reads the table that rows go to.
     """
-    sent = rows.select(F.col(key).alias("key"), order.alias("order"), F.to_json(F.struct(*rows.columns), STAMPS).alias("row"))
+    sent = rows.select(F.col(key).alias("key"), order.alias("order"), F.struct(*rows.columns).alias("row"))
+    kind = sent.schema["row"].dataType
     if known is not None:
-        sent = sent.unionByName(known.select(F.col(key).alias("key"), F.lit("").alias("order"), F.lit(None).cast("string").alias("row")))
-    kept = sent.groupBy("key").applyInPandasWithState(_first, "row string", "known boolean", "append", GroupStateTimeout.NoTimeout)
-    return kept.select(F.from_json("row", rows.schema, STAMPS).alias("r")).select("r.*")
+        sent = sent.unionByName(known.select(F.col(key).alias("key"), F.lit("").alias("order"), F.lit(None).cast(kind).alias("row")))
+    kept = sent.repartition("key").mapInArrow(_firsts, T.StructType([T.StructField("key", T.StringType()), T.StructField("order", T.StringType()), T.StructField("row", kind)]))
+    return kept.dropDuplicates(["key"]).where("row is not null").select("row.*")
 
 
 def _known(spark: SparkSession, store: SnapshotStore, checkpoint: str) -> DataFrame:
@@ -68,10 +80,12 @@ def start_ingest(
     def one(batch, number):
         if store.marks().get(name, -1) >= number:
             return
-        scored = score_postings(batch, rules).withColumn("imported_to_opportunities", F.lit(False))
+        fresh = staged(batch)  # numbering reads its rows twice; a batch of a stateful stream is computed once
+        scored = staged(score_postings(fresh, rules).withColumn("imported_to_opportunities", F.lit(False)))
         new, _counts = identified(scored, store.read()["scraped_jobs"])
         store.append({"scraped_jobs": migrate(new, "scraped_jobs")}, mark=(name, number))
-        unstage(new)
+        for df in (fresh, scored, new):
+            unstage(df)
 
     postings = stream_landed(spark, source, lines, files)[0]
     mapped = map_postings(relevant(postings, keywords), F.current_timestamp())
