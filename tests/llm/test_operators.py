@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -328,6 +329,42 @@ def test_sharding_is_this_permutation(spark):
     assert Counter(collected(got)) == Counter(want)
 
 
+def shuffled(spark, run):
+    """MB that the stages of run() write to shuffles, from the status store."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    none = [jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList()]
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(*none)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    run()
+    return sum(n for stage, n in stages().items() if stage not in before) / 1e6
+
+
+def test_sharding_shuffles_whole_rows_once(spark, tmp_path):
+    """Rows that occur once are shuffled once; what was needed besides the shards is deleted."""
+    text = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(20)])
+    spark.range(0, 2000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    whole = shuffled(spark, lambda: rows.repartition(4, "doc_id").write.parquet(str(tmp_path / "whole")))
+    assert whole > 2 and shuffled(spark, lambda: sharding.sharded(rows)) < 1.3 * whole
+    assert [p.name for p in Path(Scratch.opened[-1].base).iterdir()] == ["shards"]
+
+
+@pytest.mark.parametrize("words", [1, 2, sharding.WORDS])
+def test_sharding_counts_rows_marked_by_chance(spark, docs, words):
+    """However few marks there are, and if all rows, some or none are repeated, the result is that of the full bitmap."""
+    for rows in (docs, docs.union(docs.where("doc_id % 3 = 0")), docs.union(docs)):
+        got = collected(sharding.external_shuffle(rows, 7, bucket_rows=8, words=words))
+        assert Counter(r[:-2] for r in got) == Counter(collected(rows))
+        assert Counter(got) == Counter(collected(sharding.external_shuffle(rows, 7, bucket_rows=8)))
+        by = Counter(r[-2] for r in got)
+        assert {r[-2:] for r in got} == {(shard, slot) for shard, n in by.items() for slot in range(n)} and max(by.values()) - min(by.values()) <= 1
+
+
 def test_sharding_writes(docs, tmp_path, spark):
     sharding.write_shards(sharding.external_shuffle(docs, 4), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()

@@ -74,7 +74,7 @@ class Scratch:
     SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
     @contextmanager
-    def _settings(self):
+    def settings(self):
         before = {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
         try:
             for k, v in self.SETTINGS.items():
@@ -86,7 +86,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        with self._settings():
+        with self.settings():
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -94,7 +94,7 @@ class Scratch:
         """One row for each ``key``, written in buckets of it: joins on the key do not shuffle this table again."""
         n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's most
         one, known = df.repartition(n, key).dropDuplicates([key]), f"scratch_{uuid.uuid4().hex}"
-        with self._settings():
+        with self.settings():
             one.write.bucketBy(n, key).sortBy(key).option("path", f"{self.base}/{name}").format("parquet").saveAsTable(known)
         self.tables[name] = known
         return self.spark.table(known)

@@ -5,6 +5,9 @@ Pass one scatters rows by a seeded hash of the whole row over buckets that fit i
 draws from a seeded hash, and writes it: the buckets in their order are one permutation of all rows, which is
 cut into shards whose row counts differ by one at most (law ``rows``).
 
+Whole rows cross the network once. Only rows that occur more than once need a number first: a slim table of names says which they
+may be, and they alone are brought together, and kept as a table of each row and its times.
+
 Defined results: nulls are values like others; repeated rows are told apart by a number, so that no
 bucket grows with them; a text longer than a bucket is alone in it, or nearly so; an empty table gives an empty table; reruns
 agree, whatever the partitioning, since order within a bucket follows from the hash. Columns must be orderable (no maps).
@@ -25,6 +28,7 @@ SHARDS = 40
 BUCKET_ROWS = 512
 BUCKET_BYTES = 8 << 20
 FEW = 1 << 18  # buckets whose offsets (16 bytes each) are broadcast; beyond, they are joined by shuffle
+WORDS = 1 << 18  # of 64 marks each; a row marked by chance is counted like a repeated one, with the same result
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -33,6 +37,19 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*columns).alias("row"), F.xxhash64(F.lit(SEED), *columns).alias("a"), F.xxhash64(F.lit(SEED + 1), *columns).alias("b"))
 
 
+def _marked(named: DataFrame, words: int) -> DataFrame:
+    """``named`` with its place in a bitmap of so many words: ``word``, ``bit``."""
+    return named.withColumns({"word": F.expr(f"pmod(a, {words}L)"), "bit": F.expr("shiftleft(1L, cast(pmod(b, 64L) as int))")})
+
+
+def _once_and_often(rows: DataFrame, names: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that occur once, and all others: those with the mark of a name that ``names`` counts more than once."""
+    marks = _marked(names.where("times > 1"), words).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    known = _marked(rows, words).join(F.broadcast(marks), "word", "left")
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")), F.lit(0)) != 0
+    return known.where(~hit).select("a", "b", "row"), known.where(hit).select("a", "b", "row")
+
+
 def _scatter(counted: DataFrame, n_buckets: int) -> DataFrame:
     """Each row as often as it occurs, with its number, in its bucket."""
     x = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
@@ -45,20 +62,27 @@ def buckets_for(rows: int, size: int, bucket_rows: int = BUCKET_ROWS, bucket_byt
     return max(1, -(-rows // bucket_rows), -(-size // bucket_bytes))
 
 
-def external_shuffle(df: DataFrame, n_shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def external_shuffle(
+    df: DataFrame, n_shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES, words: int = WORDS, scratch: Scratch | None = None,
+) -> DataFrame:
     """All rows of ``df`` with shard (0 to n_shards - 1) and slot (from 0, without gaps in a shard).
 
-    Rows cross the network twice: equal ones are brought together to be numbered, then all are scattered. Tasks hold ranges of
-    buckets, so they write their rows where they are.
+    Rows that occur once cross the network once: they are scattered. Repeated ones are first brought together, as one row and its
+    times, then scattered as well. Tasks hold ranges of buckets, so they write their rows where they are. What is returned reads
+    ``names`` and ``repeated`` of ``scratch``.
     """
+    scratch = scratch or Scratch(df.sparkSession)
     df = df.drop("shard", "slot")
     size = [F.coalesce(F.octet_length(column(f.name)), F.lit(0)).cast("long") if f.dataType.typeName() in ("string", "binary") else F.lit(8).cast("long") for f in df.schema]
     sizes = df.select(reduce(lambda a, b: a + b, size).alias("bytes"))
     total, volume = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     n_buckets = buckets_for(total, volume, bucket_rows, bucket_bytes)
     rows, times = _named(df), F.count(F.lit(1)).alias("times")
-    scattered = _scatter(rows.groupBy("a", "b", "row").agg(times), n_buckets)
-    counts = _scatter(rows.groupBy("a", "b").agg(times), n_buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    names = scratch.save(rows.groupBy("a", "b").agg(times), "names")
+    once, often = _once_and_often(rows, names, words)
+    repeated = scratch.save(often.groupBy("a", "b", "row").agg(times), "repeated")
+    scattered = _scatter(once.withColumn("times", F.lit(1).cast("long")).unionByName(repeated), n_buckets)
+    counts = _scatter(names, n_buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = prefix_sums(counts, "bucket", "n", "offset").drop("n")
 
     record = F.struct("h", "a", "b", "copy", "row")
@@ -85,8 +109,11 @@ def write_shards(df: DataFrame, path: str) -> None:
 
 def sharded(df: DataFrame, **options) -> DataFrame:
     """``df`` shuffled, written as shards to the shared folder and read again, with shard and slot."""
-    out, scratch = external_shuffle(df, **options), Scratch(df.sparkSession)
-    write_shards(out, f"{scratch.base}/shards")
+    scratch = Scratch(df.sparkSession)
+    out = external_shuffle(df, scratch=scratch, **options)
+    with scratch.settings():
+        write_shards(out, f"{scratch.base}/shards")
+    scratch.drop("names", "repeated")
     return df.sparkSession.read.schema(out.schema).parquet(f"{scratch.base}/shards").select(*out.columns)
 
 
